@@ -1,0 +1,24 @@
+"""General theta join of lines and a rules *table*, for rules that are data."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from keysift.sources.rules import DIALECT
+
+
+def regex_join(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """All pairs of ``lines(…, line)`` and ``rules(pack, ordinal, name, regex)`` where the rule matches.
+
+    Lines without a column ``ended`` count as followed by ``\\n``.
+
+    The pattern is a column, so Spark can neither fold nor guard it.  Use
+    :func:`keysift.operators.scan.scan` where the rules can be read by the driver.
+    Which side is replicated is left to the optimizer's size estimates.
+    """
+    pattern = F.concat(F.lit(DIALECT), F.col("regex"))
+    line = F.concat("line", F.lit("\n"))
+    if "ended" in lines.columns:
+        line = F.when(F.col("ended"), line).otherwise(F.col("line"))
+    return lines.join(rules, F.rlike(line, pattern), "inner")
