@@ -13,9 +13,9 @@ matching line is the only thing that gets past step 3.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,32 +36,28 @@ FINDING_COLUMNS = (
 )
 
 
-def _bits(flags: list[Column]) -> list[Column]:
+def sql_string(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _bits(flags: list[str]) -> list[str]:
     """Pack conditions into as few longs as they need."""
     words = []
     for start in range(0, len(flags), WORD):
-        terms = [
-            F.when(flag, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-            for i, flag in enumerate(flags[start : start + WORD])
-        ]
-        words.append(_tree(terms, lambda a, b: a.bitwiseOR(b)))
+        terms = [f"if({flag}, {1 << i}L, 0L)" for i, flag in enumerate(flags[start : start + WORD])]
+        while len(terms) > 1:  # pairwise, which keeps the expression shallow
+            terms = [f"({' | '.join(terms[i : i + 2])})" for i in range(0, len(terms), 2)]
+        words.append(terms[0])
     return words
 
 
-def _tree(items: list[Column], join) -> Column:
-    """Balanced reduction: keeps the expression shallow."""
-    while len(items) > 1:
-        items = [join(*items[i : i + 2]) if i + 1 < len(items) else items[i] for i in range(0, len(items), 2)]
-    return items[0]
-
-
-def _any_bit(words: list[str], bits: set[int]) -> Column:
+def _any_bit(words: list[str], bits: set[int]) -> str:
     tests = []
     for w, name in enumerate(words):
         mask = sum(1 << (b - w * WORD) for b in bits if w * WORD <= b < (w + 1) * WORD)
         if mask:
-            tests.append(F.col(name).bitwiseAND(F.lit(mask).cast("long")) != 0)
-    return reduce(or_, tests)
+            tests.append(f"({name} & {mask}L) != 0")
+    return f"({' or '.join(tests)})"
 
 
 def plan_probes(found: list[Matcher]) -> tuple[list[tuple[str, bool]], list[set[int] | None]]:
@@ -114,109 +110,82 @@ def plan_probes(found: list[Matcher]) -> tuple[list[tuple[str, bool]], list[set[
     return probes, needs
 
 
-def folded(text: Column) -> Column:
+def folded(text: str) -> str:
     """Lower case, with the long s that matches ``s`` when case is ignored."""
-    return F.replace(F.lower(text), F.lit("ſ"), F.lit("s"))
+    return f"replace(lower({text}), 'ſ', 's')"
 
 
-def _subject(line: Column, matcher: Matcher) -> Column:
+def _subject(text: str, matcher: Matcher) -> str:
     """What the regex sees.
 
     Java folds the dotless and the dotted Turkish i to ``i``; simple Unicode case
     folding does not.  They are masked for rules that ignore case.
     """
-    if "i" not in "".join(matcher.regex.split("(?")[1:]) or set("ıİ") & set(matcher.regex):
-        return line
-    odd = F.contains(line, F.lit("ı")) | F.contains(line, F.lit("İ"))
-    return F.when(odd, F.translate(line, "ıİ", "¤¤")).otherwise(line)
-
-
-def _rule_literal(rule: Rule, position: int) -> Column:
-    return F.struct(
-        F.lit(position // WORD).alias("word"),
-        F.lit(1 << (position % WORD)).cast("long").alias("bit"),
-        F.lit(rule.pack).alias("pack"),
-        F.lit(rule.ordinal).alias("ordinal"),
-        F.lit(rule.name).alias("Type"),
-    )
+    flags = "".join(re.findall(r"\(\?([a-zA-Z]+)", matcher.regex))
+    if "i" not in flags or set("ıİ") & set(matcher.regex):
+        return text
+    return f"if(contains({text}, 'ı') or contains({text}, 'İ'), translate({text}, 'ıİ', '¤¤'), {text})"
+
+
+def _has_any(text: str, words: Iterable[str]) -> str:
+    return f"({' or '.join(f'contains({text}, {sql_string(w)})' for w in words)})"
 
 
 def _line_hits(files: DataFrame, found: list[Matcher], first_rule_only: bool) -> DataFrame:
-    """``(app_key, FileLocation, LineNo, line, pack, ordinal, Type)`` for single-line rules."""
+    """``(app_key, FileLocation, LineNo, line, pack, ordinal, Type)`` for single-line rules.
+
+    Written as SQL text: the conditions of a hundred rules are one parse this way.
+    """
     probes, needs = plan_probes(found)
-    text = F.col("text")
     words: list[str] = []
-    if probes and None not in needs:
-        low = folded(text)
-        flags = [F.contains(low if fold else text, F.lit(word)) for word, fold in probes]
+    pieces = r"split(text, '\\n', -1)"
+    if None in needs:  # an unguarded rule has to see every line anyway
+        needs = [None] * len(found)
+    else:
+        flags = [f"contains({folded('text') if fold else 'text'}, {sql_string(word)})" for word, fold in probes]
         columns = _bits(flags)
         words = [f"probe{i}" for i in range(len(columns))]
-        files = files.select(
-            "app_key", "file_path", "text", *(c.alias(n) for c, n in zip(columns, words))
-        )
-        wanted = reduce(or_, (F.col(w) != 0 for w in words))
-        pieces = F.when(wanted, F.split(text, "\n", -1))
-    else:
-        pieces = F.split(text, "\n", -1)
-        needs = [None] * len(found)
-    split = files.select("app_key", "file_path", *words, pieces.alias("pieces"), F.size(pieces).alias("n"))
-    each = split.select(
-        "app_key", "file_path", "n", *words, F.posexplode(F.coalesce("pieces", F.array().cast("array<string>")))
+        files = files.selectExpr("app_key", "file_path", "text", *(f"{c} as {n}" for c, n in zip(columns, words)))
+        pieces = f"if({' or '.join(f'{w} != 0' for w in words)}, {pieces}, null)"
+    split = files.selectExpr("app_key", "file_path", *words, f"{pieces} as pieces", f"size({pieces}) as n")
+    # The coalesce keeps the generator's input an expression, for which no filter is
+    # inferred: such a filter would split every text twice.
+    each = split.selectExpr(
+        "app_key", "file_path", "n", *words, "posexplode(coalesce(pieces, cast(array() as array<string>))) as (pos, line)"
     )
-    line = F.col("line")
-    each = each.select(
-        "app_key",
-        F.col("file_path").alias("FileLocation"),
-        (F.col("pos") + 1).alias("LineNo"),
-        (F.col("pos") + 1 < F.col("n")).alias("ended"),
-        F.col("col").alias("line"),
-        folded(F.col("col")).alias("low"),
-        *words,
+    each = each.selectExpr(
+        "app_key", "file_path as FileLocation", "pos + 1 as LineNo", "pos + 1 < n as ended", "line", f"{folded('line')} as low", *words
     )
     flags = []
     for matcher, need in zip(found, needs):
         tests = [_any_bit(words, need)] if need else []
         if matcher.guard is not None:
-            source = F.col("low") if matcher.guard.ignore_case else line
-            tests += [
-                reduce(or_, (F.contains(source, F.lit(w)) for w in group)) for group in matcher.guard.groups
-            ]
-        else:
-            # A text that ends in \n has no further line after it.
-            tests.append(F.col("ended") | (line != ""))
-        subject = _subject(line, matcher)
-        subject = F.when(F.col("ended"), F.concat(subject, F.lit("\n"))).otherwise(subject)
-        tests.append(F.rlike(subject, F.lit(DIALECT + matcher.regex)))
-        flags.append(reduce(and_, tests))
+            text = "low" if matcher.guard.ignore_case else "line"
+            tests += [_has_any(text, group) for group in matcher.guard.groups]
+        else:  # a text that ends in \n has no further line after it
+            tests.append("(ended or line != '')")
+        subject = _subject("line", matcher)
+        tests.append(rf"if(ended, concat({subject}, '\n'), {subject}) rlike {sql_string(DIALECT + matcher.regex)}")
+        flags.append(" and ".join(tests))
     columns = _bits(flags)
     names = [f"hit{i}" for i in range(len(columns))]
-    hits = each.select("app_key", "FileLocation", "LineNo", "line", *(c.alias(n) for c, n in zip(columns, names)))
-
-    # Without fan-out, the lowest set bit is the first rule in order.
-    rules = F.array(
-        *(
-            _rule_literal(rule, i)
-            for i, matcher in enumerate(found)
-            for rule in (matcher.rules[:1] if first_rule_only else matcher.rules)
-        )
+    hits = each.selectExpr("app_key", "FileLocation", "LineNo", "line", *(f"{c} as {n}" for c, n in zip(columns, names)))
+
+    # Bits follow rule order, so without fan-out the first match is the first rule.
+    rules = ", ".join(
+        f"named_struct('word', {i // WORD}, 'bit', {1 << (i % WORD)}L, 'pack', {sql_string(rule.pack)}, "
+        f"'ordinal', {rule.ordinal}, 'Type', {sql_string(rule.name)})"
+        for i, matcher in enumerate(found)
+        for rule in (matcher.rules[:1] if first_rule_only else matcher.rules)
     )
-
-    def chosen(rule: Column) -> Column:
-        word = reduce(
-            lambda rest, i: F.when(rule["word"] == i, F.col(names[i])).otherwise(rest),
-            range(1, len(names)),
-            F.col(names[0]),
-        )
-        return word.bitwiseAND(rule["bit"]) != 0
-
-    matched = F.filter(rules, chosen)
+    word = f"case r.word {' '.join(f'when {i} then {n}' for i, n in enumerate(names))} end"
+    matched = f"filter(array({rules}), r -> ({word} & r.bit) != 0)"
     if first_rule_only:
-        matched = F.slice(matched, 1, 1)
-    some = reduce(or_, (F.col(n) != 0 for n in names))
-    fields = ("pack", "ordinal", "Type")
-    return hits.select(
-        "app_key", "FileLocation", "LineNo", "line", F.explode(F.when(some, matched)).alias("rule")
-    ).select("app_key", "FileLocation", "LineNo", "line", *(F.col(f"rule.{f}") for f in fields))
+        matched = f"slice({matched}, 1, 1)"
+    return hits.selectExpr(
+        "app_key", "FileLocation", "LineNo", "line",
+        f"explode(if({' or '.join(f'{n} != 0' for n in names)}, {matched}, null)) as rule",
+    ).select("app_key", "FileLocation", "LineNo", "line", "rule.pack", "rule.ordinal", "rule.Type")
 
 
 def _span_hits(files: DataFrame, found: list[Matcher], first_rule_only: bool) -> DataFrame:
@@ -231,36 +200,27 @@ def _span_hits(files: DataFrame, found: list[Matcher], first_rule_only: bool) ->
 
     def touched(matcher: Matcher) -> Column:
         pattern = DIALECT_MULTILINE + matcher.regex
-        text = F.col("subject") if _subject(F.lit(""), matcher) is not None else F.col("text")
-        found_text = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-        between = F.split(text, pattern, -1)
-        steps = F.arrays_zip(between.alias("gap"), found_text.alias("hit"))
+        text = F.expr(_subject("text", matcher))
+        steps = F.arrays_zip(
+            F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("hit")
+        )
         state = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("lines"))
 
         def step(acc: Column, item: Column) -> Column:
             first = acc["at"] + newlines(item["gap"])
+            empty = F.coalesce(item["hit"], F.lit("")) == ""
             # A match that ends with \n does not touch the next line.
-            inner = F.regexp_replace(item["hit"], r"\n$", "")
-            last = first + newlines(inner)
-            return F.when(
-                item["hit"].isNull() | (item["hit"] == ""),
-                F.struct((acc["at"] + newlines(item["gap"])).alias("at"), acc["lines"].alias("lines")),
-            ).otherwise(
-                F.struct(
-                    (first + newlines(item["hit"])).alias("at"),
-                    F.concat(acc["lines"], F.sequence(first, last)).alias("lines"),
-                )
+            last = first + newlines(F.regexp_replace(item["hit"], r"\n$", ""))
+            lines = F.when(empty, acc["lines"]).otherwise(F.concat(acc["lines"], F.sequence(first, last)))
+            return F.struct(
+                F.when(empty, first).otherwise(first + newlines(item["hit"])).alias("at"), lines.alias("lines")
             )
 
         spans = F.aggregate(steps, state, step, lambda acc: F.array_distinct(acc["lines"]))
         return F.when(F.rlike(text, F.lit(pattern)), spans)
 
-    odd = F.contains("text", F.lit("ı")) | F.contains("text", F.lit("İ"))
-    files = files.withColumn(
-        "subject", F.when(odd, F.translate("text", "ıİ", "¤¤")).otherwise(F.col("text"))
-    )
     parts = []
-    for position, matcher in enumerate(found):
+    for matcher in found:
         rules = F.array(
             *(
                 F.struct(F.lit(r.pack).alias("pack"), F.lit(r.ordinal).alias("ordinal"), F.lit(r.name).alias("Type"))
@@ -269,8 +229,8 @@ def _span_hits(files: DataFrame, found: list[Matcher], first_rule_only: bool) ->
         )
         guarded = touched(matcher)
         if matcher.guard is not None:
-            source = folded(F.col("text")) if matcher.guard.ignore_case else F.col("text")
-            guarded = F.when(reduce(or_, (F.contains(source, F.lit(w)) for w in matcher.guard.groups[0])), guarded)
+            text = folded("text") if matcher.guard.ignore_case else "text"
+            guarded = F.when(F.expr(_has_any(text, matcher.guard.groups[0])), guarded)
         parts.append(F.struct(guarded.alias("lines"), rules.alias("rules")))
     matched = files.select("app_key", "file_path", "text", F.explode(F.array(*parts)).alias("m"))
     each = matched.select(

@@ -30,12 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local-mode session without ``spark.checkpoint.dir`` gets a temporary
     folder of its own; on a cluster such a folder would vanish with its machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="keysift-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 

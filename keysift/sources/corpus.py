@@ -10,7 +10,8 @@ def load_corpus(spark: SparkSession, path: str, app_depth: int = 1) -> DataFrame
     """All files below ``path``: ``files(app_key, file_path, text)``.
 
     The first ``app_depth`` folders below ``path`` name the app.  Files with NUL
-    bytes are kept here; :func:`scannable` removes them.
+    bytes are kept here; :func:`scannable` removes them.  Spark's file sources list
+    no names that start with ``.`` or ``_``; bring such files as a table.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     root = path.rstrip("/").rsplit("/", 1)[-1]
