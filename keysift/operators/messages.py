@@ -4,16 +4,12 @@ Entries are packed greedily in report order: a message is closed when the next
 entry would take it over the byte limit; an entry above the limit stands alone.
 A report in one row is packed in that row.  A report of several parts is packed
 part by part at the same time: a part's effect on the message being filled is a
-short table (see :func:`_transfer`), the tables of an app are chained, and then
+short table (see :func:`_part_table`), the tables of an app are chained, and then
 every part knows where it starts.  The messages are the same as from one fold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,106 +99,109 @@ def pack(entries: Column, limit: int, head: Column, start: Column) -> Column:
     return F.aggregate(entries, state, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
 
 
-def _transfer(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _part_table(sizes: Column, limit: int) -> list[Column]:
     """What a part does to the open message, for every size the message may have.
 
-    Returns ``upto, left, closed``: if the first message break falls before entry
-    ``k`` then ``left[k]`` bytes are open after the part and ``closed[k]`` messages
-    were closed.  The break falls before the first ``k`` with
-    ``size + upto[k] > limit``; only the first few entries can be that one.
+    ``upto``, ``left``, ``closed``: if the first break falls before entry ``k`` then
+    ``left[k]`` bytes are open after the part and ``closed[k]`` messages were closed.
+    The break falls before the first ``k`` with ``size + upto[k] > limit``, so only
+    the few entries that start within ``limit`` can be that one.
     """
-    total = np.cumsum(sizes)
-    before = total - sizes
-    nxt = np.searchsorted(total, before + limit, side="right")
-    n = len(sizes)
-    left, closed = np.empty(n, np.int64), np.empty(n, np.int64)
-    for k in range(n - 1, -1, -1):
-        # A lone entry above the limit is closed by the one after it.
-        j = max(nxt[k], k + 1)
-        if j >= n:
-            left[k], closed[k] = total[-1] - before[k], 1
-        else:
-            left[k], closed[k] = left[j], closed[j] + 1
-    few = int(np.searchsorted(before, limit, side="right"))
-    return total[:few], left[:few], closed[:few]
-
-
-def _part_tables(limit: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for sizes in batch["sizes"]:
-                sizes = np.asarray(sizes, np.int64)
-                upto, left, closed = _transfer(sizes, limit)
-                rows.append((int(sizes.sum()), upto.tolist(), left.tolist(), closed.tolist()))
-            tables = pd.DataFrame(rows, columns=["total", "upto", "left", "closed"])
-            yield pd.concat([batch.drop(columns="sizes").reset_index(drop=True), tables], axis=1)
-
-    return run
-
-
-def _chain(limit: int, keys: list[str]):
-    """Walk an app's part tables in order; one small row per part, no entries."""
-
-    def run(tables: pd.DataFrame) -> pd.DataFrame:
-        tables = tables.sort_values("part")
-        size, message, starts = int(tables["head_size"].iloc[0]), 0, []
-        for row in tables.itertuples():
-            starts.append((size, message))
-            k = int(np.searchsorted(row.upto, limit - size, side="right"))
-            if size + row.total <= limit:
-                size += row.total
-            else:
-                size, message = int(row.left[k]), message + int(row.closed[k])
-        out = tables[keys + ["part"]].copy()
-        out["start"], out["first"] = [s for s, _ in starts], [m for _, m in starts]
-        out["opens"] = np.arange(len(out)) == 0
-        return out
-
-    return run
+    sums = F.aggregate(
+        sizes,
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("upto")),
+        lambda acc, s: F.when(acc["at"] > limit, acc).otherwise(
+            F.struct(
+                (acc["at"] + s).alias("at"),
+                F.concat(acc["upto"], F.array(acc["at"] + s)).alias("upto"),
+            )
+        ),
+        lambda acc: acc["upto"],
+    )
+
+    def rest(k: Column) -> Column:
+        start = F.struct(F.get(sizes, k).cast("long").alias("left"), F.lit(1).cast("long").alias("closed"))
+        return F.aggregate(
+            F.slice(sizes, k + 2, F.size(sizes)),
+            start,
+            lambda acc, s: F.when(
+                acc["left"] + s > limit,
+                F.struct(s.cast("long").alias("left"), (acc["closed"] + 1).alias("closed")),
+            ).otherwise(F.struct((acc["left"] + s).alias("left"), acc["closed"].alias("closed"))),
+        )
+
+    few = F.sequence(F.lit(0), F.size(sums) - 1)
+    total = F.aggregate(sizes, F.lit(0).cast("long"), lambda acc, s: acc + s)
+    return [sums.alias("upto"), F.transform(few, rest).alias("rest"), total.alias("total")]
+
+
+def _chain(tables: Column, head_size: Column, limit: int) -> Column:
+    """Walk an app's part tables in order: where each part starts."""
+    state = F.struct(
+        head_size.cast("long").alias("size"),
+        F.lit(0).cast("long").alias("message"),
+        F.array().cast("array<struct<part:int,start:bigint,first:bigint>>").alias("starts"),
+    )
+
+    def step(acc: Column, table: Column) -> Column:
+        starts = F.concat(
+            acc["starts"],
+            F.array(F.struct(table["part"].alias("part"), acc["size"].alias("start"), acc["message"].alias("first"))),
+        )
+        # Sums grow, so the sums that fit count the entries before the break.
+        k = F.size(F.filter(table["upto"], lambda u: acc["size"] + u <= limit))
+        after = F.get(table["rest"], k)
+        fits = acc["size"] + table["total"] <= limit
+        return F.struct(
+            F.when(fits, acc["size"] + table["total"]).otherwise(after["left"]).alias("size"),
+            F.when(fits, acc["message"]).otherwise(acc["message"] + after["closed"]).alias("message"),
+            starts.alias("starts"),
+        )
+
+    return F.aggregate(tables, state, step, lambda acc: acc["starts"])
 
 
 def pack_reports(reports: DataFrame, header: Column, entry, limit: int) -> DataFrame:
-    """Messages of reports: the key columns, ``seq`` from 0 and ``body``."""
+    """Messages of reports: the key columns, ``seq`` from 0 and ``body``.
+
+    Pass reports read from a table: those in several parts are read twice.
+    """
     keys = [c for c in ("batch_id", "app_key") if c in reports.columns]
+    no_findings = F.array().cast(reports.schema["Findings"].dataType)
     texts = reports.select(
         *keys,
         "part",
         "parts",
         header.alias("head"),
-        F.transform(F.coalesce("Findings", F.array().cast(reports.schema["Findings"].dataType)), entry).alias("entries"),
+        F.transform(F.coalesce("Findings", no_findings), entry).alias("entries"),
     )
     single = texts.where(F.col("parts") == 1).select(
         *keys, F.posexplode(pack(F.col("entries"), limit, F.col("head"), F.octet_length("head"))).alias("seq", "body")
     )
     several = texts.where(F.col("parts") > 1)
-    key_types = ", ".join(f"{k} {reports.schema[k].dataType.simpleString()}" for k in keys)
-    sized = several.select(
+    sizes = several.select(
         *keys,
         "part",
         F.octet_length("head").alias("head_size"),
         F.transform("entries", lambda e: F.octet_length(e)).alias("sizes"),
     )
-    tables = sized.mapInPandas(
-        _part_tables(limit),
-        f"{key_types}, part int, head_size int, total long, upto array<long>, left array<long>, closed array<long>",
+    tables = sizes.select(*keys, "part", "head_size", *_part_table(F.col("sizes"), limit))
+    # One small row per part meets in an app's group, no entries.
+    starts = tables.groupBy(*keys).agg(
+        F.min("part").alias("first_part"),
+        _chain(
+            F.array_sort(F.collect_list(F.struct("part", "upto", "rest", "total"))), F.max("head_size"), limit
+        ).alias("starts"),
     )
-    starts = tables.groupBy(*keys).applyInPandas(
-        _chain(limit, keys), f"{key_types}, part int, start long, first long, opens boolean"
-    )
-    head = F.when(F.col("opens"), F.col("head")).otherwise("")
-    pieces = (
-        several.join(starts, [*keys, "part"])
-        .select(
-            *keys, "part", "first", F.posexplode(pack(F.col("entries"), limit, head, F.col("start"))).alias("pos", "piece")
-        )
-        .withColumn("seq", (F.col("first") + F.col("pos")).cast("int"))
+    starts = starts.select(*keys, "first_part", F.inline("starts"))
+    head = F.when(F.col("part") == F.col("first_part"), F.col("head")).otherwise("")
+    pieces = several.join(starts, [*keys, "part"]).select(
+        *keys, "part", "first", F.posexplode(pack(F.col("entries"), limit, head, F.col("start"))).alias("pos", "piece")
     )
     # The pieces of one message add up to at most the limit.
-    joined = pieces.groupBy(*keys, "seq").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("part", "piece"))), lambda p: p["piece"]), ""
-        ).alias("body")
+    ordered = F.array_sort(F.collect_list(F.struct("part", "piece")))
+    joined = pieces.groupBy(*keys, (F.col("first") + F.col("pos")).cast("int").alias("seq")).agg(
+        F.array_join(F.transform(ordered, lambda p: p["piece"]), "").alias("body")
     )
     return single.unionByName(joined)
 

@@ -11,26 +11,29 @@ from keysift.model import INT, LIST, METADATA_BLOCKS, METADATA_TOP, STRING
 _FIELDS = "map<string,variant>"
 
 
-def _typed(value: Column, kind: str) -> Column:
-    """``value`` if it has exactly the wanted JSON type, else the type's zero value."""
-    json_type = F.schema_of_variant(value)
+def _by_lower_name(document: str) -> str:
+    """A JSON object as a map by lower-case key; of keys that differ in case only, the last counts."""
+    entries = f"map_entries({document})"
+    later = f"slice({entries}, i + 2, size({entries}))"
+    last = f"filter({entries}, (e, i) -> not exists({later}, l -> lower(l.key) = lower(e.key)))"
+    return f"map_from_entries(transform({last}, e -> struct(lower(e.key), e.value)))"
+
+
+def _typed(block: str, name: str, kind: str) -> str:
+    """The field if it has exactly the wanted JSON type, else the type's zero value."""
+    value = f"try_element_at({block}, '{name.lower()}')"
     if kind == STRING:
-        return F.when(json_type == "STRING", F.try_variant_get(value, "$", "string")).otherwise("")
+        return f"if(schema_of_variant({value}) = 'STRING', try_variant_get({value}, '$', 'string'), '')"
     if kind == INT:
-        return F.when(json_type == "BIGINT", F.try_variant_get(value, "$", "bigint")).otherwise(F.lit(0).cast("long"))
+        return f"if(schema_of_variant({value}) = 'BIGINT', try_variant_get({value}, '$', 'bigint'), 0L)"
     # Elements of another type count as empty strings.
-    items = F.transform(
-        F.try_variant_get(value, "$", "array<variant>"),
-        lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(""),
-    )
-    empty = F.array().cast("array<string>")
-    return F.coalesce(F.when(F.startswith(json_type, F.lit("ARRAY")), items), empty)
+    item = "if(schema_of_variant(x) = 'STRING', try_variant_get(x, '$', 'string'), '')"
+    items = f"transform(try_variant_get({value}, '$', 'array<variant>'), x -> {item})"
+    return f"coalesce(if(schema_of_variant({value}) like 'ARRAY%', {items}, null), cast(array() as array<string>))"
 
 
-def _field(entries: Column, name: str) -> Column:
-    """The last entry of that name, whatever its case."""
-    same = F.filter(entries, lambda e: F.lower(e["key"]) == name.lower())
-    return F.try_element_at(same, F.lit(-1))["value"]
+def _struct(block: str, fields) -> str:
+    return f"named_struct({', '.join(f"'{name}', {_typed(block, name, kind)}" for name, kind in fields)})"
 
 
 def parse_metadata(documents: DataFrame) -> DataFrame:
@@ -40,19 +43,18 @@ def parse_metadata(documents: DataFrame) -> DataFrame:
     the wrong type is zero-valued and the others are kept, a broken document is
     all zero.
     """
-    whole = F.when(F.try_parse_json("json").isNotNull(), F.from_json("json", _FIELDS))
-    step = documents.select("app_key", F.map_entries(whole).alias("top"))
-    blocks = {
-        block: F.map_entries(F.try_variant_get(_field(F.col("top"), block), "$", _FIELDS))
-        for block in METADATA_BLOCKS
-    }
-    step = step.select("app_key", "top", *(v.alias(f"in_{k}") for k, v in blocks.items()))
-    top = [_typed(_field(F.col("top"), name), kind).alias(name) for name, kind in METADATA_TOP]
-    nested = [
-        F.struct(*(_typed(_field(F.col(f"in_{block}"), name), kind).alias(name) for name, kind in fields)).alias(block)
-        for block, fields in METADATA_BLOCKS.items()
-    ]
-    return step.select("app_key", F.struct(*top, *nested).alias("Metadata"))
+    whole = f"if(try_parse_json(json) is not null, from_json(json, '{_FIELDS}'), null)"
+    step = documents.selectExpr("app_key", f"{whole} as document")
+    step = step.selectExpr("app_key", f"{_by_lower_name('document')} as top")
+    step = step.selectExpr(
+        "app_key",
+        "top",
+        *(f"try_variant_get(top['{block.lower()}'], '$', '{_FIELDS}') as {block}" for block in METADATA_BLOCKS),
+    )
+    step = step.selectExpr("app_key", "top", *(f"{_by_lower_name(block)} as in_{block}" for block in METADATA_BLOCKS))
+    top = [f"'{name}', {_typed('top', name, kind)}" for name, kind in METADATA_TOP]
+    nested = [f"'{block}', {_struct(f'in_{block}', fields)}" for block, fields in METADATA_BLOCKS.items()]
+    return step.selectExpr("app_key", f"named_struct({', '.join(top + nested)}) as Metadata")
 
 
 def flat_metadata(metadata: DataFrame, *, arrays_as_text: bool = False) -> DataFrame:

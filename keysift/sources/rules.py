@@ -82,8 +82,17 @@ def load_rules(spark: SparkSession, folder: str = SHIPPED_PACKS) -> DataFrame:
     return spark.createDataFrame([tuple(vars(r).values()) for r in read_packs(folder)[0]], RULE)
 
 
+_CHECKED: dict[str, str | None] = {}
+
+
 def regex_error(spark: SparkSession, regex: str) -> str | None:
     """Why Spark's regex engine rejects a rule, or None."""
+    if regex not in _CHECKED:
+        _CHECKED[regex] = _compile_error(spark, regex)
+    return _CHECKED[regex]
+
+
+def _compile_error(spark: SparkSession, regex: str) -> str | None:
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(DIALECT + regex)
     except Exception as error:

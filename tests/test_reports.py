@@ -1,7 +1,6 @@
 import json
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,24 +124,29 @@ def test_packing_is_greedy_for_any_part_size(spark, part_size, limit):
         assert packed[app] == list(enumerate(greedy(parts, limit))), app
 
 
-def test_part_tables_against_a_plain_fold():
+def test_chained_part_tables_against_a_plain_fold(spark):
     rng = random.Random(2)
-    for _ in range(300):
-        limit = rng.randint(5, 40)
-        sizes = np.array([rng.randint(1, 50 if rng.random() < 0.2 else 12) for _ in range(rng.randint(1, 30))])
-        upto, left, closed = m._transfer(sizes, limit)
-        for start in range(0, limit + 30):
-            size, messages = start, 0
+    limit, rows = 30, []
+    for app in range(150):
+        for part in sorted(rng.sample(range(12), rng.randint(1, 6))):
+            sizes = [rng.randint(1, 50 if rng.random() < 0.2 else 12) for _ in range(rng.randint(1, 30))]
+            rows.append((app, part, sizes, 3 + app % 40))
+    frame = spark.createDataFrame(rows, "app int, part int, sizes array<int>, head int")
+    tables = frame.select("app", "part", "head", *m._part_table(F.col("sizes"), limit))
+    chained = tables.groupBy("app").agg(
+        m._chain(F.array_sort(F.collect_list(F.struct("part", "upto", "rest", "total"))), F.max("head"), limit).alias("s")
+    )
+    got = {r.app: [tuple(x) for x in r.s] for r in chained.collect()}
+    for app in range(150):
+        size, message, expected = 3 + app % 40, 0, []
+        for _, part, sizes, _ in (r for r in rows if r[0] == app):
+            expected.append((part, size, message))
             for s in sizes:
                 if size + s > limit:
-                    size, messages = s, messages + 1
+                    size, message = s, message + 1
                 else:
                     size += s
-            if start + sizes.sum() <= limit:
-                assert (size, messages) == (start + sizes.sum(), 0)
-            else:
-                k = int(np.searchsorted(upto, limit - start, side="right"))
-                assert (size, messages) == (left[k], closed[k])
+        assert got[app] == expected, app
 
 
 def test_exact_limit_and_oversize(spark):
