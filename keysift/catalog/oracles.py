@@ -343,6 +343,8 @@ ORACLES: dict[str, str] = {
  FROM attached GROUP BY channel, ts""",
         **_MAIL,
     ),
+    "d9_ticket_requests": """SELECT 'SEC-' || page_id AS ticket_id, url || '.apk' AS file_url,
+ regexp_extract(url || '.apk', '[^/]*$') AS FileName FROM pages WHERE url NOT LIKE '%?%'""",
     "a1_distinct_secrets": _with("SELECT * FROM secrets", **_FOUND),
     "a2_count_by_app": _with("SELECT app_key, count(*) AS n_findings FROM secrets GROUP BY app_key", **_FOUND),
     "a6_count_by_type": _with("SELECT Type, count(*) AS n_findings FROM findings GROUP BY Type", **_SCAN),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keysift.catalog import inputs
 from keysift.functions import text as fx
 from keysift.model import FINDINGS
-from keysift.operators.attachments import flatten_files, requested_files
+from keysift.operators.attachments import flatten_files, requested_files, ticket_requests
 from keysift.operators.dedupe import count_by_app, count_by_rule, count_by_type, distinct_secrets
 from keysift.operators.duplicates import first_stored, known_content, new_content
 from keysift.operators.messages import chat_messages, chat_notifications, ticket_messages, ticket_notifications
@@ -376,6 +376,15 @@ def w1_last_attachment(spark, sf):
     return requested_files(found, found.select("channel", "ts").distinct())
 
 
+@query
+def d9_ticket_requests(spark, sf):
+    url = F.concat("url", F.when(F.contains("url", F.lit("?")), ".zip").otherwise(".apk"))
+    requests = inputs.table(spark, sf, "pages").select(
+        F.concat(F.lit("SEC-"), F.col("page_id").cast("string")).alias("ticket_id"), url.alias("file_url")
+    )
+    return ticket_requests(requests)
+
+
 # Aggregations ----------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 RULE = "pack string, ordinal int, name string, regex string, confidence string, multiline boolean"
 RULE_ERROR = "pack string, ordinal int, name string, regex string, error string"
 
@@ -85,3 +87,10 @@ METADATA_BLOCKS = {
         ),
     ),
 }
+
+
+def require(frame: DataFrame, *columns: str) -> None:
+    """Reject an input that lacks a column."""
+    missing = [c for c in columns if c not in frame.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keysift.functions.text import is_app_file, last_segment
+from keysift.model import require
+
 
 def flatten_files(messages: DataFrame) -> DataFrame:
     """``messages(channel, msg_pos, ts, files)`` to one row per attachment."""
@@ -19,9 +22,7 @@ def requested_files(messages: DataFrame, requests: DataFrame) -> DataFrame:
     Among messages of equal time the later one wins.  Attachments are reduced to
     one per message time before the join, so no message group meets the requests whole.
     """
-    for name in ("channel", "ts"):
-        if name not in requests.columns:
-            raise ValueError(f"requests need a column {name}")
+    require(requests, "channel", "ts")
     last = (
         flatten_files(messages)
         .groupBy("channel", "ts")
@@ -30,3 +31,13 @@ def requested_files(messages: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(last, ["channel", "ts"]).select(
         *requests.columns, F.col("file.url").alias("url"), F.col("file.name").alias("name")
     )
+
+
+def ticket_requests(requests: DataFrame) -> DataFrame:
+    """``requests(ticket_id, file_url)`` that name an app file, with its name.
+
+    Only these columns pass: credentials have no place in a table.
+    """
+    require(requests, "ticket_id", "file_url")
+    named = requests.select("ticket_id", "file_url", last_segment(F.col("file_url")).alias("FileName"))
+    return named.where(is_app_file(F.col("FileName")))

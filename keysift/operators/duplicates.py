@@ -9,11 +9,11 @@ HOT_COPIES = 1_000_000
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, hot: int = HOT_COPIES) -> DataFrame:
-    """Inner join to a side that is unique in ``key``, when some keys fill ``left``.
+    """Inner join where some keys fill ``left`` and have few rows in ``right``.
 
     Keys with more than ``hot`` rows are split into pieces of about that size and
-    their single right row is repeated per piece.  There are at most
-    ``rows / hot`` such keys.
+    their right rows are repeated per piece.  There are at most ``rows / hot``
+    such keys.
     """
     heavy = (
         left.groupBy(key)

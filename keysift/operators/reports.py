@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keysift.model import FINDING_FIELDS, FINDING_ORDER, FINDINGS, PACKAGE_LISTS, PACKAGE_STRINGS
+from keysift.model import FINDING_FIELDS, FINDING_ORDER, FINDINGS, PACKAGE_LISTS, PACKAGE_STRINGS, require
 
 PART_SIZE = 10_000
 
@@ -63,18 +63,25 @@ def build_reports(
 ) -> DataFrame:
     """``apps(app_key, FileName, APKHash)`` joined with what is known of each.
 
-    Every app has a report; one without findings has a null list, which renders
+    Pass findings read from a table: they are read more than once.  Every app has
+    a report; one without findings has a null list, which renders
     as JSON ``null``.
     """
-    parts = collect_findings(findings, part_size)
-    joined = apps.join(facts, "app_key", "left").join(metadata, "app_key", "left")
-    return joined.join(parts, "app_key", "left").select(
+    require(apps, "app_key", "FileName", "APKHash")
+    found = collect_findings(findings, part_size).select("app_key", "part", "Findings")
+    counts = findings.groupBy("app_key").agg(F.count(F.lit(1)).alias("n_findings"))
+    one_each = apps.join(facts, "app_key", "left").join(metadata, "app_key", "left").join(counts, "app_key", "left")
+    parts = F.coalesce(F.ceil(F.col("n_findings") / part_size).cast("int"), F.lit(1))
+    # Joined by part, so the parts of a large app do not meet in one task.
+    numbered = one_each.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    joined = numbered.join(found, ["app_key", "part"], "left")
+    return joined.where((F.col("parts") == 1) | F.col("Findings").isNotNull()).select(
         "app_key",
         "FileName",
         "APKHash",
         F.coalesce("VersionName", F.lit("")).alias("APKVersion"),
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("parts", F.lit(1)).alias("parts"),
+        "part",
+        "parts",
         F.coalesce("n_findings", F.lit(0).cast("long")).alias("n_findings"),
         F.col("Findings").cast(FINDINGS).alias("Findings"),
         "Metadata",

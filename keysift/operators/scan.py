@@ -21,19 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift.functions.text import extract_secret, trim_space
+from keysift.model import require
 from keysift.sources.rules import DIALECT, DIALECT_MULTILINE, Matcher, Rule, matchers
 
 WORD = 62  # bits used per mask column
-FINDING_COLUMNS = (
-    "app_key",
-    "pack",
-    "ordinal",
-    "Type",
-    "LineNo",
-    "FileLocation",
-    "SecretType",
-    "SecretString",
-)
 
 
 def sql_string(text: str) -> str:
@@ -232,21 +223,15 @@ def _span_hits(files: DataFrame, found: list[Matcher], first_rule_only: bool) ->
             text = folded("text") if matcher.guard.ignore_case else "text"
             guarded = F.when(F.expr(_has_any(text, matcher.guard.groups[0])), guarded)
         parts.append(F.struct(guarded.alias("lines"), rules.alias("rules")))
-    matched = files.select("app_key", "file_path", "text", F.explode(F.array(*parts)).alias("m"))
-    each = matched.select(
-        "app_key",
-        "file_path",
-        F.explode(
-            F.when(
-                F.size("m.lines") > 0,
-                F.transform(
-                    F.col("m.lines"),
-                    lambda n: F.struct(n.alias("n"), F.get(F.split("text", "\n", -1), n - 1).alias("line")),
-                ),
-            )
-        ).alias("at"),
-        F.col("m.rules").alias("rules"),
+    matched = files.select(
+        "app_key", "file_path", "text", F.explode(F.filter(F.array(*parts), lambda p: p["lines"].isNotNull())).alias("m")
+    )
+    # Only files with a match get here; each is split once per matching rule.
+    split = matched.select("app_key", "file_path", "m", F.split("text", "\n", -1).alias("pieces"))
+    numbered = F.transform(
+        F.col("m.lines"), lambda n: F.struct(n.alias("n"), F.get(F.col("pieces"), n - 1).alias("line"))
     )
+    each = split.select("app_key", "file_path", F.explode(numbered).alias("at"), F.col("m.rules").alias("rules"))
     return each.select("app_key", "file_path", "at", F.explode("rules").alias("rule")).select(
         "app_key",
         F.col("file_path").alias("FileLocation"),
@@ -260,6 +245,7 @@ def rule_hits(
     files: DataFrame, rules: DataFrame | Iterable[Rule], *, first_rule_only: bool = False
 ) -> DataFrame:
     """Which rule matches which line: ``(app_key, FileLocation, LineNo, line, pack, ordinal, Type)``."""
+    require(files, "app_key", "file_path", "text")
     found = matchers(files.sparkSession, rules)
     single = [m for m in found if not m.rules[0].multiline]
     spanning = [m for m in found if m.rules[0].multiline]

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keysift.model import require
 from keysift.operators.dedupe import distinct_secrets
-from keysift.operators.duplicates import first_of_batch, known_content, new_content
+from keysift.operators.duplicates import first_of_batch, first_stored, known_content, new_content, skew_join
 from keysift.operators.metadata import parse_metadata
 from keysift.operators.package import package_facts
 from keysift.operators.reports import PART_SIZE, build_reports
@@ -70,7 +71,12 @@ def scan_batch(
     earlier batch, or submitted before in this one, is answered and not scanned.
     Repeating a batch id repeats its result.
     """
+    require(submissions, "app_key", "FileName", "APKHash")
+    if not store_path:
+        raise ValueError("a store path is required")
     spark = submissions.sparkSession
+    # Fingerprints cost a pass over all content; the steps below read them from here.
+    submissions = stage(submissions.select("app_key", "FileName", "APKHash"), "submissions")
     earlier = load_store(spark, store_path, before=batch_id)
     fresh = first_of_batch(submissions) if rescan_duplicates else new_content(submissions, earlier)
     fresh = stage(fresh.select("app_key"), "fresh")
@@ -87,6 +93,7 @@ def scan_batch(
 
 def duplicate_replies(submissions: DataFrame, store: DataFrame) -> DataFrame:
     """The stored report, all parts, for every submission whose content is known."""
-    known = known_content(submissions, store)
-    report = store.withColumnRenamed("batch_id", "reply_batch").withColumnRenamed("app_key", "reply_app")
-    return known.join(report.drop("APKHash"), ["reply_batch", "reply_app"])
+    first = first_stored(store)
+    reports = store.join(first, ["APKHash", "batch_id", "app_key"], "left_semi")
+    reports = reports.withColumnRenamed("batch_id", "reply_batch").withColumnRenamed("app_key", "reply_app")
+    return skew_join(submissions.select("app_key", "APKHash"), reports, "APKHash", "app_key")

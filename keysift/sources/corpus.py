@@ -37,7 +37,12 @@ def lines(files: DataFrame, *, with_end: bool = False) -> DataFrame:
     whether a ``\\n`` follows the line.
     """
     pieces = F.split("text", "\n", -1)
-    each = files.select("app_key", "file_path", F.size(pieces).alias("n"), F.posexplode(pieces).alias("pos", "line"))
+    split = files.select("app_key", "file_path", pieces.alias("pieces"), F.size(pieces).alias("n"))
+    # Only the count travels with a line.  The coalesce keeps the generator's input an
+    # expression, for which no filter is inferred: it would split every text twice.
+    each = split.select(
+        "app_key", "file_path", "n", F.posexplode(F.coalesce("pieces", F.array().cast("array<string>"))).alias("pos", "line")
+    )
     ended = F.col("pos") + 1 < F.col("n")
     return each.where(ended | (F.col("line") != "")).select(
         "app_key", "file_path", (F.col("pos") + 1).alias("line_no"), "line", *([ended.alias("ended")] if with_end else [])
