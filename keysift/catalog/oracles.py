@@ -172,8 +172,8 @@ _REPORT_CTES = {
     "all_meta": _metadata(),
     "meta": "SELECT app_key, fileName, resourceData_menu AS menu FROM all_meta",
     "reports": """SELECT apps.app_key, apps.FileName, APKHash, coalesce(VersionName, '') AS APKVersion,
- coalesce(n_findings, 0) AS n_findings, PackageName, meta.fileName AS metadata_file, menu,
- coalesce(json, 'null') AS SecretModel, Densities
+ coalesce(n_findings, 0) AS n_findings, coalesce(PackageName, '') AS PackageName,
+ coalesce(meta.fileName, '') AS metadata_file, coalesce(menu, 0) AS menu, coalesce(json, 'null') AS SecretModel, Densities
  FROM apps LEFT JOIN facts USING (app_key) LEFT JOIN meta USING (app_key) LEFT JOIN found_json USING (app_key)""",
 }
 

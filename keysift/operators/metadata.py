@@ -57,6 +57,17 @@ def parse_metadata(documents: DataFrame) -> DataFrame:
     return step.selectExpr("app_key", f"named_struct({', '.join(top + nested)}) as Metadata")
 
 
+def zero_metadata() -> Column:
+    """Metadata of an app that has none."""
+    zero = {STRING: "''", INT: "0L", LIST: "cast(array() as array<string>)"}
+    top = [f"'{name}', {zero[kind]}" for name, kind in METADATA_TOP]
+    blocks = [
+        f"'{block}', named_struct({', '.join(f"'{name}', {zero[kind]}" for name, kind in fields)})"
+        for block, fields in METADATA_BLOCKS.items()
+    ]
+    return F.expr(f"named_struct({', '.join(top + blocks)})")
+
+
 def flat_metadata(metadata: DataFrame, *, arrays_as_text: bool = False) -> DataFrame:
     """One column per field, prefixed by its block (two blocks share a field name)."""
 

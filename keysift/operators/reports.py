@@ -8,10 +8,11 @@ evenly.  Findings are ordered within a part, parts by number.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift.model import FINDING_FIELDS, FINDING_ORDER, FINDINGS, PACKAGE_LISTS, PACKAGE_STRINGS, require
+from keysift.operators.metadata import zero_metadata
 
 PART_SIZE = 10_000
 
@@ -45,13 +46,15 @@ def collect_findings(findings: DataFrame, part_size: int = PART_SIZE) -> DataFra
     )
 
 
-def package_struct(facts: DataFrame):
+def package_struct() -> Column:
+    """Package facts as stored; an app without any has empty ones."""
+    none = F.array().cast("array<string>")
     return F.struct(
         F.lit(0).alias("PackageDataID"),
         F.col("APKHash"),
-        *(F.col(c) for c in PACKAGE_STRINGS),
-        *(F.col(c) for c in PACKAGE_LISTS),
-    ).alias("PackageDataModel")
+        *(F.coalesce(c, F.lit("")).alias(c) for c in PACKAGE_STRINGS),
+        *(F.coalesce(c, none).alias(c) for c in PACKAGE_LISTS),
+    )
 
 
 def build_reports(
@@ -84,17 +87,17 @@ def build_reports(
         "parts",
         F.coalesce("n_findings", F.lit(0).cast("long")).alias("n_findings"),
         F.col("Findings").cast(FINDINGS).alias("Findings"),
-        "Metadata",
-        package_struct(facts),
+        F.coalesce("Metadata", zero_metadata()).alias("Metadata"),
+        package_struct().alias("PackageDataModel"),
     )
 
 
-def findings_json(findings) -> F.Column:
+def findings_json(findings) -> Column:
     """Compact JSON array; ``null`` for no findings."""
     return F.coalesce(F.to_json(findings), F.lit("null"))
 
 
-def parse_findings(text) -> F.Column:
+def parse_findings(text) -> Column:
     """JSON array of a stored report back to findings."""
     return F.from_json(text, FINDINGS)
 

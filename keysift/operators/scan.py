@@ -25,80 +25,100 @@ from keysift.model import require
 from keysift.sources.rules import DIALECT, DIALECT_MULTILINE, Matcher, Rule, matchers
 
 WORD = 62  # bits used per mask column
+GROUP = 8  # rules behind one test of their probes
 
 
 def sql_string(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _bits(flags: list[str]) -> list[str]:
+def _union(terms: list[str]) -> str:
+    """Bitwise or, pairwise, which keeps the expression shallow."""
+    while len(terms) > 1:
+        terms = [f"({' | '.join(terms[i : i + 2])})" for i in range(0, len(terms), 2)]
+    return terms[0]
+
+
+def _flag(test: str, position: int) -> str:
+    return f"if({test}, {1 << (position % WORD)}L, 0L)"
+
+
+def _bits(tests: list[str]) -> list[str]:
     """Pack conditions into as few longs as they need."""
+    flags = [_flag(test, i) for i, test in enumerate(tests)]
+    return [_union(flags[start : start + WORD]) for start in range(0, len(flags), WORD)]
+
+
+def _bit(name: str, positions: Iterable[int]) -> str:
+    """Whether any of these bits is set."""
+    masks: dict[int, int] = {}
+    for p in positions:
+        masks[p // WORD] = masks.get(p // WORD, 0) | 1 << (p % WORD)
+    return f"({' or '.join(f'({name}{word} & {mask}L) != 0' for word, mask in sorted(masks.items()))})"
+
+
+def _grouped_bits(tests: list[str], needs: list[set[int]], weight: list[int]) -> list[str]:
+    """As :func:`_bits`, for rules of which a file enables few.
+
+    Rules are tested in groups behind one test of all their probes.  Rules with
+    long, rare probes share groups, so most lines skip them eight at a time.
+    """
     words = []
-    for start in range(0, len(flags), WORD):
-        terms = [f"if({flag}, {1 << i}L, 0L)" for i, flag in enumerate(flags[start : start + WORD])]
-        while len(terms) > 1:  # pairwise, which keeps the expression shallow
-            terms = [f"({' | '.join(terms[i : i + 2])})" for i in range(0, len(terms), 2)]
-        words.append(terms[0])
+    for start in range(0, len(tests), WORD):
+        rules = sorted(range(start, min(start + WORD, len(tests))), key=lambda r: (-weight[r], min(needs[r])))
+        terms = []
+        for at in range(0, len(rules), GROUP):
+            group = rules[at : at + GROUP]
+            enabled = _bit("probe", set().union(*(needs[r] for r in group)))
+            terms.append(f"if({enabled}, {_union([_flag(tests[r], r) for r in group])}, 0L)")
+        words.append(_union(terms))
     return words
 
 
-def _any_bit(words: list[str], bits: set[int]) -> str:
-    tests = []
-    for w, name in enumerate(words):
-        mask = sum(1 << (b - w * WORD) for b in bits if w * WORD <= b < (w + 1) * WORD)
-        if mask:
-            tests.append(f"({name} & {mask}L) != 0")
-    return f"({' or '.join(tests)})"
+Word = tuple[str, bool]  # a literal, and whether case is ignored
 
 
-def plan_probes(found: list[Matcher]) -> tuple[list[tuple[str, bool]], list[set[int] | None]]:
-    """Few literals that stand for all guards, and the probes each rule depends on.
+def plan_probes(found: list[Matcher]) -> tuple[list[Word], dict[Word, int]]:
+    """Few literals that stand for all guard words, and the probe of each word.
 
-    A literal that contains another one needs no probe of its own; literals that
-    start alike share their common start.  ``None`` marks an unguarded rule.
+    A word that contains another one needs no probe of its own; words that start
+    alike share their common start.
     """
-    wanted: list[list[tuple[str, bool]] | None] = []
+    wanted: list[Word] = []
     for matcher in found:
-        if matcher.guard is None:
-            wanted.append(None)
-            continue
-        group = min(matcher.guard.groups, key=lambda g: (min(map(len, g)) < 2, len(g) - min(map(len, g))))
-        wanted.append([(word, matcher.guard.ignore_case) for word in group])
-    words = list(dict.fromkeys(w for group in wanted if group for w in group))
-
-    heads: dict[tuple[str, bool], list[str]] = {}
-    for word, fold in words:
+        if matcher.guard is not None:
+            wanted += [(word, matcher.guard.ignore_case) for word in probe_group(matcher)]
+    wanted = list(dict.fromkeys(wanted))
+
+    heads: dict[Word, list[str]] = {}
+    for word, fold in wanted:
         if len(word) > 3:
             heads.setdefault((word[:3], fold), []).append(word)
-    start = {}
-    for (head, fold), group in heads.items():
+    start: dict[Word, Word] = {}
+    for (_, fold), group in heads.items():
         common = group[0]
         for word in group[1:]:
             while not word.startswith(common):
                 common = common[:-1]
         start.update({(word, fold): (common, fold) for word in group})
-    words = list(dict.fromkeys(start.get(w, w) for w in words))
-
-    def holder(word: tuple[str, bool]) -> tuple[str, bool]:
-        """The shortest probe that every text with ``word`` also contains."""
-        text, fold = word
-        inside = [(w, f) for w, f in words if (w in text.lower() if f else not fold and w in text)]
-        return min(inside, key=lambda p: (len(p[0]), p))
-
-    probes: list[tuple[str, bool]] = []
-    needs: list[set[int] | None] = []
-    for group in wanted:
-        if group is None:
-            needs.append(None)
-            continue
-        bits = set()
-        for word in group:
-            probe = holder(start.get(word, word))
-            if probe not in probes:
-                probes.append(probe)
-            bits.add(probes.index(probe))
-        needs.append(bits)
-    return probes, needs
+    candidates = list(dict.fromkeys(start.get(w, w) for w in wanted))
+
+    probes: list[Word] = []
+    probe_of: dict[Word, int] = {}
+    for word in wanted:
+        text, fold = start.get(word, word)
+        # The shortest candidate that every text with the word also contains.
+        inside = [(w, f) for w, f in candidates if (w in text.lower() if f else not fold and w in text)]
+        probe = min(inside, key=lambda p: (len(p[0]), p))
+        if probe not in probes:
+            probes.append(probe)
+        probe_of[word] = probes.index(probe)
+    return probes, probe_of
+
+
+def probe_group(matcher: Matcher) -> tuple[str, ...]:
+    """The guard group to look for in whole files: few and long words."""
+    return min(matcher.guard.groups, key=lambda g: (min(map(len, g)) < 2, len(g) - min(map(len, g))))
 
 
 def folded(text: str) -> str:
@@ -127,12 +147,10 @@ def _line_hits(files: DataFrame, found: list[Matcher], first_rule_only: bool) ->
 
     Written as SQL text: the conditions of a hundred rules are one parse this way.
     """
-    probes, needs = plan_probes(found)
+    probes, probe_of = plan_probes(found)
     words: list[str] = []
     pieces = r"split(text, '\\n', -1)"
-    if None in needs:  # an unguarded rule has to see every line anyway
-        needs = [None] * len(found)
-    else:
+    if all(m.guard for m in found):  # else an unguarded rule has to see every line anyway
         flags = [f"contains({folded('text') if fold else 'text'}, {sql_string(word)})" for word, fold in probes]
         columns = _bits(flags)
         words = [f"probe{i}" for i in range(len(columns))]
@@ -148,17 +166,29 @@ def _line_hits(files: DataFrame, found: list[Matcher], first_rule_only: bool) ->
         "app_key", "file_path as FileLocation", "pos + 1 as LineNo", "pos + 1 < n as ended", "line", f"{folded('line')} as low", *words
     )
     flags = []
-    for matcher, need in zip(found, needs):
-        tests = [_any_bit(words, need)] if need else []
-        if matcher.guard is not None:
-            text = "low" if matcher.guard.ignore_case else "line"
-            tests += [_has_any(text, group) for group in matcher.guard.groups]
-        else:  # a text that ends in \n has no further line after it
+    for matcher in found:
+        tests = []
+        if matcher.guard is None:  # a text that ends in \n has no further line after it
             tests.append("(ended or line != '')")
+        else:
+            fold = matcher.guard.ignore_case
+            first = probe_group(matcher)
+            # A line is searched only for the words whose probe its file has.
+            for group in sorted(matcher.guard.groups, key=lambda g: g is not first):
+                present = [
+                    f"{_bit('probe', [probe_of[word, fold]])} and " if words and group is first else "" for word in group
+                ]
+                has = [f"contains({'low' if fold else 'line'}, {sql_string(word)})" for word in group]
+                tests.append(f"({' or '.join(p + h for p, h in zip(present, has))})")
         subject = _subject("line", matcher)
         tests.append(rf"if(ended, concat({subject}, '\n'), {subject}) rlike {sql_string(DIALECT + matcher.regex)}")
         flags.append(" and ".join(tests))
-    columns = _bits(flags)
+    if words:
+        groups = [[(word, m.guard.ignore_case) for word in probe_group(m)] for m in found]
+        needs = [{probe_of[word] for word in group} for group in groups]
+        columns = _grouped_bits(flags, needs, [min(len(probes[i][0]) for i in need) for need in needs])
+    else:
+        columns = _bits(flags)
     names = [f"hit{i}" for i in range(len(columns))]
     hits = each.selectExpr("app_key", "FileLocation", "LineNo", "line", *(f"{c} as {n}" for c, n in zip(columns, names)))
 
