@@ -501,6 +501,8 @@ def k6_ticket_notifications(spark, sf):
 def _document_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = inputs.table(spark, sf, "documents").schema.simpleString()[len("struct<") : -1]
     stream = arriving_files(spark, sf, schema.replace(":", " "), pathGlobFilter="documents.parquet")
+    # One file would be one task.
+    stream = stream.repartition(spark.sparkContext.defaultParallelism, "doc_id")
     return inputs.with_planted_line(stream)
 
 

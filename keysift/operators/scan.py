@@ -26,6 +26,7 @@ from keysift.sources.rules import DIALECT, DIALECT_MULTILINE, Matcher, Rule, mat
 
 WORD = 62  # bits used per mask column
 GROUP = 8  # rules behind one test of their probes
+BLOCK = 512  # matches folded at a time
 
 
 def sql_string(text: str) -> str:
@@ -62,11 +63,13 @@ def _grouped_bits(tests: list[str], needs: list[set[int]], weight: list[int]) ->
 
     Rules are tested in groups behind one test of all their probes.  Rules with
     long, rare probes share groups, so most lines skip them eight at a time.
+    Rules without probes are always tested.
     """
     words = []
     for start in range(0, len(tests), WORD):
-        rules = sorted(range(start, min(start + WORD, len(tests))), key=lambda r: (-weight[r], min(needs[r])))
-        terms = []
+        here = range(start, min(start + WORD, len(tests)))
+        terms = [_flag(tests[r], r) for r in here if not needs[r]]
+        rules = sorted((r for r in here if needs[r]), key=lambda r: (-weight[r], min(needs[r])))
         for at in range(0, len(rules), GROUP):
             group = rules[at : at + GROUP]
             enabled = _bit("probe", set().union(*(needs[r] for r in group)))
@@ -148,13 +151,12 @@ def _line_hits(files: DataFrame, found: list[Matcher], first_rule_only: bool) ->
     Written as SQL text: the conditions of a hundred rules are one parse this way.
     """
     probes, probe_of = plan_probes(found)
-    words: list[str] = []
+    flags = [f"contains({folded('text') if fold else 'text'}, {sql_string(word)})" for word, fold in probes]
+    columns = _bits(flags)
+    words = [f"probe{i}" for i in range(len(columns))]
+    files = files.selectExpr("app_key", "file_path", "text", *(f"{c} as {n}" for c, n in zip(columns, words)))
     pieces = r"split(text, '\\n', -1)"
-    if all(m.guard for m in found):  # else an unguarded rule has to see every line anyway
-        flags = [f"contains({folded('text') if fold else 'text'}, {sql_string(word)})" for word, fold in probes]
-        columns = _bits(flags)
-        words = [f"probe{i}" for i in range(len(columns))]
-        files = files.selectExpr("app_key", "file_path", "text", *(f"{c} as {n}" for c, n in zip(columns, words)))
+    if all(m.guard for m in found):  # an unguarded rule has to see every line
         pieces = f"if({' or '.join(f'{w} != 0' for w in words)}, {pieces}, null)"
     split = files.selectExpr("app_key", "file_path", *words, f"{pieces} as pieces", f"size({pieces}) as n")
     # The coalesce keeps the generator's input an expression, for which no filter is
@@ -176,19 +178,18 @@ def _line_hits(files: DataFrame, found: list[Matcher], first_rule_only: bool) ->
             # A line is searched only for the words whose probe its file has.
             for group in sorted(matcher.guard.groups, key=lambda g: g is not first):
                 present = [
-                    f"{_bit('probe', [probe_of[word, fold]])} and " if words and group is first else "" for word in group
+                    f"{_bit('probe', [probe_of[word, fold]])} and " if group is first else "" for word in group
                 ]
                 has = [f"contains({'low' if fold else 'line'}, {sql_string(word)})" for word in group]
                 tests.append(f"({' or '.join(p + h for p, h in zip(present, has))})")
         subject = _subject("line", matcher)
         tests.append(rf"if(ended, concat({subject}, '\n'), {subject}) rlike {sql_string(DIALECT + matcher.regex)}")
         flags.append(" and ".join(tests))
-    if words:
-        groups = [[(word, m.guard.ignore_case) for word in probe_group(m)] for m in found]
-        needs = [{probe_of[word] for word in group} for group in groups]
-        columns = _grouped_bits(flags, needs, [min(len(probes[i][0]) for i in need) for need in needs])
-    else:
-        columns = _bits(flags)
+    needs = [
+        {probe_of[word, m.guard.ignore_case] for word in probe_group(m)} if m.guard else set() for m in found
+    ]
+    rarity = [min((len(probes[i][0]) for i in need), default=0) for need in needs]
+    columns = _grouped_bits(flags, needs, rarity)
     names = [f"hit{i}" for i in range(len(columns))]
     hits = each.selectExpr("app_key", "FileLocation", "LineNo", "line", *(f"{c} as {n}" for c, n in zip(columns, names)))
 
@@ -222,23 +223,49 @@ def _span_hits(files: DataFrame, found: list[Matcher], first_rule_only: bool) ->
     def touched(matcher: Matcher) -> Column:
         pattern = DIALECT_MULTILINE + matcher.regex
         text = F.expr(_subject("text", matcher))
-        steps = F.arrays_zip(
+        pairs = F.arrays_zip(
             F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("hit")
         )
-        state = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("lines"))
-
-        def step(acc: Column, item: Column) -> Column:
-            first = acc["at"] + newlines(item["gap"])
-            empty = F.coalesce(item["hit"], F.lit("")) == ""
-            # A match that ends with \n does not touch the next line.
-            last = first + newlines(F.regexp_replace(item["hit"], r"\n$", ""))
-            lines = F.when(empty, acc["lines"]).otherwise(F.concat(acc["lines"], F.sequence(first, last)))
-            return F.struct(
-                F.when(empty, first).otherwise(first + newlines(item["hit"])).alias("at"), lines.alias("lines")
+        # Line ends in the stretch, in the match, and in the match without a final \n:
+        # a match that ends with \n does not touch the next line.  Null for no match.
+        steps = F.transform(
+            pairs,
+            lambda p: F.struct(
+                newlines(p["gap"]).alias("gap"),
+                F.coalesce(newlines(p["hit"]), F.lit(0)).alias("hit"),
+                F.when(p["hit"] != "", newlines(F.regexp_replace(p["hit"], r"\n$", ""))).alias("inner"),
+            ),
+        )
+        # Appending to an array copies it, so long lists are folded block by block.
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")),
+            lambda b: F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)),
+        )
+        heights = F.transform(
+            blocks, lambda block: F.aggregate(block, F.lit(0), lambda at, s: at + s["gap"] + s["hit"])
+        )
+        none = F.array().cast("array<int>")
+        starts = F.aggregate(
+            heights,
+            F.struct(F.lit(1).alias("at"), none.alias("all")),
+            lambda acc, h: F.struct((acc["at"] + h).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
+            lambda acc: acc["all"],
+        )
+
+        def step(acc: Column, s: Column) -> Column:
+            first = acc["at"] + s["gap"]
+            lines = F.when(s["inner"].isNull(), acc["lines"]).otherwise(
+                F.concat(acc["lines"], F.sequence(first, first + s["inner"]))
             )
+            return F.struct((first + s["hit"]).alias("at"), lines.alias("lines"))
 
-        spans = F.aggregate(steps, state, step, lambda acc: F.array_distinct(acc["lines"]))
-        return F.when(F.rlike(text, F.lit(pattern)), spans)
+        spans = F.transform(
+            F.arrays_zip(blocks.alias("block"), starts.alias("at")),
+            lambda b: F.aggregate(
+                b["block"], F.struct(b["at"].alias("at"), none.alias("lines")), step, lambda acc: acc["lines"]
+            ),
+        )
+        return F.when(F.rlike(text, F.lit(pattern)), F.array_distinct(F.flatten(spans)))
 
     parts = []
     for matcher in found:

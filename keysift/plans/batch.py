@@ -27,12 +27,22 @@ BROADCAST_APPS = 2_000_000
 class BatchResult:
     reports: DataFrame  # stored reports of this batch
     replies: DataFrame  # (app_key, APKHash, reply_batch, reply_app) for content that was not scanned
+    staged: tuple[str, ...]
 
+    def release(self) -> None:
+        """Delete the staged tables of the batch, once ``replies`` is no longer needed."""
+        spark = self.reports.sparkSession
+        for path in self.staged:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+
+def stage(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: later steps do not recompute it."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -76,11 +86,12 @@ def scan_batch(
         raise ValueError("a store path is required")
     spark = submissions.sparkSession
     # Fingerprints cost a pass over all content; the steps below read them from here.
-    submissions = stage(submissions.select("app_key", "FileName", "APKHash"), "submissions")
+    staged: list[str] = []
+    submissions = stage(submissions.select("app_key", "FileName", "APKHash"), "submissions", staged)
     earlier = load_store(spark, store_path, before=batch_id)
     fresh = first_of_batch(submissions) if rescan_duplicates else new_content(submissions, earlier)
-    fresh = stage(fresh.select("app_key"), "fresh")
-    found = stage(scan_apps(files, fresh, rules), "findings")
+    fresh = stage(fresh.select("app_key"), "fresh", staged)
+    found = stage(scan_apps(files, fresh, rules), "findings", staged)
     apps = submissions.join(fresh, "app_key", "left_semi")
     reports = build_reports(apps, package_facts(badging), parse_metadata(documents), found, part_size)
     append_store(reports, store_path, batch_id)
@@ -88,7 +99,7 @@ def scan_batch(
     replies = known_content(submissions, stored).where(
         (F.col("reply_app") != F.col("app_key")) | (F.col("reply_batch") != batch_id)
     )
-    return BatchResult(stored.where(F.col("batch_id") == batch_id), replies)
+    return BatchResult(stored.where(F.col("batch_id") == batch_id), replies, tuple(staged))
 
 
 def duplicate_replies(submissions: DataFrame, store: DataFrame) -> DataFrame:

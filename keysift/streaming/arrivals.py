@@ -58,8 +58,7 @@ def report_stream(
         submissions = batch.select("app_key", "FileName", fingerprint(text).alias("APKHash"))
         files = batch.select("app_key", F.col("FileName").alias("file_path"), "text")
         nothing = batch.select("app_key", F.lit(None).cast("string").alias("text")).where(F.lit(False))
-        scan_batch(
-            submissions, files, nothing, nothing.withColumnRenamed("text", "json"), rules, store_path, batch_id
-        )
+        documents = nothing.withColumnRenamed("text", "json")
+        scan_batch(submissions, files, nothing, documents, rules, store_path, batch_id).release()
 
     return arrivals.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

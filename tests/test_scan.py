@@ -126,9 +126,12 @@ def test_spanning_rules(spark):
     ]
 
 
-def test_spanning_rules_against_brute_force(spark):
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_spanning_rules_against_brute_force(spark, monkeypatch, block):
     import re
 
+    monkeypatch.setattr("keysift.operators.scan.BLOCK", block)
+
     rng = random.Random(11)
     texts = ["".join(rng.choice("ab\n") for _ in range(40)) for _ in range(60)]
     regex = "a\n+b|bb\na"
