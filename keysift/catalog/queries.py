@@ -333,7 +333,8 @@ def c7_scan_batch(spark, sf):
 @query
 def k7_duplicate_replies(spark, sf):
     _, store, every = _two_batches(spark, sf)
-    return duplicate_replies(every.select("app_key", "APKHash"), store).select(
+    every = stage(every.select("app_key", "APKHash"), "fingerprints")
+    return duplicate_replies(every, store).select(
         "app_key", "APKHash", "reply_app", "FileName", "n_findings"
     )
 
@@ -348,26 +349,33 @@ def j1_regex_join(spark, sf):
     return pairs.select("app_key", "file_path", "line_no", "pack", "ordinal", "name")
 
 
-def _labelled_store(spark: SparkSession, sf: str) -> DataFrame:
-    labelled = inputs.table(spark, sf, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).cast("long").alias("batch_id"))
-    return inputs.submissions(spark, sf).join(labelled, "doc_id").select("app_key", "APKHash", "batch_id")
+def _fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of all documents, hashed once."""
+    return stage(inputs.submissions(spark, sf).select("doc_id", "app_key", "APKHash"), "fingerprints")
+
+
+def _labelled_store(spark: SparkSession, sf: str, every: DataFrame) -> DataFrame:
+    """The labelled documents as stored reports, their labels as batches."""
+    batch = (F.col("quality") * 2 + F.col("toxic")).cast("long").alias("batch_id")
+    labelled = inputs.table(spark, sf, "labels").select("doc_id", batch)
+    return every.join(labelled, "doc_id").select("app_key", "APKHash", "batch_id")
 
 
 @query
 def j2_new_content(spark, sf):
-    every = inputs.submissions(spark, sf).select("app_key", "APKHash")
-    return new_content(every, _labelled_store(spark, sf)).select("app_key", "APKHash", "copies")
+    every = _fingerprints(spark, sf)
+    return new_content(every, _labelled_store(spark, sf, every)).select("app_key", "APKHash", "copies")
 
 
 @query
 def j2_known_content(spark, sf):
-    every = inputs.submissions(spark, sf).select("app_key", "APKHash")
-    return known_content(every, _labelled_store(spark, sf))
+    every = _fingerprints(spark, sf)
+    return known_content(every, _labelled_store(spark, sf, every))
 
 
 @query
 def w2_first_stored(spark, sf):
-    return first_stored(_labelled_store(spark, sf))
+    return first_stored(_labelled_store(spark, sf, _fingerprints(spark, sf)))
 
 
 @query
