@@ -327,7 +327,7 @@ ORACLES: dict[str, str] = {
         **_TWO,
     ),
     "j1_regex_join": _with(
-        "SELECT app_key, FileLocation AS file_path, LineNo AS line_no, pack, ordinal, Type AS name FROM findings",
+        "SELECT app_key, FileLocation, LineNo, pack, ordinal, Type FROM findings",
         **_CORPUS,
         findings=_findings([r for r in _RULES if r.pack == "strict.yml"]),
     ),

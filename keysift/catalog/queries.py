@@ -16,7 +16,6 @@ from keysift.operators.duplicates import first_stored, known_content, new_conten
 from keysift.operators.messages import chat_messages, chat_notifications, ticket_messages, ticket_notifications
 from keysift.operators.metadata import flat_metadata, parse_metadata
 from keysift.operators.package import package_facts
-from keysift.operators.regex_join import regex_join
 from keysift.operators.reports import (
     build_reports,
     collect_findings,
@@ -25,7 +24,7 @@ from keysift.operators.reports import (
     parse_findings,
     report_documents,
 )
-from keysift.operators.scan import scan
+from keysift.operators.scan import regex_join, scan
 from keysift.plans.batch import duplicate_replies, scan_batch, stage
 from keysift.session import scratch_path
 from keysift.sinks.documents import named_documents, write_documents, write_reports
@@ -346,7 +345,7 @@ def k7_duplicate_replies(spark, sf):
 def j1_regex_join(spark, sf):
     rules = load_rules(spark).where(F.endswith("pack", F.lit("strict.yml")))
     pairs = regex_join(lines(inputs.corpus(spark, sf), with_end=True), rules)
-    return pairs.select("app_key", "file_path", "line_no", "pack", "ordinal", "name")
+    return pairs.select("app_key", "FileLocation", "LineNo", "pack", "ordinal", "Type")
 
 
 def _fingerprints(spark: SparkSession, sf: str) -> DataFrame:

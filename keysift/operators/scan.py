@@ -27,6 +27,7 @@ from keysift.sources.rules import DIALECT, DIALECT_MULTILINE, Matcher, Rule, mat
 WORD = 62  # bits used per mask column
 GROUP = 8  # rules behind one test of their probes
 BLOCK = 512  # matches folded at a time
+PASS = 310  # distinct rules tested in one pass
 
 
 def sql_string(text: str) -> str:
@@ -145,16 +146,18 @@ def _has_any(text: str, words: Iterable[str]) -> str:
     return f"({' or '.join(f'contains({text}, {sql_string(w)})' for w in words)})"
 
 
-def _line_hits(files: DataFrame, found: list[Matcher], first_rule_only: bool) -> DataFrame:
-    """``(app_key, FileLocation, LineNo, line, pack, ordinal, Type)`` for single-line rules.
+def _probe_columns(found: list[Matcher], column: str) -> tuple[list[str], list[str]]:
+    """Columns that hold one bit per probe, and their names."""
+    probes, _ = plan_probes(found)
+    flags = [f"contains({folded(column) if fold else column}, {sql_string(word)})" for word, fold in probes]
+    names = [f"probe{i}" for i in range(-(-len(flags) // WORD))]
+    return [f"{bits} as {name}" for bits, name in zip(_bits(flags), names)], names
 
-    Written as SQL text: the conditions of a hundred rules are one parse this way.
-    """
-    probes, probe_of = plan_probes(found)
-    flags = [f"contains({folded('text') if fold else 'text'}, {sql_string(word)})" for word, fold in probes]
-    columns = _bits(flags)
-    words = [f"probe{i}" for i in range(len(columns))]
-    files = files.selectExpr("app_key", "file_path", "text", *(f"{c} as {n}" for c, n in zip(columns, words)))
+
+def _file_lines(files: DataFrame, found: list[Matcher]) -> tuple[DataFrame, list[str]]:
+    """Lines of the files that can match at all, with the probes of their file."""
+    columns, words = _probe_columns(found, "text")
+    files = files.selectExpr("app_key", "file_path", "text", *columns)
     pieces = r"split(text, '\\n', -1)"
     if all(m.guard for m in found):  # an unguarded rule has to see every line
         pieces = f"if({' or '.join(f'{w} != 0' for w in words)}, {pieces}, null)"
@@ -164,8 +167,19 @@ def _line_hits(files: DataFrame, found: list[Matcher], first_rule_only: bool) ->
     each = split.selectExpr(
         "app_key", "file_path", "n", *words, "posexplode(coalesce(pieces, cast(array() as array<string>))) as (pos, line)"
     )
+    return each.selectExpr(
+        "app_key", "file_path as FileLocation", "pos + 1 as LineNo", "pos + 1 < n as ended", "line", *words
+    ), words
+
+
+def _test_lines(each: DataFrame, words: list[str], found: list[Matcher], first_rule_only: bool) -> DataFrame:
+    """Matching rules of ``(app_key, FileLocation, LineNo, ended, line)`` with probe columns.
+
+    Written as SQL text: the conditions of a hundred rules are one parse this way.
+    """
+    probes, probe_of = plan_probes(found)
     each = each.selectExpr(
-        "app_key", "file_path as FileLocation", "pos + 1 as LineNo", "pos + 1 < n as ended", "line", f"{folded('line')} as low", *words
+        "app_key", "FileLocation", "LineNo", "ended", "line", f"{folded('line')} as low", *words
     )
     flags = []
     for matcher in found:
@@ -298,6 +312,11 @@ def _span_hits(files: DataFrame, found: list[Matcher], first_rule_only: bool) ->
     )
 
 
+def _chunks(found: list[Matcher]) -> list[list[Matcher]]:
+    """Rules per pass; generated code grows with the rules it tests."""
+    return [found[i : i + PASS] for i in range(0, len(found), PASS)]
+
+
 def rule_hits(
     files: DataFrame, rules: DataFrame | Iterable[Rule], *, first_rule_only: bool = False
 ) -> DataFrame:
@@ -307,8 +326,8 @@ def rule_hits(
     single = [m for m in found if not m.rules[0].multiline]
     spanning = [m for m in found if m.rules[0].multiline]
     parts = []
-    if single:
-        parts.append(_line_hits(files, single, first_rule_only))
+    for chunk in _chunks(single):
+        parts.append(_test_lines(*_file_lines(files, chunk), chunk, first_rule_only))
     if spanning:
         parts.append(_span_hits(files, spanning, first_rule_only))
     if not parts:
@@ -316,12 +335,34 @@ def rule_hits(
     return reduce(DataFrame.unionByName, parts)
 
 
+def regex_join(lines: DataFrame, rules: DataFrame | Iterable[Rule]) -> DataFrame:
+    """Join ``lines(app_key, file_path, line_no, line)`` with the rules that match them.
+
+    For text that is already in lines, such as ingested search output.  Lines
+    without a column ``ended`` count as followed by ``\\n``.  No pair of line and rule
+    is built: the rules are conditions, as in :func:`rule_hits`.
+    """
+    require(lines, "app_key", "file_path", "line_no", "line")
+    found = [m for m in matchers(lines.sparkSession, rules) if not m.rules[0].multiline]
+    ended = "ended" if "ended" in lines.columns else "true as ended"
+    parts = []
+    for chunk in _chunks(found):
+        columns, words = _probe_columns(chunk, "line")
+        each = lines.selectExpr(
+            "app_key", "file_path as FileLocation", "line_no as LineNo", ended, "line", *columns
+        )
+        parts.append(_test_lines(each, words, chunk, False))
+    if not parts:
+        raise ValueError("no valid rule to join with")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def scan(files: DataFrame, rules: DataFrame | Iterable[Rule], *, first_rule_only: bool = False) -> DataFrame:
     """Findings of ``files(app_key, file_path, text)``, one per matching rule and line.
 
-    ``first_rule_only`` keeps the first matching rule of each line.  All rules
-    that match a line extract the same secret from it, so nothing else can
-    survive :func:`keysift.operators.dedupe.distinct_secrets`.
+    ``first_rule_only`` keeps the first matching rule of each line (and pass, with
+    more than ``PASS`` distinct rules).  All rules that match a line extract the
+    same secret from it, so nothing else can survive :func:`keysift.operators.dedupe.distinct_secrets`.
     """
     hits = rule_hits(files, rules, first_rule_only=first_rule_only)
     return hits.select(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from keysift.functions.text import fingerprint
 from keysift.operators.attachments import requested_files
 from keysift.operators.duplicates import known_content, new_content, skew_join
-from keysift.operators.regex_join import regex_join
+from keysift.operators.scan import regex_join
 from keysift.plans.batch import duplicate_replies, scan_apps, scan_batch
 from keysift.sources.corpus import lines, load_corpus, parse_search_output, scannable
 from keysift.sources.rules import Rule
@@ -103,9 +103,16 @@ def test_corpus(spark, tmp_path):
 
 
 def test_regex_join(spark):
-    rows = spark.createDataFrame([("a", "f", 1, "Tok_1 x"), ("a", "f", 2, "nope")], "app_key string, file_path string, line_no int, line string")
-    rules = spark.createDataFrame([("p", 1, "t", "(?i)tok_1"), ("p", 2, "s", r"x\s"), ("p", 3, "n", "zz")], "pack string, ordinal int, name string, regex string")
-    assert sorted((r.line_no, r.name) for r in regex_join(rows, rules).collect()) == [(1, "s"), (1, "t")]
+    rows = spark.createDataFrame([("a", "f", 7, "Tok_1 x"), ("a", "f", 9, "nope"), ("a", "f", 11, "")], "app_key string, file_path string, line_no int, line string")
+    rules = [Rule("p", 1, "t", "(?i)tok_1"), Rule("p", 2, "s", r"x\s"), Rule("p", 3, "n", "zz"), Rule("p", 4, "e", "^$"), Rule("p", 5, "t2", "(?i)tok_1")]
+
+    def hits(frame):
+        return sorted((r.LineNo, r.Type) for r in regex_join(frame, rules).collect())
+
+    assert hits(rows) == [(7, "s"), (7, "t"), (7, "t2"), (11, "e")]
+    assert hits(rows.selectExpr("*", "false as ended")) == [(7, "t"), (7, "t2")]
+    parsed = parse_search_output(spark.createDataFrame([("a", "f:3:tok_1")], "app_key string, value string"))
+    assert hits(parsed) == [(3, "t"), (3, "t2")]
 
 
 def test_streams_equal_batches_and_survive_restarts(spark, tmp_path):

@@ -112,6 +112,13 @@ def test_first_rule_only_equals_distinct_over_all(spark):
     assert every.count() > 100  # more findings than any fixed buffer of a hundred
 
 
+def test_many_rules_take_several_passes(spark, monkeypatch):
+    rows = [("a", "f", "\n".join(f"tok_{i}_" for i in range(100)))]
+    rules = [Rule("p", i, f"r{i}", f"tok_{i}_") for i in range(100)]
+    monkeypatch.setattr("keysift.operators.scan.PASS", 40)
+    assert spots(rule_hits(files(spark, rows), rules)) == [("f", i + 1, "p", i) for i in range(100)]
+
+
 def test_shared_regexes_name_all_their_rules(spark):
     rows = [("a", "f", "AIza" + "b" * 35)]
     names = {r.Type for r in scan(files(spark, rows), load_rules(spark)).collect()}
