@@ -40,17 +40,28 @@ def first_stored(store: DataFrame) -> DataFrame:
     return store.groupBy("APKHash").agg(first).select("APKHash", "first.batch_id", "first.app_key")
 
 
+def stored_matches(submissions: DataFrame, store: DataFrame) -> DataFrame:
+    """The stored rows whose content is in the batch.
+
+    A store outgrows its batches: against a small batch it is filtered in place, and
+    only what is left is shuffled.
+    """
+    return store.join(submissions.select("APKHash").distinct(), "APKHash", "left_semi")
+
+
 def new_content(submissions: DataFrame, store: DataFrame) -> DataFrame:
     """Submissions to scan: first of their content in the batch and not in the store.
 
     Copies are reduced before the join, which then has one row per content.
     """
-    return first_of_batch(submissions).join(store.select("APKHash"), "APKHash", "left_anti")
+    known = stored_matches(submissions, store.select("APKHash"))
+    return first_of_batch(submissions).join(known, "APKHash", "left_anti")
 
 
 def known_content(submissions: DataFrame, store: DataFrame, hot: int = HOT_COPIES) -> DataFrame:
     """Submissions whose content is stored, with the report that answers them."""
-    stored = first_stored(store).select(
+    found = stored_matches(submissions, store.select("APKHash", "batch_id", "app_key"))
+    stored = first_stored(found).select(
         "APKHash", F.col("batch_id").alias("reply_batch"), F.col("app_key").alias("reply_app")
     )
     return skew_join(submissions.select("app_key", "APKHash"), stored, "APKHash", "app_key", hot)

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 
 from keysift.model import require
 from keysift.operators.dedupe import distinct_secrets
-from keysift.operators.duplicates import first_of_batch, first_stored, known_content, new_content, skew_join
+from keysift.operators.duplicates import (
+    first_of_batch,
+    first_stored,
+    known_content,
+    new_content,
+    skew_join,
+    stored_matches,
+)
 from keysift.operators.metadata import parse_metadata
 from keysift.operators.package import package_facts
 from keysift.operators.reports import PART_SIZE, build_reports
@@ -104,7 +111,7 @@ def scan_batch(
 
 def duplicate_replies(submissions: DataFrame, store: DataFrame) -> DataFrame:
     """The stored report, all parts, for every submission whose content is known."""
-    first = first_stored(store)
+    first = first_stored(stored_matches(submissions, store.select("APKHash", "batch_id", "app_key")))
     reports = store.join(first, ["APKHash", "batch_id", "app_key"], "left_semi")
     reports = reports.withColumnRenamed("batch_id", "reply_batch").withColumnRenamed("app_key", "reply_app")
     return skew_join(submissions.select("app_key", "APKHash"), reports, "APKHash", "app_key")
