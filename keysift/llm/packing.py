@@ -9,8 +9,10 @@ drawn from one bucket.  Everything is local to a document: no shuffle, no counti
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,7 @@ LONGEST = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 
+MARKS = ".,;:!?"
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -32,6 +35,17 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for a byte: itself if visible, else one from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = (b for b in range(256) if b not in visible)
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
 @cache
 def word_ids(path: str) -> WordCache:
     """Ids of a word as little-endian unsigned 32-bit bytes.
@@ -42,11 +56,26 @@ def word_ids(path: str) -> WordCache:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    model, letters = tokenizer.model, byte_letters()
 
     def ids(word: bytes) -> bytes:
-        return np.array(tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    return WordCache(ids)
+        if b"<|" in word:  # it may hold a special token, which is not lower-cased
+            return packed(tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        # Lower case is the vocabulary's own first step, and a mark behind letters is a
+        # token of its own: such words are made of what is known already.
+        plain = word.lower()
+        if plain != word:
+            return known[plain]
+        text = plain.decode()
+        if text[-1] in MARKS and text[:-1].isalpha():
+            return known[plain[:-1]] + known[plain[-1:]]
+        # Lower-case Latin letters are one piece and stay as they are: the merges alone are left to do.
+        if text.isalpha() and (text.isascii() or (max(text) < "\u0250" and text == text.lower() and is_normalized("NFC", text))):
+            return packed([t.id for t in model.tokenize(text if text.isascii() else plain.decode("latin-1").translate(letters))])
+        return packed(tokenizer.encode(text, add_special_tokens=False).ids)
+
+    known = WordCache(ids)
+    return known
 
 
 def cut(n: int, longest: int = LONGEST) -> list[int]:
