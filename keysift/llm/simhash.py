@@ -157,13 +157,13 @@ def plan(distinct: DataFrame, max_bits: int) -> list[tuple[int, list[int], int]]
     sums = sums.groupBy("row").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(64)], F.sum("own").alias("own"), F.sum("n").alias("n"))
     rows = sorted(sums.collect(), key=lambda r: r["row"])  # 64 rows
     if not rows or not rows[0]["n"]:
-        return [(0, list(range(64)), max_bits)]
+        return [(i, bits, 0) for i, bits in enumerate(bit_groups(np.zeros((64, 64)), max_bits + 1))]
     n = rows[0]["n"]
     mean = np.array([r["own"] for r in rows]) / n
     cover = np.array([[r[f"s{i}"] for i in range(64)] for r in rows]) / n - np.outer(mean, mean)
     spread = np.sqrt(np.clip(mean * (1 - mean), 1e-9, None))
     correlation = cover / np.outer(spread, spread)
-    cuts = [bit_groups(correlation, m) for m in range(2, min(8, max_bits + 1) + 1)]
+    cuts = [bit_groups(correlation, m) for m in range(1, min(8, max_bits + 1) + 1)]
     numbered = [(m, i, bits) for m, groups in enumerate(cuts) for i, bits in enumerate(groups)]
     keys = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), _value("fp", bits).alias("v")) for m, i, bits in numbered])
     counts = distinct.select(F.explode(keys).alias("k")).groupBy("k.m", "k.i", "k.v").count()
@@ -241,7 +241,9 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def bucket_links(columns: dict[str, np.ndarray], max_bits: int, wide_bits: int) -> np.ndarray:
     """Edges (i, j) of a spanning forest of the links inside each unit; rows come sorted by unit, key."""
-    unit, key, own, fp = (columns[c] for c in ("unit", "key", "own", "fp"))
+    unit, key, own = (columns[c] for c in ("unit", "key", "own"))
+    # Unsigned: numpy counts the bits of a negative number's absolute value.
+    fp, *wide = (columns[c].view(np.uint64) for c in ("fp", *(("w1", "w2") if wide_bits else ())))
     n = len(unit)
     change = np.flatnonzero((unit[1:] != unit[:-1]) | (key[1:] != key[:-1])) + 1
     starts = np.concatenate([[0], change])
@@ -261,7 +263,7 @@ def bucket_links(columns: dict[str, np.ndarray], max_bits: int, wide_bits: int)
         if len(i):
             good = (own[i] | own[j]) & (fp[i] != fp[j]) if not wide_bits else own[i] | own[j]
             if wide_bits:
-                apart = np.bitwise_count(columns["w1"][i] ^ columns["w1"][j]) + np.bitwise_count(columns["w2"][i] ^ columns["w2"][j])
+                apart = sum(np.bitwise_count(w[i] ^ w[j]) for w in wide)
                 good &= apart <= wide_bits
             left.append(i[good])
             right.append(j[good])
