@@ -159,7 +159,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
         F.size(own).cast("long").alias("n_words"),
         # Every phrase has one of its rarest words, every match a prefix word; most documents have neither.
         F.when(F.arrays_overlap(own, strings(triggers)), _places(own)).otherwise(nothing).alias("base"),
-        F.when(F.arrays_overlap(own, strings(index.prefix_words)), _matches(own, index)).otherwise(no_match).alias("found"),
+        (F.when(F.arrays_overlap(own, strings(index.prefix_words)), _matches(own, index)).otherwise(no_match) if index.rows else no_match).alias("found"),
     )
     labels = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return found.select(
