@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from keysift.catalog.queries import BROKEN
 from keysift.functions.text import WHITE_SPACE
+from keysift.model import INT, LIST, METADATA_BLOCKS, METADATA_TOP, PACKAGE_STRINGS, STRING
+from keysift.operators.features import type_columns
 from keysift.operators.messages import CHAT_LIMIT, TICKET_LIMIT
 from keysift.sources.rules import Rule, read_packs
 
@@ -132,8 +134,6 @@ _PACKAGES = {"badging": _BADGING, "badging_lines": _BADGING_LINES, "facts": _FAC
 
 
 def _metadata() -> str:
-    from keysift.model import INT, LIST, METADATA_BLOCKS, METADATA_TOP
-
     known = {
         "fileName": "s_name || '.apk'",
         "fileSize": "s_suppkey * 1000",
@@ -236,10 +236,44 @@ _MAIL = {"messages": _MESSAGES, "attached": _ATTACHED}
 
 _STREAM_RULES = [Rule("own.yml", 1, "Token", r'token = "[0-9a-f]{40}"'), Rule("own.yml", 2, "Comma pair", r"[a-z]+, [a-z]+, ")]
 
+def _AS_APP(table: str) -> str:
+    """A source's key as a document's."""
+    return f"'d' || lpad(substr({table}.app_key, 4), 9, '0')"
+
+
+def _meta_columns() -> str:
+    """Every metadata field of the table m, zero-valued where an app has none."""
+    fields = list(METADATA_TOP) + [(f"{b}_{n}", k) for b, fs in METADATA_BLOCKS.items() for n, k in fs]
+    zero = {INT: "0", LIST: "'{}'", STRING: "''"}
+    return ", ".join(f"coalesce(m.{n}, {zero[k]}) AS meta_{n}" for n, k in fields)
+
+
+def _features() -> str:
+    fields = list(METADATA_TOP) + [(f"{b}_{n}", k) for b, fs in METADATA_BLOCKS.items() for n, k in fs]
+    columns = []
+    for n, k in fields:
+        if k == LIST:  # the lists of the documents hold 4, 2 or no elements
+            size = {"androidManifest_NamesOfActivities": 4, "resourceData_locale": 2}.get(n, 0)
+            columns.append(f"CAST(CASE WHEN coalesce(m.{n}, '{{}}') = '{{}}' THEN 0 ELSE {size} END AS INTEGER) AS meta_n_{n}")
+        else:
+            columns.append(f"coalesce(m.{n}, {0 if k == INT else repr('')}) AS meta_{n}")
+    columns += [
+        f"CAST(CASE WHEN coalesce({c}, '') = '' THEN 0 ELSE len(string_split({c}, ',')) END AS INTEGER) AS n_{c}"
+        for c in ("SupportScreens", "Densities", "NativeCode")
+    ]
+    columns += [f"coalesce({c}, '') AS {c}" for c in PACKAGE_STRINGS]
+    columns += [f"(SELECT count(*) FROM secrets s WHERE s.app_key = apps.app_key AND s.Type = {_q(t)}) AS {c}" for t, c in type_columns(_RULES).items()]
+    return f"""SELECT CAST(0 AS BIGINT) AS batch_id, apps.app_key, apps.FileName AS file_name, APKHash, coalesce(VersionName, '') AS APKVersion,
+ coalesce(n_findings, 0) AS n_findings, {', '.join(columns)}
+ FROM apps LEFT JOIN facts USING (app_key) LEFT JOIN all_meta m USING (app_key) LEFT JOIN found_json USING (app_key)"""
+
+
 ORACLES: dict[str, str] = {
     "s2_corpus_files": _with(
         "SELECT app_key, file_path, strlen(text) AS n_bytes, substr(sha256(text), 1, 32) AS fingerprint FROM files", **_CORPUS
     ),
+    "s2_corpus_folder": """SELECT lang || ' x' AS app_key, CASE doc_id % 3 WHEN 0 THEN 'apps' WHEN 1 THEN '_next' ELSE 'res' END AS folder,
+ CASE WHEN doc_id % 3 = 1 THEN -1 ELSE count(*) END AS n FROM documents GROUP BY lang, doc_id % 3""",
     "s3_scannable_files": """SELECT source AS app_key, 'src/a.b/' || doc_id || '.txt' AS file_path, length(text) AS n_chars
  FROM documents WHERE lang NOT IN ('fr', 'de', 'es')""",
     "s8_search_output": _with(
@@ -312,11 +346,24 @@ ORACLES: dict[str, str] = {
         **_REPORT_CTES,
     ),
     "c5_chat_messages": _with("SELECT app_key, seq, body FROM messages", **_CHAT),
+    "c5_chat_messages_in_parts": _with("SELECT app_key, seq, body FROM messages", **_CHAT),
     "c6_ticket_messages": _with("SELECT app_key, seq, body FROM messages", **_TICKET),
+    "c6_tickets_of_one_app": _with(
+        "SELECT app_key, seq, body FROM messages",
+        **{
+            **_messages(_TICKET_HEAD, _TICKET_ENTRY, TICKET_LIMIT),
+            "files": "SELECT 'all' AS app_key, CAST(doc_id AS VARCHAR) AS file_path, text FROM docs",
+            "apps": "SELECT 'all' AS app_key, 'all.apk' AS FileName, '0' AS APKHash",
+        },
+    ),
     "c7_scan_batch": _with(
-        """SELECT app_key, app_key || '.apk' AS FileName, APKHash, coalesce(n_findings, 0) AS n_findings
- FROM fresh LEFT JOIN counts USING (app_key)""",
+        f"""SELECT fresh.app_key, fresh.app_key || '.apk' AS FileName, APKHash, coalesce(n_findings, 0) AS n_findings,
+ coalesce(PackageName, '') AS PackageName, coalesce(fileName, '') AS metadata_file
+ FROM fresh LEFT JOIN counts USING (app_key) LEFT JOIN facts ON {_AS_APP("facts")} = fresh.app_key
+ LEFT JOIN all_meta ON {_AS_APP("all_meta")} = fresh.app_key""",
         **_TWO,
+        **_PACKAGES,
+        all_meta=_metadata(),
     ),
     "k7_duplicate_replies": _with(
         """SELECT docs.app_key, docs.APKHash, first.app_key AS reply_app, first.app_key || '.apk' AS FileName,
@@ -329,7 +376,7 @@ ORACLES: dict[str, str] = {
     "j1_regex_join": _with(
         "SELECT app_key, FileLocation, LineNo, pack, ordinal, Type FROM findings",
         **_CORPUS,
-        findings=_findings([r for r in _RULES if r.pack == "strict.yml"]),
+        findings=_findings(_RULES),
     ),
     "j2_new_content": _with("SELECT app_key, APKHash, copies FROM fresh", **_KNOWN, fresh=_FRESH),
     "j2_known_content": _with(
@@ -368,18 +415,34 @@ ORACLES: dict[str, str] = {
         **_REPORT_CTES,
     ),
     "k2_report_documents": _with(
-        """SELECT FileName || '_' || APKVersion || '.json' AS document, FileName, APKHash, SecretModel, PackageName,
- nullif(string_split(Densities, ',')[1], '') AS first_density FROM reports""",
+        f"""SELECT apps.app_key, apps.FileName || '_' || coalesce(VersionName, '') || '.json' AS document, apps.FileName, APKHash,
+ coalesce(json, 'null') AS SecretModel, {', '.join(f"coalesce({c}, '') AS {c}" for c in (*PACKAGE_STRINGS, 'SupportScreens', 'Densities', 'NativeCode'))},
+ {_meta_columns()} FROM apps LEFT JOIN facts USING (app_key) LEFT JOIN all_meta m USING (app_key) LEFT JOIN found_json USING (app_key)""",
         **_REPORT_CTES,
     ),
     "k3_findings_documents": _with(
         "SELECT FileName || '_Secrets_' || APKVersion || '.json' AS document, SecretModel AS body FROM reports", **_REPORT_CTES
     ),
     "k4_dual_write": _with(
-        """SELECT folder, FileName || '_Secrets_' || APKVersion || '.json' AS document, SecretModel AS body
- FROM reports CROSS JOIN (VALUES ('backup'), ('results')) AS f(folder)""",
+        """SELECT folder, CAST(b AS BIGINT) AS batch_id, APKHash, 'app.apk_' || kind || APKVersion || '.json' AS document, SecretModel,
+ CASE WHEN kind = '' THEN PackageName END AS PackageName
+ FROM reports CROSS JOIN (VALUES ('backup'), ('results')) AS f(folder) CROSS JOIN (VALUES (0), (1)) AS batch(b)
+ CROSS JOIN (VALUES (''), ('Secrets_')) AS k(kind)""",
         **_REPORT_CTES,
     ),
+    "x1_version_comparison": _with(
+        """SELECT PackageName, VersionCode, before, SecretString, CASE WHEN here AND there THEN 'kept' WHEN here THEN 'added' ELSE 'removed' END AS change
+ FROM (SELECT v.package AS PackageName, CAST(v.version AS VARCHAR) AS VersionCode, CAST(v.before AS VARCHAR) AS before, s.secret AS SecretString,
+   EXISTS (SELECT 1 FROM found f WHERE f.version = v.version AND f.secret = s.secret) AS here,
+   EXISTS (SELECT 1 FROM found f WHERE f.version = v.before AND f.secret = s.secret) AS there
+  FROM versions v JOIN (SELECT DISTINCT package, secret FROM found) s USING (package)) WHERE here OR there""",
+        **_FOUND,
+        found="""SELECT DISTINCT CAST(substr(app_key, 4) AS BIGINT) AS version, 'pkg' || (CAST(substr(app_key, 4) AS BIGINT) % 4) AS package,
+ Type || ':' || substr(SecretString, 1, 1) AS secret FROM secrets""",
+        versions="""SELECT version, package, lag(version) OVER (PARTITION BY package ORDER BY version) AS before FROM (
+ SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS version, 'pkg' || (CAST(substr(source, 4) AS BIGINT) % 4) AS package FROM documents)""",
+    ),
+    "x2_feature_table": _with(_features(), **_REPORT_CTES),
     "k5_chat_notifications": _with(
         """SELECT 'C1' AS channel, '17.' || app_key AS thread_ts, app_key, seq, '```' || body || '```' AS body FROM messages""",
         **_CHAT,
@@ -387,9 +450,13 @@ ORACLES: dict[str, str] = {
     "k6_ticket_notifications": _with("SELECT 'SEC-' || app_key AS ticket_id, seq, body FROM messages", **_TICKET),
     "t1_incremental_scan": _with("SELECT * FROM findings", **_SCAN),
     "t2_stream_reports": _with(
-        """SELECT app_key, app_key || '.apk' AS FileName, APKHash, coalesce(n_findings, 0) AS n_findings FROM
- (SELECT min(app_key) AS app_key, APKHash FROM docs GROUP BY APKHash) LEFT JOIN
- (SELECT app_key, count(DISTINCT SecretString) AS n_findings FROM findings GROUP BY app_key) USING (app_key)""",
+        f"""SELECT first.app_key, first.app_key || '.apk' AS FileName, APKHash, coalesce(n_findings, 0) AS n_findings,
+ coalesce(PackageName, '') AS PackageName, coalesce(fileName, '') AS metadata_file FROM
+ (SELECT arg_min(app_key, (doc_id % 3) * 1000000000 + doc_id) AS app_key, APKHash FROM docs GROUP BY APKHash) AS first LEFT JOIN
+ (SELECT app_key, count(DISTINCT SecretString) AS n_findings FROM findings GROUP BY app_key) USING (app_key)
+ LEFT JOIN facts ON {_AS_APP("facts")} = first.app_key LEFT JOIN all_meta ON {_AS_APP("all_meta")} = first.app_key""",
+        **_PACKAGES,
+        all_meta=_metadata(),
         docs=_DOCS,
         files="SELECT app_key, app_key || '.apk' AS file_path, raw AS text FROM docs",
         lines=_lines(),

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from keysift.catalog import inputs
 from keysift.functions import text as fx
-from keysift.model import FINDINGS
+from keysift.model import PACKAGE_STRINGS
 from keysift.operators.attachments import flatten_files, requested_files, ticket_requests
 from keysift.operators.dedupe import count_by_app, count_by_rule, count_by_type, distinct_secrets
 from keysift.operators.duplicates import first_stored, known_content, new_content
+from keysift.operators.features import feature_table
 from keysift.operators.messages import chat_messages, chat_notifications, ticket_messages, ticket_notifications
 from keysift.operators.metadata import flat_metadata, parse_metadata
 from keysift.operators.package import package_facts
 from keysift.operators.reports import (
+    PART_SIZE,
     build_reports,
     collect_findings,
     explode_findings,
@@ -25,12 +27,13 @@ from keysift.operators.reports import (
     report_documents,
 )
 from keysift.operators.scan import regex_join, scan
-from keysift.plans.batch import duplicate_replies, scan_batch, stage
-from keysift.session import scratch_path
-from keysift.sinks.documents import named_documents, write_documents, write_reports
-from keysift.sources.corpus import lines, parse_search_output, scannable
+from keysift.operators.versions import compare_versions
+from keysift.plans.batch import duplicate_replies, scan_batch
+from keysift.session import scratch_path, stage
+from keysift.sinks.documents import named_documents, read_documents, whole_documents, write_reports
+from keysift.sources.corpus import lines, load_corpus, parse_search_output, scannable, unlisted_files
 from keysift.sources.rules import Rule, load_rules, read_packs
-from keysift.sources.store import append_store, last_report, load_store
+from keysift.sources.store import METADATA, PACKAGE, append_store, last_report, load_store
 from keysift.streaming.arrivals import arriving_files, report_stream, scan_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,20 +61,21 @@ def _source_apps(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _reports(spark: SparkSession, sf: str) -> DataFrame:
+def _reports(spark: SparkSession, sf: str, part_size: int = PART_SIZE) -> DataFrame:
     found = stage(_distinct(spark, sf), "findings")
     return build_reports(
         _source_apps(spark, sf),
         package_facts(inputs.badging(spark, sf)),
         parse_metadata(inputs.metadata_documents(spark, sf)),
         found,
+        part_size,
     )
 
 
-def _stored(spark: SparkSession, sf: str) -> DataFrame:
+def _stored(spark: SparkSession, sf: str, part_size: int = PART_SIZE) -> DataFrame:
     """Reports of the sources, written to a store and read from it."""
     path = scratch_path(spark, "store")
-    append_store(_reports(spark, sf), path, 0)
+    append_store(_reports(spark, sf, part_size), path, 0)
     return load_store(spark, path)
 
 
@@ -89,6 +93,26 @@ def s2_corpus_files(spark, sf):
     )
 
 
+@query
+def s2_corpus_folder(spark, sf):
+    """The documents as files of a folder tree and back: what the source lists, and the names it cannot."""
+    root = f"{scratch_path(spark, 'corpus')}/apps"
+    lines_ = inputs.table(spark, sf, "documents").select(
+        F.concat("lang", F.lit(" x")).alias("app"),
+        F.when(F.col("doc_id") % 3 == 0, "apps").when(F.col("doc_id") % 3 == 1, "_next").otherwise("res").alias("folder"),
+        F.concat_ws(" ", "doc_id", F.length("text")).alias("value"),
+    )
+    # Few folders, one per language and kind; one of them is called like the root.
+    for app, folder in lines_.select("app", "folder").distinct().collect():
+        lines_.where((F.col("app") == app) & (F.col("folder") == folder)).select("value").write.text(f"{root}/{app}/{folder}")
+    listed = load_corpus(spark, root).where(~F.endswith("file_path", F.lit("_SUCCESS")))
+    each = listed.select("app_key", F.element_at(F.split("file_path", "/"), 2).alias("folder"), F.explode(F.split("text", "\n")).alias("value"))
+    seen = each.where("value != ''").groupBy("app_key", "folder").agg(F.count(F.lit(1)).alias("n"))
+    missed = unlisted_files(spark, root).where(~F.endswith("file_path", F.lit("_SUCCESS")))
+    named = missed.select(F.element_at(F.split("file_path", "/"), 1).alias("app_key"), F.element_at(F.split("file_path", "/"), 2).alias("folder")).distinct()
+    return seen.unionByName(named.withColumn("n", F.lit(-1).cast("long")))
+
+
 @query
 def s3_scannable_files(spark, sf):
     folder = F.when(F.col("lang") == "fr", ".git/").when(F.col("lang") == "de", "res/.cache/").otherwise("src/a.b/")
@@ -297,25 +321,46 @@ def c5_chat_messages(spark, sf):
     return chat_messages(_stored(spark, sf)).select("app_key", "seq", "body")
 
 
+@query
+def c5_chat_messages_in_parts(spark, sf):
+    """Reports of several rows each; the messages are those of c5."""
+    return chat_messages(_stored(spark, sf, part_size=7)).select("app_key", "seq", "body")
+
+
 @query
 def c6_ticket_messages(spark, sf):
     return ticket_messages(_stored(spark, sf)).select("app_key", "seq", "body")
 
 
+@query
+def c6_tickets_of_one_app(spark, sf):
+    """All sources as one app: a report that takes several tickets."""
+    files = inputs.corpus(spark, sf).withColumn("app_key", F.lit("all"))
+    found = stage(distinct_secrets(scan(files, _rules(), first_rule_only=True)), "findings")
+    apps = _source_apps(spark, sf).limit(0).unionByName(
+        spark.createDataFrame([("all", "all.apk", "0")], "app_key string, FileName string, APKHash string")
+    )
+    facts, metadata = package_facts(inputs.badging(spark, sf)), parse_metadata(inputs.metadata_documents(spark, sf))
+    return ticket_messages(build_reports(apps, facts, metadata, found, part_size=50)).select("app_key", "seq", "body")
+
+
 def _two_batches(spark: SparkSession, sf: str):
-    """The labelled documents as one batch, then all documents as the next."""
+    """The labelled documents as one batch, then all documents as the next; some have badging text and metadata."""
+    number = F.regexp_extract("app_key", "[0-9]+", 0).cast("long")
+    as_app = F.concat(F.lit("d"), F.lpad(number.cast("string"), 9, "0")).alias("app_key")
+    badging = inputs.badging(spark, sf).select(as_app, "text")
+    documents = inputs.metadata_documents(spark, sf).select(as_app, "json")
     path = scratch_path(spark, "store")
     every = inputs.submissions(spark, sf)
     labelled = inputs.table(spark, sf, "labels").select("doc_id").distinct()
     rules, result = _rules(), None
     for batch_id, docs in enumerate((every.join(labelled, "doc_id", "left_semi"), every)):
         files = docs.select("app_key", F.col("FileName").alias("file_path"), "text")
-        nothing = spark.createDataFrame([], "app_key string, text string")
         result = scan_batch(
             docs.select("app_key", "FileName", "APKHash"),
             files,
-            nothing,
-            nothing.withColumnRenamed("text", "json"),
+            badging,
+            documents,
             rules,
             path,
             batch_id,
@@ -326,7 +371,14 @@ def _two_batches(spark: SparkSession, sf: str):
 @query
 def c7_scan_batch(spark, sf):
     result, _, _ = _two_batches(spark, sf)
-    return result.reports.select("app_key", "FileName", "APKHash", "n_findings")
+    return result.reports.select(
+        "app_key",
+        "FileName",
+        "APKHash",
+        "n_findings",
+        F.col("PackageDataModel.PackageName").alias("PackageName"),
+        F.col("Metadata.fileName").alias("metadata_file"),
+    )
 
 
 @query
@@ -343,8 +395,7 @@ def k7_duplicate_replies(spark, sf):
 
 @query
 def j1_regex_join(spark, sf):
-    rules = load_rules(spark).where(F.endswith("pack", F.lit("strict.yml")))
-    pairs = regex_join(lines(inputs.corpus(spark, sf), with_end=True), rules)
+    pairs = regex_join(lines(inputs.corpus(spark, sf), with_end=True), load_rules(spark))
     return pairs.select("app_key", "FileLocation", "LineNo", "pack", "ordinal", "Type")
 
 
@@ -452,65 +503,97 @@ def w3_last_report(spark, sf):
 
 @query
 def k2_report_documents(spark, sf):
-    docs = report_documents(_reports(spark, sf))
-    body = F.col("report_json")
-    return docs.select(
+    """Every field of the full reports, read back from their JSON; reports in several parts."""
+    docs = whole_documents(report_documents(_reports(spark, sf, part_size=7)).withColumnRenamed("report_json", "body").drop("findings_json"))
+    schema = f"FileName string, APKHash string, APKVersion string, SecretModel string, Metadata {METADATA}, PackageDataModel {PACKAGE}"
+    read = docs.select("app_key", F.from_json("body", schema).alias("d")).select("app_key", "d.*")
+    flat = flat_metadata(read.select("app_key", "Metadata"), arrays_as_text=True)
+    meta = flat.select("app_key", *(F.col(c).alias(f"meta_{c}") for c in flat.columns[1:]))
+    lists = ("SupportScreens", "Densities", "NativeCode")
+    whole = read.select(
+        "app_key",
         fx.report_name(F.col("FileName"), F.col("APKVersion")).alias("document"),
-        *(
-            F.get_json_object(body, path).alias(name)
-            for name, path in (
-                ("FileName", "$.FileName"),
-                ("APKHash", "$.APKHash"),
-                ("SecretModel", "$.SecretModel"),
-                ("PackageName", "$.PackageDataModel.PackageName"),
-                ("first_density", "$.PackageDataModel.Densities[0]"),
-            )
-        ),
+        "FileName",
+        "APKHash",
+        "SecretModel",
+        *(F.col(f"PackageDataModel.{c}").alias(c) for c in PACKAGE_STRINGS),
+        *(F.array_join(f"PackageDataModel.{c}", ",").alias(c) for c in lists),
     )
+    return whole.join(meta, "app_key")
 
 
 @query
 def k3_findings_documents(spark, sf):
-    docs = named_documents(_reports(spark, sf))
-    return docs.where(F.contains("document", F.lit("_Secrets_")))
+    docs = whole_documents(named_documents(_reports(spark, sf, part_size=7)))
+    return docs.where(F.contains("document", F.lit("_Secrets_"))).select("document", "body")
 
 
 @query
 def k4_dual_write(spark, sf):
+    """Two batches in two folders; all apps have one file name, and the second batch is written twice."""
     results, backup = scratch_path(spark, "results"), scratch_path(spark, "backup")
-    found = named_documents(stage(_reports(spark, sf), "reports"))
-    write_documents(found.where(F.contains("document", F.lit("_Secrets_"))), backup, results)
-    both = [
-        spark.read.text(path, wholetext=True).select(F.lit(name).alias("folder"), "document", F.btrim("value", F.lit("\n")).alias("body"))
-        for name, path in (("backup", backup), ("results", results))
-    ]
-    return both[0].unionByName(both[1])
+    reports = stage(_reports(spark, sf, part_size=7).withColumn("FileName", F.lit("app.apk")), "reports")
+    for batch_id in (0, 1, 1):
+        write_reports(reports, batch_id, results, backup)
+    frames = [read_documents(spark, path).withColumn("folder", F.lit(name)) for name, path in (("backup", backup), ("results", results))]
+    both = whole_documents(frames[0].unionByName(frames[1]))
+    findings = F.contains("document", F.lit("_Secrets_"))
+    return both.select(
+        "folder",
+        "batch_id",
+        "APKHash",
+        "document",
+        F.when(findings, F.col("body")).otherwise(F.get_json_object("body", "$.SecretModel")).alias("SecretModel"),
+        F.get_json_object("body", "$.PackageDataModel.PackageName").alias("PackageName"),
+    )
 
 
 @query
 def k5_chat_notifications(spark, sf):
     requests = _source_apps(spark, sf).select(
-        "app_key", F.lit("C1").alias("channel"), F.concat(F.lit("17."), F.col("app_key")).alias("ts")
+        "app_key", F.lit(0).cast("long").alias("batch_id"), F.lit("C1").alias("channel"), F.concat(F.lit("17."), F.col("app_key")).alias("ts")
     )
     return chat_notifications(chat_messages(_stored(spark, sf)), requests)
 
 
 @query
 def k6_ticket_notifications(spark, sf):
-    requests = _source_apps(spark, sf).select("app_key", F.concat(F.lit("SEC-"), F.col("app_key")).alias("ticket_id"))
+    requests = _source_apps(spark, sf).select(
+        "app_key", F.lit(0).cast("long").alias("batch_id"), F.concat(F.lit("SEC-"), F.col("app_key")).alias("ticket_id")
+    )
     sent = ticket_notifications(ticket_messages(_stored(spark, sf)), requests)
     return sent.select("ticket_id", "seq", F.get_json_object("body", "$.body").alias("body"))
 
 
+# Across reports ----------------------------------------------------------------------------
+
+
+@query
+def x1_version_comparison(spark, sf):
+    """The sources as versions of four packages."""
+    number = F.regexp_extract("app_key", "[0-9]+", 0).cast("long")
+    package = F.struct(F.concat(F.lit("pkg"), number % 4).alias("PackageName"), number.cast("string").alias("VersionCode"))
+    reports = _stored(spark, sf, part_size=7).withColumn("PackageDataModel", package)
+    # The planted secrets differ between documents; their types do not.
+    shared = F.transform("Findings", lambda f: f.withField("SecretString", F.concat(f["Type"], F.lit(":"), F.substring(f["SecretString"], 1, 1))))
+    return compare_versions(reports.withColumn("Findings", shared))
+
+
+@query
+def x2_feature_table(spark, sf):
+    return feature_table(_stored(spark, sf, part_size=7), _rules())
+
+
 # Streaming -------------------------------------------------------------------------------
 
 
 def _document_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = inputs.table(spark, sf, "documents").schema.simpleString()[len("struct<") : -1]
-    stream = arriving_files(spark, sf, schema.replace(":", " "), pathGlobFilter="documents.parquet")
-    # One file would be one task.
-    stream = stream.repartition(spark.sparkContext.defaultParallelism, "doc_id")
-    return inputs.with_planted_line(stream)
+    """The documents as a stream of three files or more, one per trigger, in order of ``doc_id % 3``."""
+    docs, folder = inputs.table(spark, sf, "documents"), scratch_path(spark, "arrivals")
+    for i in range(3):
+        docs.where(F.col("doc_id") % 3 == i).coalesce(1).write.mode("append").parquet(folder)
+    schema = docs.schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    return inputs.with_planted_line(arriving_files(spark, folder, schema, per_batch=1))
 
 
 def _drain(writer, times: int = 1) -> None:
@@ -522,7 +605,10 @@ def _drain(writer, times: int = 1) -> None:
 @query
 def t1_incremental_scan(spark, sf):
     path = scratch_path(spark, "found")
-    stream = _document_stream(spark, sf).select(
+    docs = inputs.table(spark, sf, "documents")
+    schema = docs.schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    # As a pattern, the table may be a file or a folder of parts; the text stays where it is read.
+    stream = inputs.with_planted_line(arriving_files(spark, f"{sf.rstrip('/')}/documents.parque[t]", schema)).select(
         F.col("source").alias("app_key"), F.col("doc_id").cast("string").alias("file_path"), "text"
     )
     _drain(scan_stream(stream, _rules(), path, scratch_path(spark, "checkpoint")))
@@ -531,12 +617,23 @@ def t1_incremental_scan(spark, sf):
 
 @query
 def t2_stream_reports(spark, sf):
-    """Run, then run again from the same checkpoint: one report per content."""
+    """Three micro-batches, then a run from the same checkpoint: one report per content, the first to arrive."""
     path = scratch_path(spark, "store")
     key = F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
     arrivals = _document_stream(spark, sf).select(
         key.alias("app_key"), F.concat(key, F.lit(".apk")).alias("FileName"), F.col("raw").alias("text")
     )
     own = [Rule("own.yml", 1, "Token", r'token = "[0-9a-f]{40}"'), Rule("own.yml", 2, "Comma pair", r"[a-z]+, [a-z]+, ")]
-    _drain(report_stream(arrivals, own, path, scratch_path(spark, "checkpoint")), times=2)
-    return load_store(spark, path).select("app_key", "FileName", "APKHash", "n_findings")
+    number = F.regexp_extract("app_key", "[0-9]+", 0).cast("long")
+    as_app = F.concat(F.lit("d"), F.lpad(number.cast("string"), 9, "0")).alias("app_key")
+    badging = inputs.badging(spark, sf).select(as_app, "text")
+    documents = inputs.metadata_documents(spark, sf).select(as_app, "json")
+    _drain(report_stream(arrivals, own, path, scratch_path(spark, "checkpoint"), badging, documents), times=2)
+    return load_store(spark, path).select(
+        "app_key",
+        "FileName",
+        "APKHash",
+        "n_findings",
+        F.col("PackageDataModel.PackageName").alias("PackageName"),
+        F.col("Metadata.fileName").alias("metadata_file"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 RULE = "pack string, ordinal int, name string, regex string, confidence string, multiline boolean"
 RULE_ERROR = "pack string, ordinal int, name string, regex string, error string"
 
-# One finding, as stored inside a report.
+# The fields of one finding, as stored inside a report.
 FINDING_FIELDS = ("Type", "LineNo", "FileLocation", "SecretType", "SecretString")
 FINDING = "struct<Type:string,LineNo:int,FileLocation:string,SecretType:string,SecretString:string>"
 FINDINGS = f"array<{FINDING}>"
@@ -17,12 +17,13 @@ FINDING_ORDER = ("pack", "ordinal", "FileLocation", "LineNo")
 
 MESSAGES = "channel string, msg_pos long, ts string, files array<struct<url:string,name:string>>"
 
+# Field names of the package facts.
 PACKAGE_STRINGS = ("PackageName", "VersionCode", "VersionName", "CompileSdkVersion", "SdkVersion", "TargetSdk")
 PACKAGE_LISTS = ("SupportScreens", "Densities", "NativeCode")
 
 STRING, INT, LIST = "string", "int", "array<string>"
 
-# Metadata documents: field name and kind, per block.
+# Fixed values, metadata documents: field name and kind, per block.
 METADATA_TOP = (("fileName", STRING), ("fileSize", INT), ("dexSize", INT), ("arscSize", INT))
 METADATA_BLOCKS = {
     "androidManifest": (

@@ -13,7 +13,7 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, hot:
 
     Keys with more than ``hot`` rows are split into pieces of about that size and
     their right rows are repeated per piece.  There are at most ``rows / hot``
-    such keys.
+    such keys, so their list is broadcast: no row moves by a bare hot key.
     """
     heavy = (
         left.groupBy(key)
@@ -21,6 +21,7 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, hot:
         .where(F.col("copies") > hot)
         .select(key, F.ceil(F.col("copies") / hot).cast("int").alias("pieces"))
     )
+    heavy = F.broadcast(heavy)
     pieces = F.coalesce("pieces", F.lit(1))
     salted = left.join(heavy, key, "left").withColumn("salt", F.pmod(F.xxhash64(spread_by), pieces).cast("int"))
     repeated = right.join(heavy, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), pieces - 1)))

@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Limits in bytes and the rule under each block.
+from keysift.model import require
+from keysift.operators.duplicates import skew_join
+
+# Limits in bytes, the rule under each block, and the texts of the headers and entries below.
 CHAT_LIMIT = 4000
 TICKET_LIMIT = 32767
 RULE = "----------------\n"
@@ -219,9 +222,22 @@ def ticket_messages(reports: DataFrame, title: str = "Secret scan report") -> Da
     return pack_reports(reports, ticket_header(title), ticket_entry, TICKET_LIMIT)
 
 
+def _answered(messages: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests with the messages of their own batch; the messages of a large app are spread."""
+    if "batch_id" in messages.columns:
+        require(requests, "batch_id")
+    keys = [c for c in ("batch_id", "app_key") if c in messages.columns]
+    key = F.to_json(F.struct(*keys))
+    right = requests.withColumn("_key", key).drop(*keys)
+    return skew_join(messages.withColumn("_key", key), right, "_key", "seq")
+
+
 def chat_notifications(messages: DataFrame, requests: DataFrame) -> DataFrame:
-    """One reply per message in the thread of each ``requests(app_key, channel, ts)``."""
-    return requests.join(messages, "app_key").select(
+    """One reply per message in the thread of each ``requests(app_key, channel, ts)``.
+
+    Messages of stored reports carry their batch; requests then name the batch they belong to.
+    """
+    return _answered(messages, requests).select(
         "channel",
         F.col("ts").alias("thread_ts"),
         "app_key",
@@ -231,7 +247,7 @@ def chat_notifications(messages: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def ticket_notifications(messages: DataFrame, requests: DataFrame) -> DataFrame:
-    """One JSON comment body per message for each ``requests(app_key, ticket_id)``."""
-    return requests.join(messages, "app_key").select(
+    """One JSON comment body per message for each ``requests(app_key, ticket_id)``, by batch like the chat's."""
+    return _answered(messages, requests).select(
         "ticket_id", "seq", F.to_json(F.struct("body")).alias("body")
     )

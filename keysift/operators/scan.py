@@ -28,6 +28,7 @@ WORD = 62  # bits used per mask column
 GROUP = 8  # rules behind one test of their probes
 BLOCK = 512  # matches folded at a time
 PASS = 310  # distinct rules tested in one pass
+LINE_PASS = 48  # the same for single lines, whose probes are part of the generated code
 
 
 def sql_string(text: str) -> str:
@@ -237,9 +238,10 @@ def _span_hits(files: DataFrame, found: list[Matcher], first_rule_only: bool) ->
     def touched(matcher: Matcher) -> Column:
         pattern = DIALECT_MULTILINE + matcher.regex
         text = F.expr(_subject("text", matcher))
-        pairs = F.arrays_zip(
-            F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("hit")
-        )
+        gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        # There is a stretch more than matches, but for an empty match at the very start: split skips it.
+        gaps = F.when(F.size(gaps) == F.size(hits), F.concat(F.array(F.lit("")), gaps)).otherwise(gaps)
+        pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
         # Line ends in the stretch, in the match, and in the match without a final \n:
         # a match that ends with \n does not touch the next line.  Null for no match.
         steps = F.transform(
@@ -312,9 +314,9 @@ def _span_hits(files: DataFrame, found: list[Matcher], first_rule_only: bool) ->
     )
 
 
-def _chunks(found: list[Matcher]) -> list[list[Matcher]]:
+def _chunks(found: list[Matcher], size: int = PASS) -> list[list[Matcher]]:
     """Rules per pass; generated code grows with the rules it tests."""
-    return [found[i : i + PASS] for i in range(0, len(found), PASS)]
+    return [found[i : i + size] for i in range(0, len(found), size)]
 
 
 def rule_hits(
@@ -340,13 +342,17 @@ def regex_join(lines: DataFrame, rules: DataFrame | Iterable[Rule]) -> DataFrame
 
     For text that is already in lines, such as ingested search output.  Lines
     without a column ``ended`` count as followed by ``\\n``.  No pair of line and rule
-    is built: the rules are conditions, as in :func:`rule_hits`.
+    is built: the rules are conditions, as in :func:`rule_hits`.  Rules over several lines
+    need whole files and are refused.
     """
     require(lines, "app_key", "file_path", "line_no", "line")
-    found = [m for m in matchers(lines.sparkSession, rules) if not m.rules[0].multiline]
+    found = matchers(lines.sparkSession, rules)
+    spanning = [r.name for m in found for r in m.rules if r.multiline]
+    if spanning:
+        raise ValueError(f"rules over several lines cannot be joined with single lines: {', '.join(spanning)}")
     ended = "ended" if "ended" in lines.columns else "true as ended"
     parts = []
-    for chunk in _chunks(found):
+    for chunk in _chunks(found, LINE_PASS):
         columns, words = _probe_columns(chunk, "line")
         each = lines.selectExpr(
             "app_key", "file_path as FileLocation", "line_no as LineNo", ended, "line", *columns

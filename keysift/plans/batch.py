@@ -22,12 +22,12 @@ from keysift.operators.metadata import parse_metadata
 from keysift.operators.package import package_facts
 from keysift.operators.reports import PART_SIZE, build_reports
 from keysift.operators.scan import scan
-from keysift.session import scratch_path
+from keysift.session import delete_paths, stage
 from keysift.sources.rules import Rule
 from keysift.sources.store import append_store, load_store
 
-# App keys that may be sent to every executor; beyond it the findings are filtered instead.
-BROADCAST_APPS = 2_000_000
+# Bits of the filter over app keys: 16 MiB on every executor, whatever the number of keys.
+FILTER_BITS = 1 << 27
 
 
 @dataclass(frozen=True)
@@ -38,34 +38,32 @@ class BatchResult:
 
     def release(self) -> None:
         """Delete the staged tables of the batch, once ``replies`` is no longer needed."""
-        spark = self.reports.sparkSession
-        for path in self.staged:
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        delete_paths(self.reports.sparkSession, self.staged)
 
 
-def stage(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: later steps do not recompute it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    if paths is not None:
-        paths.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def likely_files(files: DataFrame, apps: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The ``files`` of the ``apps(app_key)``, and a few others, by a bitmap over key hashes.
+
+    The bitmap has a fixed size: one row per 32,768 bits, so it is broadcast for any number of apps.
+    """
+    place = F.pmod(F.xxhash64("app_key"), F.lit(bits))
+    rows = apps.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit"))
+    bitmap = rows.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1
+    joined = files.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bitmap), "_bucket")
+    return joined.withColumns({"_byte": byte, "_at": bit}).where(is_set).select(*files.columns)
 
 
-def scan_apps(
-    files: DataFrame, apps: DataFrame, rules: DataFrame | Iterable[Rule], broadcast_apps: int = BROADCAST_APPS
-) -> DataFrame:
+def scan_apps(files: DataFrame, apps: DataFrame, rules: DataFrame | Iterable[Rule]) -> DataFrame:
     """Distinct secrets of the ``apps(app_key)`` among ``files``; the text is never shuffled.
 
-    A checked, small enough list of apps filters the files.  A longer one filters
-    the findings, which are far fewer than the lines.
+    A bitmap of the keys keeps most other files from being scanned; the findings, far
+    fewer than the lines, are then joined exactly.
     """
     apps = apps.select("app_key")
-    if apps.limit(broadcast_apps + 1).count() <= broadcast_apps:
-        files = files.join(F.broadcast(apps), "app_key", "left_semi")
-        return distinct_secrets(scan(files, rules, first_rule_only=True))
-    found = distinct_secrets(scan(files, rules, first_rule_only=True))
+    found = distinct_secrets(scan(likely_files(files, apps), rules, first_rule_only=True))
     return found.join(apps, "app_key", "left_semi")
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", memory: str = "8g", **conf: str) -> SparkSession:
@@ -41,7 +42,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/keysift/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/keysift/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
+_STAGED: list[str] = []
+
+
+def stage(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: later steps do not recompute it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_paths(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete every path :func:`scratch_path` has handed out, once no result needs them any more."""
+    delete_paths(spark, _STAGED)
+    _STAGED.clear()
 
 
 def spread(df, *keys: str, small: int = 64 << 20):

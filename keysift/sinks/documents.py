@@ -1,8 +1,8 @@
-"""Report documents as files: one folder per document name."""
+"""Report documents: rows by batch, and named files for export."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysift.functions.text import findings_name, report_name
@@ -10,41 +10,60 @@ from keysift.operators.reports import report_documents
 
 
 def named_documents(reports: DataFrame) -> DataFrame:
-    """``(document, body)``: the full report and the findings of every report.
+    """``(APKHash, document, part, parts, body)``: the full report and the findings of every report.
 
-    The parts of a large report are documents of their own, named by part.
+    Names are not unique, so a document is known by APKHash and name.  The parts of a
+    large report are pieces of its documents, in order.
     """
-    suffix = F.when(F.col("parts") > 1, F.concat(F.lit(".part"), F.lpad(F.col("part").cast("string"), 6, "0"))).otherwise(
-        ""
-    )
+    name = lambda f: f(F.col("FileName"), F.col("APKVersion"))
     return report_documents(reports).select(
+        "APKHash",
+        "part",
+        "parts",
         F.inline(
             F.array(
-                F.struct(
-                    F.concat(report_name(F.col("FileName"), F.col("APKVersion")), suffix).alias("document"),
-                    F.col("report_json").alias("body"),
-                ),
-                F.struct(
-                    F.concat(findings_name(F.col("FileName"), F.col("APKVersion")), suffix).alias("document"),
-                    F.col("findings_json").alias("body"),
-                ),
+                F.struct(name(report_name).alias("document"), F.col("report_json").alias("body")),
+                F.struct(name(findings_name).alias("document"), F.col("findings_json").alias("body")),
             )
-        )
-    )
+        ),
+    ).select("APKHash", "document", "part", "parts", "body")
 
 
-def write_documents(documents: DataFrame, *folders: str) -> None:
-    """Write the same documents to every folder, rendering them once."""
+def write_documents(documents: DataFrame, batch_id: int, *folders: str) -> None:
+    """Write the documents of a batch to every folder, rendering them once.
+
+    A batch is a sub-folder of Parquet rows, as many files as there are tasks: other batches
+    stay, and the same one written again replaces itself.
+    """
     if not folders:
         raise ValueError("name at least one folder")
-    kept = documents.persist()
-    try:
-        for folder in folders:
-            kept.write.mode("overwrite").partitionBy("document").text(folder)
-    finally:
-        kept.unpersist()
+    paths = [f"{folder.rstrip('/')}/batch_id={batch_id}" for folder in folders]
+    documents.write.mode("overwrite").parquet(paths[0])
+    written = documents.sparkSession.read.schema(documents.schema).parquet(paths[0])
+    for path in paths[1:]:
+        written.write.mode("overwrite").parquet(path)
+
+
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """``(APKHash, document, part, parts, body, batch_id)`` of all batches of a folder."""
+    return spark.read.option("basePath", folder).parquet(folder).withColumn("batch_id", F.col("batch_id").cast("long"))
+
+
+def whole_documents(documents: DataFrame) -> DataFrame:
+    """One row per document: its parts joined in order, as long as they fit one string."""
+    keys = [c for c in documents.columns if c not in ("part", "parts", "body")]
+    one = documents.where(F.col("parts") == 1).select(*keys, "body")
+    pieces = F.array_sort(F.collect_list(F.struct("part", "body")))
+    several = documents.where(F.col("parts") > 1).groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda p: p["body"]), "").alias("body"))
+    return one.unionByName(several)
+
+
+def export_documents(documents: DataFrame, batch_id: int, folder: str) -> None:
+    """One file per document, in a folder of its hash and name below the batch: for people, not for many apps."""
+    whole = whole_documents(documents).select("APKHash", "document", "body")
+    whole.write.mode("overwrite").partitionBy("APKHash", "document").text(f"{folder.rstrip('/')}/batch_id={batch_id}")
 
 
-def write_reports(reports: DataFrame, results: str, backup: str) -> None:
+def write_reports(reports: DataFrame, batch_id: int, results: str, backup: str) -> None:
     """Full reports and findings to the results and the backup folder."""
-    write_documents(named_documents(reports), backup, results)
+    write_documents(named_documents(reports), batch_id, backup, results)

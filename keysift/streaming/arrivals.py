@@ -45,20 +45,35 @@ def scan_stream(
 
 
 def report_stream(
-    arrivals: DataFrame, rules: DataFrame | Iterable[Rule], store_path: str, checkpoint: str
+    arrivals: DataFrame,
+    rules: DataFrame | Iterable[Rule],
+    store_path: str,
+    checkpoint: str,
+    badging: DataFrame | None = None,
+    documents: DataFrame | None = None,
 ) -> DataStreamWriter:
     """Store one report per distinct content of a stream of ``arrivals(app_key, FileName, text)``.
 
+    With a column ``file_path`` an app may have several files; they arrive together, and the
+    app's hash is that of its sorted paths and file hashes.  ``badging(app_key, text)`` and
+    ``documents(app_key, json)`` are tables that know the arriving apps.
     Each micro-batch is one store batch: content of earlier batches is rejected,
     copies inside it count once, and a replayed micro-batch replaces its own output.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        text = F.col("text")
-        submissions = batch.select("app_key", "FileName", fingerprint(text).alias("APKHash"))
-        files = batch.select("app_key", F.col("FileName").alias("file_path"), "text")
+        if "file_path" in batch.columns:
+            each = F.struct("file_path", fingerprint(F.col("text")).alias("hash"))
+            listed = F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda f: F.concat(f["file_path"], F.lit("\0"), f["hash"])), "\n")
+            submissions = batch.groupBy("app_key", "FileName").agg(fingerprint(listed).alias("APKHash"))
+            files = batch.select("app_key", "file_path", "text")
+        else:
+            submissions = batch.select("app_key", "FileName", fingerprint(F.col("text")).alias("APKHash"))
+            files = batch.select("app_key", F.col("FileName").alias("file_path"), "text")
+        keys = batch.select("app_key").distinct()
         nothing = batch.select("app_key", F.lit(None).cast("string").alias("text")).where(F.lit(False))
-        documents = nothing.withColumnRenamed("text", "json")
-        scan_batch(submissions, files, nothing, documents, rules, store_path, batch_id).release()
+        own = nothing if badging is None else badging.join(keys, "app_key", "left_semi")
+        json = nothing.withColumnRenamed("text", "json") if documents is None else documents.join(keys, "app_key", "left_semi")
+        scan_batch(submissions, files, own, json, rules, store_path, batch_id).release()
 
     return arrivals.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

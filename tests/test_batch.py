@@ -5,8 +5,8 @@ from keysift.functions.text import fingerprint
 from keysift.operators.attachments import requested_files
 from keysift.operators.duplicates import known_content, new_content, skew_join
 from keysift.operators.scan import regex_join
-from keysift.plans.batch import duplicate_replies, scan_apps, scan_batch
-from keysift.sources.corpus import lines, load_corpus, parse_search_output, scannable
+from keysift.plans.batch import duplicate_replies, likely_files, scan_apps, scan_batch
+from keysift.sources.corpus import lines, load_corpus, parse_search_output, scannable, unlisted_files
 from keysift.sources.rules import Rule
 from keysift.sources.store import append_store, last_report, load_store
 from keysift.streaming.arrivals import arriving_files, report_stream, scan_stream
@@ -50,8 +50,18 @@ def test_many_findings_and_long_app_lists(spark):
     text = "\n".join(f"tok_{i}" for i in range(1500))
     files = spark.createDataFrame([("a", "f", text), ("b", "f", text)], "app_key string, file_path string, text string")
     apps = spark.createDataFrame([("a",)], "app_key string")
-    small, large = scan_apps(files, apps, RULES), scan_apps(files, apps, RULES, broadcast_apps=0)
-    assert small.count() == 1500 and sorted(small.collect()) == sorted(large.collect())
+    found = scan_apps(files, apps, RULES)
+    assert found.count() == 1500 and {r.app_key for r in found.collect()} == {"a"}
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 15, 1 << 27])
+def test_likely_files_keeps_every_file_of_the_apps(spark, bits):
+    files = spark.range(3000).selectExpr("concat('k', id) as app_key", "'t' as text")
+    apps = spark.range(0, 3000, 7).selectExpr("concat('k', id) as app_key")
+    kept = likely_files(files, apps, bits)
+    assert kept.columns == files.columns and kept.join(apps, "app_key").count() == apps.count()
+    assert bits < 1 << 20 or kept.count() < 450
+    assert likely_files(files, apps.limit(0), bits).count() == 0
 
 
 def test_empty_store(spark, tmp_path):
@@ -67,6 +77,24 @@ def test_skew_join_keeps_all_rows(spark):
         assert sorted(skew_join(left, right, "k", "id", hot).select("k", "id", "v").collect()) == sorted(plain.collect())
 
 
+def test_hot_keys_do_not_move_by_the_bare_key(spark):
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        left = spark.createDataFrame([("h", i) for i in range(100)], "k string, id long")
+        right = spark.createDataFrame([("h", 1)], "k string, v int")
+        plan = skew_join(left, right, "k", "id", 10)._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.split("\n") if "Exchange hashpartitioning(k" in line]
+        # By the bare key moves only the list of counts; rows move by key and salt.
+        assert sum("salt" in line for line in moved) == 2 and "BroadcastExchange" in plan
+        assert "SortMergeJoin [k" in plan and "salt" in plan.split("SortMergeJoin [k")[1].split("\n")[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_new_and_known_content(spark):
     new = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", "z")], "app_key string, APKHash string")
     store = spark.createDataFrame([("s2", "y", 1), ("s1", "y", 1), ("s0", "y", 2)], "app_key string, APKHash string, batch_id long")
@@ -96,6 +124,16 @@ def test_corpus(spark, tmp_path):
         (root / path).write_bytes(data)
     files = load_corpus(spark, str(root))
     assert files.count() == 3  # the file source lists no hidden paths
+    for path in ("a/assets/apps/index.txt", "a/_c.txt", "b/_n x/%2 #.txt", "b/s p/%41 #.txt", "b/.g/_z"):
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(b"q")
+    for folder in (str(root), f"{root}/", f"file://{root}"):
+        found = {(r.app_key, r.file_path) for r in load_corpus(spark, folder).collect()}
+        assert {("a", "a/assets/apps/index.txt"), ("b", "b/s p/%41 #.txt")} < found and len(found) == 5
+        assert sorted(r.file_path for r in unlisted_files(spark, folder).collect()) == ["a/_c.txt", "b/_n x/%2 #.txt"]
+    with pytest.raises(ValueError):
+        load_corpus(spark, str(tmp_path / "*"))
+    files = files.where("text not in ('q')")
     hidden = spark.createDataFrame([("a", "a/.git/y", "z"), (".b", ".b", "z")], "app_key string, file_path string, text string")
     kept = scannable(files.unionByName(hidden))
     assert sorted((r.app_key, r.file_path) for r in kept.collect()) == [("a", "a/src/x.txt"), ("b", "b/ok..txt")]
@@ -111,6 +149,8 @@ def test_regex_join(spark):
 
     assert hits(rows) == [(7, "s"), (7, "t"), (7, "t2"), (11, "e")]
     assert hits(rows.selectExpr("*", "false as ended")) == [(7, "t"), (7, "t2")]
+    with pytest.raises(ValueError):
+        regex_join(rows, [*rules, Rule("p", 6, "m", "a\nb", multiline=True)])
     parsed = parse_search_output(spark.createDataFrame([("a", "f:3:tok_1")], "app_key string, value string"))
     assert hits(parsed) == [(3, "t"), (3, "t2")]
 
@@ -145,6 +185,21 @@ def test_streams_equal_batches_and_survive_restarts(spark, tmp_path):
     assert spark.read.parquet(found).count() == sum(2 if i % 5 != 1 else 3 for i in range(12))
 
 
+def test_stream_of_apps_with_several_files_and_facts(spark, tmp_path):
+    schema = "app_key string, FileName string, file_path string, text string"
+    incoming, store = str(tmp_path / "in"), str(tmp_path / "store")
+    first = [("a", "a.apk", "x", "tok_1"), ("a", "a.apk", "y", "tok_2"), ("b", "b.apk", "x", "tok_1")]
+    second = [("c", "c.apk", "y", "tok_2"), ("c", "c.apk", "x", "tok_1"), ("d", "d.apk", "z", "tok_1")]
+    for part in (first, second):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(incoming)
+    badging = spark.createDataFrame([("a", "package: name='pa'"), ("d", "package: name='pd'")], "app_key string, text string")
+    documents = spark.createDataFrame([("a", '{"fileName": "fa"}')], "app_key string, json string")
+    stream = arriving_files(spark, incoming, schema, per_batch=1)
+    report_stream(stream, RULES, store, str(tmp_path / "c"), badging, documents).trigger(availableNow=True).start().awaitTermination()
+    found = sorted((r.app_key, r.n_findings, r.PackageDataModel.PackageName, r.Metadata.fileName) for r in load_store(spark, store).collect())
+    assert found == [("a", 2, "pa", "fa"), ("b", 1, "", ""), ("d", 1, "pd", "")]
+
+
 def test_store_append_replaces_only_its_batch(spark, tmp_path):
     store = str(tmp_path / "s")
     (first, _) = run(spark, [("a", "tok_1"), ("b", "tok_2")], store, 5)

@@ -9,7 +9,7 @@ from keysift.operators import messages as m
 from keysift.operators.metadata import flat_metadata, parse_metadata
 from keysift.operators.package import package_facts
 from keysift.operators.reports import build_reports, collect_findings, findings_json, parse_findings, report_documents
-from keysift.sinks.documents import named_documents, write_reports
+from keysift.sinks.documents import export_documents, named_documents, read_documents, whole_documents, write_reports
 
 BADGING = """package: name='com.ex.app' versionCode='7' versionName='1.2' compileSdkVersion='33' compileSdkVersionCodename='13'
 sdkVersion:'21'
@@ -86,11 +86,12 @@ def reports(spark, counts, part_size=10_000):
     return build_reports(apps, package_facts(badging), parse_metadata(docs), findings(spark, counts), part_size)
 
 
-def test_report_parts_hold_everything(spark):
+def test_report_parts_are_the_report(spark):
     parts = collect_findings(findings(spark, {"big": 500, "small": 4}), part_size=40).collect()
-    big = [p for p in parts if p.app_key == "big"]
-    assert {p.parts for p in big} == {13} and len(big) > 10 and {p.n_findings for p in big} == {500}
-    assert len({f.SecretString for p in big for f in p.Findings}) == 500
+    big = sorted((p for p in parts if p.app_key == "big"), key=lambda p: p.part)
+    assert [len(p.Findings) for p in big] == [40] * 12 + [20] and {(p.parts, p.n_findings) for p in big} == {(13, 500)}
+    whole = [p for p in collect_findings(findings(spark, {"big": 500})).collect() if p.app_key == "big"]
+    assert [f for p in big for f in p.Findings] == whole[0].Findings
     assert [(p.part, p.parts, p.n_findings, len(p.Findings)) for p in parts if p.app_key == "small"] == [(0, 1, 4, 4)]
 
 
@@ -183,6 +184,11 @@ def test_notifications(spark):
     assert sorted(m.chat_notifications(sent, requests.drop("ticket_id")).collect()) == [
         ("C", "1.5", "a", 0, "```x\n```"), ("C", "1.5", "a", 1, "```y```"),
     ]
+    batches = sent.withColumn("batch_id", F.lit(1).cast("long")).unionByName(sent.limit(1).withColumn("batch_id", F.lit(2).cast("long")))
+    named = requests.withColumn("batch_id", F.lit(2).cast("long"))
+    assert [r.seq for r in m.chat_notifications(batches, named).collect()] == [0]
+    with pytest.raises(ValueError):
+        m.chat_notifications(batches, requests)
     tickets = m.ticket_notifications(sent, requests.select("app_key", "ticket_id")).orderBy("seq").collect()
     assert [json.loads(t.body) for t in tickets] == [{"body": "x\n"}, {"body": "y"}]
 
@@ -195,17 +201,43 @@ def test_documents(spark, tmp_path):
     assert json.loads(body["SecretModel"])[0]["SecretString"].startswith("secret a 0")
     assert body["PackageDataModel"]["Densities"] == ["160", "240", "320"] and "\n" in docs["a"].report_json
     assert json.loads(docs["none"].report_json)["SecretModel"] == "null" and docs["none"].findings_json == "null"
-    write_reports(found, str(tmp_path / "results"), str(tmp_path / "backup"))
+    for batch_id in (0, 1, 1):  # batches stay, and one written again replaces itself
+        write_reports(found, batch_id, str(tmp_path / "results"), str(tmp_path / "backup"))
+    names = ("a.apk_1.2.json", "a.apk_Secrets_1.2.json", "none.apk_1.2.json", "none.apk_Secrets_1.2.json")
     for folder in ("results", "backup"):
-        names = sorted(p.name for p in (tmp_path / folder).iterdir() if p.is_dir())
-        assert names == [f"document={n}" for n in ("a.apk_1.2.json", "a.apk_Secrets_1.2.json", "none.apk_1.2.json", "none.apk_Secrets_1.2.json")]
-        part = next((tmp_path / folder / "document=a.apk_1.2.json").glob("part-*"))
-        assert json.loads(part.read_text()) == body
-
-
-def test_large_reports_have_named_parts(spark):
-    names = sorted(r.document for r in named_documents(reports(spark, {"big": 30}, part_size=10)).collect())
-    assert names[0] == "big.apk_1.2.json.part000000" and len(names) == 6
+        written = whole_documents(read_documents(spark, str(tmp_path / folder))).collect()
+        assert sorted((r.batch_id, r.document) for r in written) == [(b, n) for b in (0, 1) for n in names]
+        assert all(json.loads(r.body) == body for r in written if r.document == names[0])
+    export_documents(named_documents(reports(spark, {"a": 2}, part_size=1)), 0, str(tmp_path / "files"))
+    part = next((tmp_path / "files" / "batch_id=0" / "APKHash=ha" / "document=a.apk_1.2.json").glob("part-*"))
+    assert json.loads(part.read_text()) == body
+
+
+def test_documents_of_equal_name_stay_apart(spark, tmp_path):
+    found = reports(spark, {"a": 1, "b": 2}).withColumn("FileName", F.lit("x.apk"))
+    write_reports(found, 0, str(tmp_path / "r"), str(tmp_path / "b"))
+    written = whole_documents(read_documents(spark, str(tmp_path / "r"))).collect()
+    assert sorted((r.APKHash, r.document) for r in written) == [(h, n) for h in ("ha", "hb") for n in ("x.apk_1.2.json", "x.apk_Secrets_1.2.json")]
+
+
+@pytest.mark.parametrize("part_size", [3, 7])
+def test_results_do_not_depend_on_the_part_size(spark, part_size):
+    counts = {"big": 61, "even": 21, "none": 0, "one": 1}
+    whole, cut = reports(spark, counts), reports(spark, counts, part_size)
+    for messages in (m.chat_messages, m.ticket_messages, lambda r: whole_documents(named_documents(r))):
+        assert sorted(map(tuple, messages(whole).collect())) == sorted(map(tuple, messages(cut).collect()))
+    assert {r.parts for r in cut.where("app_key = 'big'").collect()} == {-(-61 // part_size)}
+
+
+def test_one_report_per_app(spark):
+    apps = spark.createDataFrame([("a", "a.apk", "h")], "app_key string, FileName string, APKHash string")
+    badging = spark.createDataFrame([("a", BADGING), ("a", "package: name='z'"), ("b", "")], "app_key string, text string")
+    docs = spark.createDataFrame([("a", '{"fileName": "x"}'), ("a", '{"fileName": "y"}')], "app_key string, json string")
+    found = build_reports(apps, package_facts(badging), parse_metadata(docs), findings(spark, {"a": 1})).collect()
+    assert [(r.PackageDataModel.PackageName, r.Metadata.fileName) for r in found] == [("z", "y")]
+    numbered_docs = parse_metadata(docs).withColumn("seq", F.when(F.col("Metadata.fileName") == "x", 2).otherwise(1))
+    found = build_reports(apps, package_facts(badging), numbered_docs, findings(spark, {"a": 1})).collect()
+    assert [r.Metadata.fileName for r in found] == ["x"]
 
 
 def test_findings_json_round_trip(spark):

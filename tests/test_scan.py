@@ -134,18 +134,21 @@ def test_spanning_rules(spark):
 
 
 @pytest.mark.parametrize("block", [1, 3, 512])
-def test_spanning_rules_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("regex", ["a\n+b|bb\na", "^(?=\n)|ab", r"(a|b)\1\n", "(?=a)|b\n"])
+def test_spanning_rules_against_brute_force(spark, monkeypatch, block, regex):
     import re
 
     monkeypatch.setattr("keysift.operators.scan.BLOCK", block)
 
     rng = random.Random(11)
     texts = ["".join(rng.choice("ab\n") for _ in range(40)) for _ in range(60)]
-    regex = "a\n+b|bb\na"
+    texts += ["\nb\nab\nb\nab\n", "", "ab", "\n"]
     expected = []
     for i, text in enumerate(texts):
         touched = set()
         for m in re.finditer(regex, text):
+            if not m.group():  # an empty match touches no line
+                continue
             first = text.count("\n", 0, m.start()) + 1
             touched.update(range(first, first + m.group().rstrip("\n").count("\n") + 1))
         expected += [(str(i), n, "p", 1) for n in touched]
