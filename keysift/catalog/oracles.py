@@ -262,10 +262,11 @@ def _features() -> str:
         for c in ("SupportScreens", "Densities", "NativeCode")
     ]
     columns += [f"coalesce({c}, '') AS {c}" for c in PACKAGE_STRINGS]
-    columns += [f"(SELECT count(*) FROM secrets s WHERE s.app_key = apps.app_key AND s.Type = {_q(t)}) AS {c}" for t, c in type_columns(_RULES).items()]
+    columns += [f"coalesce({c}, 0) AS {c}" for c in type_columns(_RULES).values()]
     return f"""SELECT CAST(0 AS BIGINT) AS batch_id, apps.app_key, apps.FileName AS file_name, APKHash, coalesce(VersionName, '') AS APKVersion,
  coalesce(n_findings, 0) AS n_findings, {', '.join(columns)}
- FROM apps LEFT JOIN facts USING (app_key) LEFT JOIN all_meta m USING (app_key) LEFT JOIN found_json USING (app_key)"""
+ FROM apps LEFT JOIN facts USING (app_key) LEFT JOIN all_meta m USING (app_key) LEFT JOIN found_json USING (app_key)
+ LEFT JOIN type_counts USING (app_key)"""
 
 
 ORACLES: dict[str, str] = {
@@ -442,7 +443,13 @@ ORACLES: dict[str, str] = {
         versions="""SELECT version, package, lag(version) OVER (PARTITION BY package ORDER BY version) AS before FROM (
  SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS version, 'pkg' || (CAST(substr(source, 4) AS BIGINT) % 4) AS package FROM documents)""",
     ),
-    "x2_feature_table": _with(_features(), **_REPORT_CTES),
+    "x2_feature_table": _with(
+        _features(),
+        **_REPORT_CTES,
+        type_counts="SELECT app_key, "
+        + ", ".join(f"count(*) FILTER (Type = {_q(t)}) AS {c}" for t, c in type_columns(_RULES).items())
+        + " FROM secrets GROUP BY app_key",
+    ),
     "k5_chat_notifications": _with(
         """SELECT 'C1' AS channel, '17.' || app_key AS thread_ts, app_key, seq, '```' || body || '```' AS body FROM messages""",
         **_CHAT,
