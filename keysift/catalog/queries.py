@@ -365,7 +365,7 @@ def _two_batches(spark: SparkSession, sf: str):
             path,
             batch_id,
         )
-    return result, load_store(spark, path), every
+    return result, path, every
 
 
 @query
@@ -383,11 +383,13 @@ def c7_scan_batch(spark, sf):
 
 @query
 def k7_duplicate_replies(spark, sf):
-    _, store, every = _two_batches(spark, sf)
+    _, path, every = _two_batches(spark, sf)
     every = stage(every.select("app_key", "APKHash"), "fingerprints")
-    return duplicate_replies(every, store).select(
-        "app_key", "APKHash", "reply_app", "FileName", "n_findings"
+    replies, reports = duplicate_replies(every, path)
+    named = reports.where(F.col("part") == 0).select(
+        F.col("batch_id").alias("reply_batch"), F.col("app_key").alias("reply_app"), "FileName", "n_findings"
     )
+    return replies.join(named, ["reply_batch", "reply_app"]).select("app_key", "APKHash", "reply_app", "FileName", "n_findings")
 
 
 # Joins -------------------------------------------------------------------------

@@ -15,7 +15,6 @@ from keysift.operators.duplicates import (
     first_stored,
     known_content,
     new_content,
-    skew_join,
     stored_matches,
 )
 from keysift.operators.metadata import parse_metadata
@@ -24,7 +23,7 @@ from keysift.operators.reports import PART_SIZE, build_reports
 from keysift.operators.scan import scan
 from keysift.session import delete_paths, stage
 from keysift.sources.rules import Rule
-from keysift.sources.store import append_store, load_store
+from keysift.sources.store import append_store, load_index, load_store
 
 # Bits of the filter over app keys: 16 MiB on every executor, whatever the number of keys.
 FILTER_BITS = 1 << 27
@@ -93,23 +92,26 @@ def scan_batch(
     # Fingerprints cost a pass over all content; the steps below read them from here.
     staged: list[str] = []
     submissions = stage(submissions.select("app_key", "FileName", "APKHash"), "submissions", staged)
-    earlier = load_store(spark, store_path, before=batch_id)
+    earlier = load_index(spark, store_path, submissions, before=batch_id)
     fresh = first_of_batch(submissions) if rescan_duplicates else new_content(submissions, earlier)
     fresh = stage(fresh.select("app_key"), "fresh", staged)
     found = stage(scan_apps(files, fresh, rules), "findings", staged)
     apps = submissions.join(fresh, "app_key", "left_semi")
     reports = build_reports(apps, package_facts(badging), parse_metadata(documents), found, part_size)
     append_store(reports, store_path, batch_id)
-    stored = load_store(spark, store_path).where(F.col("batch_id") <= batch_id)
-    replies = known_content(submissions, stored).where(
-        (F.col("reply_app") != F.col("app_key")) | (F.col("reply_batch") != batch_id)
-    )
-    return BatchResult(stored.where(F.col("batch_id") == batch_id), replies, tuple(staged))
-
-
-def duplicate_replies(submissions: DataFrame, store: DataFrame) -> DataFrame:
-    """The stored report, all parts, for every submission whose content is known."""
-    first = first_stored(stored_matches(submissions, store.select("APKHash", "batch_id", "app_key")))
-    reports = store.join(first, ["APKHash", "batch_id", "app_key"], "left_semi")
-    reports = reports.withColumnRenamed("batch_id", "reply_batch").withColumnRenamed("app_key", "reply_app")
-    return skew_join(submissions.select("app_key", "APKHash"), reports, "APKHash", "app_key")
+    known = known_content(submissions, load_index(spark, store_path, submissions, before=batch_id + 1))
+    replies = known.where((F.col("reply_app") != F.col("app_key")) | (F.col("reply_batch") != batch_id))
+    return BatchResult(load_store(spark, store_path).where(F.col("batch_id") == batch_id), replies, tuple(staged))
+
+
+def duplicate_replies(submissions: DataFrame, store_path: str) -> tuple[DataFrame, DataFrame]:
+    """What answers submissions whose content is known.
+
+    ``(app_key, APKHash, reply_batch, reply_app)`` for every copy, from the index alone, and the
+    stored reports they name, all parts, each once: a wide report is not repeated per copy.
+    """
+    spark = submissions.sparkSession
+    index = load_index(spark, store_path, submissions)
+    first = first_stored(stored_matches(submissions, index))
+    reports = load_store(spark, store_path).join(first, ["APKHash", "batch_id", "app_key"], "left_semi")
+    return known_content(submissions, index), reports

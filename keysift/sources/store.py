@@ -1,12 +1,14 @@
 """The findings store: a folder of Parquet files, one sub-folder per batch.
 
 Writing a batch again replaces exactly that batch, so a repeated write after a
-failure leaves one copy.
+failure leaves one copy.  Beside it stands an index of known content: fingerprint, batch and app,
+by batch and by one of PREFIXES parts of the fingerprints, so that a batch looks only at the parts
+its own fingerprints fall into, and never at the reports.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +42,64 @@ REPORT = (
 )
 
 
+#: Parts of the index.
+PREFIXES = 256
+INDEX = "APKHash string, app_key string, batch_id bigint"
+
+
 def append_store(reports: DataFrame, path: str, batch_id: int) -> None:
-    reports.drop("batch_id").write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+    """Write the reports of a batch, then its part of the index from what was written."""
+    target = f"{path.rstrip('/')}/batch_id={batch_id}"
+    reports.drop("batch_id").write.mode("overwrite").parquet(target)
+    written = reports.sparkSession.read.schema(reports.drop("batch_id").schema).parquet(target)
+    keys = written.where(F.col("part") == 0).select("APKHash", "app_key", F.lit(batch_id).cast("long").alias("batch_id"))
+    _write_index(keys, f"{_index(path)}/chunk={batch_id}")
+
+
+def _index(path: str) -> str:
+    return f"{path.rstrip('/')}-index"
+
+
+def _prefix() -> Column:
+    return F.pmod(F.xxhash64("APKHash"), F.lit(PREFIXES)).cast("int")
+
+
+def _write_index(keys: DataFrame, target: str) -> None:
+    # One file per part; a part of a very large batch is cut where its file gets long.
+    placed = keys.withColumn("prefix", _prefix()).repartition("prefix")
+    placed.write.mode("overwrite").option("maxRecordsPerFile", 5_000_000).partitionBy("prefix").parquet(target)
+
+
+def load_index(spark: SparkSession, path: str, contents: DataFrame | None = None, before: int | None = None) -> DataFrame:
+    """``(APKHash, app_key, batch_id)`` of stored content, of batches below ``before``.
+
+    With ``contents(APKHash)`` only the parts of the index are listed and read that these fall into.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_index(path))
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], INDEX)
+    index = spark.read.schema(T._parse_datatype_string(f"{INDEX}, chunk string, prefix int")).option("basePath", _index(path)).parquet(_index(path))
+    if contents is not None:
+        parts = [r[0] for r in contents.select(_prefix()).distinct().collect()]  # at most PREFIXES numbers
+        index = index.where(F.col("prefix").isin(parts))
+    return (index if before is None else index.where(F.col("batch_id") < before)).select("APKHash", "app_key", "batch_id")
+
+
+def compact_index(spark: SparkSession, path: str, before: int) -> None:
+    """Join the index of all batches below ``before`` into one chunk: fewer, larger files.
+
+    For batches that will not be written again.  The joined chunk is complete before the old ones
+    go; until then content may be listed twice, which changes no answer.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_index(path))
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName().removeprefix("chunk=") for s in system.listStatus(root)]
+    old = [n for n in names if n.removeprefix("below-").isdigit() and (n.startswith("below-") or int(n) < before) and n != f"below-{before}"]
+    if not old:
+        return
+    _write_index(load_index(spark, path, before=before).distinct(), f"{_index(path)}/chunk=below-{before}")
+    for name in old:
+        system.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_index(path)}/chunk={name}"), True)
 
 
 def load_store(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:

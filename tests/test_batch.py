@@ -8,7 +8,7 @@ from keysift.operators.scan import regex_join
 from keysift.plans.batch import duplicate_replies, likely_files, scan_apps, scan_batch
 from keysift.sources.corpus import lines, load_corpus, parse_search_output, scannable, unlisted_files
 from keysift.sources.rules import Rule
-from keysift.sources.store import append_store, last_report, load_store
+from keysift.sources.store import append_store, compact_index, last_report, load_index, load_store
 from keysift.streaming.arrivals import arriving_files, report_stream, scan_stream
 
 RULES = [Rule("p.yml", 1, "tok", "tok_[0-9]+"), Rule("p.yml", 2, "any", "[a-z]+_1")]
@@ -39,8 +39,9 @@ def test_batches(spark, tmp_path):
     again, _ = run(spark, apps, store, 1)  # a replay changes nothing
     assert stored(load_store(spark, store)) == [(0, "a", 2), (0, "c", 0), (1, "e", 1)]
     assert stored(again.reports) == [(1, "e", 1)]
-    replies = {r.app_key: r.FileName for r in duplicate_replies(submissions, load_store(spark, store)).collect()}
-    assert replies == {"d": "c.apk", "e": "e.apk"}
+    replies, answers = duplicate_replies(submissions, store)
+    assert {r.app_key: r.reply_app for r in replies.collect()} == {"d": "c", "e": "e"}
+    assert sorted(r.FileName for r in answers.collect()) == ["c.apk", "e.apk"]
     assert [r.app_key for r in last_report(load_store(spark, store)).collect()] == ["e"]
     rescan, _ = run(spark, apps, store, 2, rescan_duplicates=True)
     assert stored(rescan.reports) == [(2, "d", 0), (2, "e", 1)]
@@ -64,6 +65,26 @@ def test_likely_files_keeps_every_file_of_the_apps(spark, bits):
     assert likely_files(files, apps.limit(0), bits).count() == 0
 
 
+def test_index_reads_only_the_parts_of_a_batch(spark, tmp_path):
+    store = str(tmp_path / "store")
+    for batch_id in range(3):
+        run(spark, [(f"a{batch_id}{i}", f"tok_{i}\n{batch_id}") for i in range(20)], store, batch_id)
+    contents = load_index(spark, store).where("app_key in ('a01', 'a15')").select("APKHash")
+    part = load_index(spark, store, contents)
+    files = {r[0] for r in part.select(F.input_file_name()).distinct().collect()}
+    assert len({f.split("prefix=")[1].split("/")[0] for f in files}) <= 2 and part.join(contents, "APKHash").count() == 2
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "prefix" in plan.split("PartitionFilters: [")[1].split("]")[0] and "Findings" not in plan
+    before = sorted(map(tuple, load_index(spark, store).collect()))
+    compact_index(spark, store, 2)
+    compact_index(spark, store, 2)
+    assert sorted(map(tuple, load_index(spark, store).collect())) == before
+    assert sorted(p.name for p in (tmp_path / "store-index").iterdir()) == ["chunk=2", "chunk=below-2"]
+    again, _ = run(spark, [("z", "tok_1\n0"), ("y", "new")], store, 3)
+    assert stored(again.reports) == [(3, "y", 0)] and [r.reply_app for r in again.replies.collect()] == ["a01"]
+    assert load_index(spark, store, before=1).count() == 20
+
+
 def test_empty_store(spark, tmp_path):
     store = load_store(spark, str(tmp_path / "absent"))
     assert store.count() == 0 and last_report(store).count() == 0
