@@ -132,8 +132,10 @@ def sample_payloads(pages: DataFrame) -> list[bytes]:
     code = F.xxhash64(payload)
     # Windows begin at a place given by the hash, so heads are not favoured.
     start = F.pmod(code, F.greatest(F.lit(1), F.length(payload) - SAMPLE_BYTES + 1)).cast("int") + 1
-    rows = pages.select(code.alias("code"), F.substring(payload, start, F.lit(SAMPLE_BYTES)).alias("part"))
-    return [bytes(r["part"]) for r in rows.orderBy("code").limit(SAMPLE_RECORDS).collect()]
+    # Hashes alone are sorted; then each chosen payload comes once, however many copies it has.
+    chosen = {r["code"] for r in pages.select(code.alias("code")).orderBy("code").limit(SAMPLE_RECORDS).collect()}
+    rows = pages.select(code.alias("code"), F.substring(payload, start, F.lit(SAMPLE_BYTES)).alias("part")).filter(F.col("code").isin(list(chosen)))
+    return [bytes(r["part"]) for r in rows.groupBy("code").agg(F.first("part").alias("part")).orderBy("code").collect()]
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
