@@ -8,7 +8,6 @@ gaps, all of them are scored in batches, and the window probabilities are averag
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
