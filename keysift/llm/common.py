@@ -11,6 +11,8 @@ from keysift.session import scratch_path
 
 #: A list of heavy keys never has more rows than this, whatever the input (see ``attach``).
 HEAVY_KEYS = 20_000
+#: Bits of a filter over keys: 8 MiB on every executor.
+FILTER_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,21 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, columns: lis
     )
 
 
+def suspected(rows: DataFrame, keys: DataFrame, key: str, column: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with a boolean ``column``: false only where ``key`` is not among ``keys``.
+
+    A bitmap over key hashes, broadcast: one row per 32,768 bits, so its size is fixed for any
+    number of keys.  Most rows without a partner are told apart by it and need no shuffle.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    spots = keys.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_spot"))
+    bitmap = spots.groupBy("_bucket").agg(F.bitmap_construct_agg("_spot").alias("_bits"))
+    joined = rows.withColumns({"_bucket": F.bitmap_bucket_number(place), "_spot": F.bitmap_bit_position(place)}).join(F.broadcast(bitmap), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_spot") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr("shiftright(_byte, cast(_spot % 8 as int)) & 1") == 1
+    return joined.withColumn("_byte", byte).select(*rows.columns, F.coalesce(is_set, F.lit(False)).alias(column))
+
+
 class WordCache(dict):
     """What ``make`` returns for a word, remembered for up to ``2 * room`` words.
 

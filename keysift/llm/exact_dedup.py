@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.llm.common import attach, partitions, stage, table, text_of
+from keysift.llm.common import attach, partitions, stage, suspected, table, text_of
 
 #: Bytes of text a map-side trie holds before it gives off a subtree.
 TRIE_BYTES = 32 << 20
@@ -220,13 +220,17 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     groups = stage(groups_of(packed), "exact-groups").withColumnRenamed("chars", "best_chars")
     rows = packed.select("doc_id", "_row", F.length(text_of()).cast("long").alias("chars"), F.sha2(normalised(text_of()).cast("binary"), 256).alias("text_sha256"))
-    # Only texts with copies need a look at their group: most rows pass the join untouched.
-    copied = groups.filter((F.col("n") > 1)).select("text_sha256", "id", "best_chars", "n_best", "n")
-    joined = attach(rows, copied, "text_sha256", "n", ["id", "best_chars", "n_best", "n"], F.coalesce(F.col("doc_id"), F.lit(-1)))
+    # Only texts with copies need a look at their group: other rows stay where they are.
+    copied = groups.filter(F.col("n") > 1).select("text_sha256", "id", "best_chars", "n_best", "n")
+    marked = suspected(rows, copied, "text_sha256", "_copied")
+    joined = attach(
+        marked.filter("_copied").drop("_copied"), copied, "text_sha256", "n", ["id", "best_chars", "n_best", "n"], F.coalesce(F.col("doc_id"), F.lit(-1))
+    )
     single = F.col("n").isNull()
-    kept = joined.filter(single | _kept())
-    tied = kept.filter(~single & (F.col("n_best") > 1)).dropDuplicates(["text_sha256"])
-    return kept.filter(single | (F.col("n_best") == 1)).unionByName(tied).select("_row.*")
+    # Rows that tie are equal in id and text; ``tie`` is their text, and each other row has its own.
+    tie = F.when(~single & (F.col("n_best") > 1), F.col("text_sha256")).otherwise(F.concat_ws("-", "doc_id", "text_sha256", F.monotonically_increasing_id()))
+    kept = joined.filter(single | _kept()).withColumn("_tie", tie).dropDuplicates(["_tie"])
+    return marked.filter(~F.col("_copied")).select("_row.*").unionByName(kept.select("_row.*"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.llm.common import attach, partitions, stage, table, text_of
+from keysift.llm.common import attach, partitions, stage, suspected, table, text_of
 from keysift.llm.components import components
 
 WORDS = 3
@@ -366,15 +366,17 @@ def drop_near(docs: DataFrame, max_bits: int = STAGE_BITS, words: int = STAGE_WO
     groups = stage(groups, "distinct-sketches")
     found = components(links(groups, max_bits, bits_for(similarity, 128)))
     named = groups.join(found, groups["id"] == found["node"], "left").select(F.coalesce("root", "id").alias("root"), "least")
-    kept = stage(named.groupBy("root").agg(F.min("least").alias("least")), "kept").select(
-        F.xxhash64(F.coalesce(F.col("least.doc_id").cast("string"), F.lit("")), F.col("least.content")).alias("_kept")
-    )
-    mark = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(text_of()))
-    marked = packed.withColumn("_mark", mark).join(kept, F.col("_mark") == F.col("_kept"), "left_semi")
-    # Rows equal in id and text pass together here; one of them stays.
-    again = stage(rows.groupBy(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "content").alias("_again")).count().filter("count > 1"), "repeated")
-    many = marked.join(again, F.col("_mark") == F.col("_again"), "left").withColumn("_many", F.col("_again").isNotNull())
-    return many.filter(~F.col("_many")).unionByName(many.filter("_many").dropDuplicates(["_mark"])).select("_row.*")
+    mark = lambda doc_id, content: F.concat_ws("-", F.coalesce(doc_id.cast("string"), F.lit("none")), F.hex(content))
+    kept = named.groupBy("root").agg(F.min("least").alias("least")).select(mark(F.col("least.doc_id"), F.col("least.content")).alias("_mark"))
+    counted = rows.groupBy(mark(F.col("doc_id"), F.col("content")).alias("_mark")).agg(F.count("*").alias("_n"))
+    gone = counted.join(kept.withColumn("_kept", F.lit(True)), "_mark", "left").filter(F.col("_kept").isNull() | (F.col("_n") > 1))
+    # Few rows go, or repeat (equal in id and text: one stays); the others are not moved.
+    gone = stage(gone.select("_mark", F.col("_kept").isNotNull().alias("_repeated")), "near-copies")
+    marked = suspected(packed.withColumn("_mark", mark(F.col("doc_id"), F.xxhash64(text_of()))), gone, "_mark", "_near")
+    looked = marked.filter("_near").join(gone, "_mark", "left").filter(F.coalesce("_repeated", F.lit(True)))
+    own = F.when(F.col("_repeated").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    once = looked.withColumn("_own", own).dropDuplicates(["_mark", "_own"])
+    return marked.filter(~F.col("_near")).select("_row.*").unionByName(once.select("_row.*"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
