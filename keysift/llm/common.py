@@ -94,7 +94,7 @@ class WordCache(dict):
     bounded for any vocabulary and frequent words stay.
     """
 
-    def __init__(self, make: Callable[[bytes], object], room: int = 400_000) -> None:
+    def __init__(self, make: Callable[[bytes], object], room: int = 200_000) -> None:
         super().__init__()
         self.make, self.room, self.older = make, room, {}
 
