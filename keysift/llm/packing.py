@@ -74,7 +74,7 @@ def word_ids(path: str) -> WordCache:
             return packed([t.id for t in model.tokenize(text if text.isascii() else plain.decode("latin-1").translate(letters))])
         return packed(tokenizer.encode(text, add_special_tokens=False).ids)
 
-    known = WordCache(ids)
+    known = WordCache(ids, room=300_000)
     return known
 
 
