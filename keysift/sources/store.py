@@ -43,7 +43,7 @@ REPORT = (
 
 
 #: Parts of the index.
-PREFIXES = 256
+PREFIXES = 64
 INDEX = "APKHash string, app_key string, batch_id bigint"
 
 
