@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keysift.llm import exact_dedup
+from keysift.llm import exact_dedup, fill_middle
 from keysift.llm.decontaminate import op10_decontamination
 from keysift.llm.exact_dedup import op3_exact_dedup
+from keysift.llm.fill_middle import op12_fill_middle
 from keysift.llm.language import op5_language
 from keysift.llm.licenses import op7_licenses
 from keysift.llm.packing import op2_packing
@@ -31,7 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_secrets,
         op10_decontamination,
+        op12_fill_middle,
     )
 }
 
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op12_fill_middle": fill_middle.ORACLE}
