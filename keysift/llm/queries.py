@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keysift.llm import exact_dedup, fill_middle
+from keysift.llm import exact_dedup, fill_middle, spelling
 from keysift.llm.decontaminate import op10_decontamination
 from keysift.llm.exact_dedup import op3_exact_dedup
 from keysift.llm.fill_middle import op12_fill_middle
@@ -16,6 +16,7 @@ from keysift.llm.packing import op2_packing
 from keysift.llm.quality import op4_quality
 from keysift.llm.secrets import op9_secrets
 from keysift.llm.simhash import op8_simhash
+from keysift.llm.spelling import op13_spelling_variants
 from keysift.llm.token_counts import op1_token_counts
 from keysift.llm.warc import op6_warc
 
@@ -33,7 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_secrets,
         op10_decontamination,
         op12_fill_middle,
+        op13_spelling_variants,
     )
 }
 
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op12_fill_middle": fill_middle.ORACLE}
+ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op12_fill_middle": fill_middle.ORACLE, "op13_spelling_variants": spelling.ORACLE}
