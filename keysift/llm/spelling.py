@@ -263,14 +263,14 @@ runs AS (
 ), kinds AS (
   SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS own, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL
 ), coded AS (
-  SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(regexp_replace(hex(encode(own)), '(..)', '\\1 ', 'g')[:-2], ' '), x -> CAST('0x' || x AS BIGINT))),
-         (c, b) -> xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM kinds, crc
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(regexp_replace(hex(encode(own)), '(..)', '\\1 ', 'g')[:-2], ' '), lambda x: CAST('0x' || x AS BIGINT))),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM kinds, crc
 ), words AS (
   SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM coded
 ), vocabulary AS (
   SELECT word, CAST(sum(n) AS BIGINT) AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
 ), shorter AS (
-  SELECT word, n, unnest(list_distinct(list_transform(range(length(word) + 1), i -> CASE WHEN i = length(word) THEN word ELSE word[:i] || word[i + 2:] END))) AS rest FROM vocabulary
+  SELECT word, n, unnest(list_distinct(list_transform(range(length(word) + 1), lambda i: CASE WHEN i = length(word) THEN word ELSE word[:i] || word[i + 2:] END))) AS rest FROM vocabulary
 ), pairs AS (
   SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.word <> b.word WHERE levenshtein(a.word, b.word) = 1
 ), near AS (
