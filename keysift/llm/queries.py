@@ -18,6 +18,7 @@ from keysift.llm.secrets import op9_secrets
 from keysift.llm.simhash import op8_simhash
 from keysift.llm.spelling import op13_spelling_variants
 from keysift.llm.token_counts import op1_token_counts
+from keysift.llm.toxicity import op11_toxicity
 from keysift.llm.warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_secrets,
         op10_decontamination,
+        op11_toxicity,
         op12_fill_middle,
         op13_spelling_variants,
     )
