@@ -270,9 +270,10 @@ runs AS (
 ), vocabulary AS (
   SELECT word, CAST(sum(n) AS BIGINT) AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
 ), shorter AS (
-  SELECT word, n, unnest(list_distinct(list_transform(range(length(word) + 1), lambda i: CASE WHEN i = length(word) THEN word ELSE word[:i] || word[i + 2:] END))) AS rest FROM vocabulary
+  SELECT word, n, unnest(range(-1, length(word))) AS i, CASE WHEN i < 0 THEN word ELSE word[:i] || word[i + 2:] END AS rest FROM vocabulary
 ), pairs AS (
-  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.word <> b.word WHERE levenshtein(a.word, b.word) = 1
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM shorter a JOIN shorter b
+  ON a.rest = b.rest AND a.word <> b.word AND (a.i = b.i OR (a.i < 0 AND b.i >= 0) OR (b.i < 0 AND a.i >= 0))
 ), near AS (
   SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS form, max(m) AS form_n FROM pairs GROUP BY word
 ), formed AS (
