@@ -88,22 +88,30 @@ def suspected(rows: DataFrame, keys: DataFrame, key: str, column: str, bits: int
 
 
 class WordCache(dict):
-    """What ``make`` returns for a word, remembered for up to ``2 * room`` words.
+    """What ``make`` returns for a word, remembered up to about ``2 * room`` bytes.
 
     Two generations: when the younger is full it becomes the older one, so memory is
-    bounded for any vocabulary and frequent words stay.
+    bounded for any vocabulary and frequent words stay.  Words, and results, above LONG bytes are never kept.
     """
 
-    def __init__(self, make: Callable[[bytes], object], room: int = 200_000) -> None:
+    LONG = 512
+    #: Bytes of an entry besides its word and result: slots, object heads.
+    ENTRY = 180
+
+    def __init__(self, make: Callable[[bytes], object], room: int = 40 << 20) -> None:
         super().__init__()
-        self.make, self.room, self.older = make, room, {}
+        self.make, self.room, self.held, self.older = make, room, 0, {}
 
     def __missing__(self, word: bytes) -> object:
         found = self.older.get(word)
         if found is None:
             found = self.make(word)
-        if len(self) >= self.room:
-            self.older = dict(self)
+        size = getattr(found, "nbytes", None) or (len(found) if isinstance(found, bytes) else 8)
+        if len(word) > self.LONG or size > 4 * self.LONG:
+            return found
+        if self.held >= self.room:
+            self.older, self.held = dict(self), 0
             self.clear()
         self[word] = found
+        self.held += len(word) + size + self.ENTRY
         return found

@@ -12,7 +12,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from functools import cache
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pandas as pd
@@ -46,6 +46,11 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(rest)}
 
 
+def ends_in_letter(letter: str) -> bool:
+    """Whether a letter's normal form in lower case ends in a letter."""
+    return letter.isascii() or (normalize("NFC", letter.lower())[-1].isalpha() and normalize("NFC", letter).lower()[-1].isalpha())
+
+
 @cache
 def word_ids(path: str) -> WordCache:
     """Ids of a word as little-endian unsigned 32-bit bytes.
@@ -62,19 +67,20 @@ def word_ids(path: str) -> WordCache:
         if b"<|" in word:  # it may hold a special token, which is not lower-cased
             return packed(tokenizer.encode(word.decode(), add_special_tokens=False).ids)
         # Lower case is the vocabulary's own first step, and a mark behind letters is a
-        # token of its own: such words are made of what is known already.
+        # token of its own: such words are made of what is known already.  (Some letters, once normalised, end in
+        # a combining mark, which goes with what follows.)
         plain = word.lower()
         if plain != word:
             return known[plain]
         text = plain.decode()
-        if text[-1] in MARKS and text[:-1].isalpha():
+        if text[-1] in MARKS and text[:-1].isalpha() and ends_in_letter(text[-2]):
             return known[plain[:-1]] + known[plain[-1:]]
         # Lower-case Latin letters are one piece and stay as they are: the merges alone are left to do.
         if text.isalpha() and (text.isascii() or (max(text) < "\u0250" and text == text.lower() and is_normalized("NFC", text))):
             return packed([t.id for t in model.tokenize(text if text.isascii() else plain.decode("latin-1").translate(letters))])
         return packed(tokenizer.encode(text, add_special_tokens=False).ids)
 
-    known = WordCache(ids, room=300_000)
+    known = WordCache(ids, room=56 << 20)
     return known
 
 

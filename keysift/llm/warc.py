@@ -2,8 +2,8 @@
 
 Every page is a record; of pages with equal payloads one is stored in full and the others
 revisit it.  A dictionary is built from a bounded sample of the records, stands in a skippable frame
-at the head of every archive, and each record is a frame of its own, so a reader can start at any
-record.  Tasks write archives to the given folder through pyarrow's file systems, under a name of
+at the head of every archive, and each record is a frame of its own; the manifest holds the place of each, so a
+reader that has the dictionary can start at any record (see ``read_record``).  Tasks write archives to the given folder through pyarrow's file systems, under a name of
 their attempt; only archives named in the manifest count, so a lost or repeated task leaves no trace
 in the result.
 """
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.llm.common import attach, stage, table
+from keysift.llm.common import attach, stage, suspected, table
 from keysift.session import scratch_path
 
 # A skippable frame that holds a dictionary, and the record version.
@@ -38,7 +38,7 @@ ARCHIVE_BYTES = 256 << 20
 READ_BYTES = 1 << 20
 
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-MANIFEST = "archive string, records long, bytes long"
+MANIFEST = "archive string, records long, bytes long, offsets array<long>"
 RECORDS = "page_id long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
@@ -70,17 +70,22 @@ def _line(text: str) -> bytes:
     return "".join(f"%{b:02X}" if b <= 0x20 or b == 0x7F else chr(b) for b in text.encode("utf-8")).encode("latin-1")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC record; a revisit leaves out the payload and keeps its digest and length."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, repeated: bool = False) -> bytes:
+    """One WARC record; a revisit leaves out the payload and keeps its digest and length.
+
+    The record's id is made of page id and payload digest; a page without an id, or one whose row is
+    ``repeated``, gets a random part besides, so that ids are unique.
+    """
     block = HTTP_HEAD if revisit else HTTP_HEAD + payload
-    name = lambda i: b"<urn:page:%s>" % (b"none" if i is None else str(i).encode())
+    digest = payload_digest(payload).encode()
+    name = lambda i, own=b"": b"<urn:page:%s:%s%s>" % (b"none" if i is None else str(i).encode(), digest, own)
     head = [
         VERSION,
         b"WARC-Type: " + (b"revisit" if revisit else b"response"),
-        b"WARC-Record-ID: " + name(page_id),
+        b"WARC-Record-ID: " + name(page_id, b":" + uuid4().hex.encode() if repeated or page_id is None else b""),
         b"WARC-Date: 1970-01-01T00:00:00Z",
         b"WARC-Target-URI: " + (_line(url) if url else b"about:blank"),
-        b"WARC-Payload-Digest: sha1:" + payload_digest(payload).encode(),
+        b"WARC-Payload-Digest: sha1:" + digest,
         b"WARC-Payload-Length: %d" % len(payload),
         b"Content-Type: application/http;msgtype=response",
     ]
@@ -102,7 +107,7 @@ def parse(raw: bytes) -> tuple:
     digest = fields[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
     if kind == "response" and payload_digest(payload) != digest:
         raise ValueError(f"payload of {fields[b'WARC-Record-ID']!r} does not have its digest")
-    number = lambda v: None if v is None or v == b"<urn:page:none>" else int(v[len(b"<urn:page:") : -1])
+    number = lambda v: None if v is None or v.startswith(b"<urn:page:none:") else int(v.split(b":")[2])
     uri = fields[b"WARC-Target-URI"].decode("latin-1")
     return (number(fields[b"WARC-Record-ID"]), uri, kind, int(fields[b"WARC-Payload-Length"]), digest, number(fields.get(b"WARC-Refers-To")), payload)
 
@@ -114,16 +119,23 @@ def _open(folder: str):
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, response_id, n: of equal payloads the one with the largest page_id is the response.
+    """page_id, url, payload, response_id, repeated: of equal payloads the one with the largest page_id is the response.
 
-    Payloads are equal if their SHA-256 and length are.  Null html counts as empty.
+    Payloads are equal if their SHA-256 and length are.  Null html counts as empty.  ``repeated`` marks
+    payloads that some page holds in several rows.  Pages whose payload no other has stay where they are.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("_key", F.concat_ws("-", F.sha2("payload", 256), F.length("payload").cast("string")))
-    groups = keyed.groupBy("_key").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n"))
+    own = keyed.groupBy("_key", "page_id").agg(F.count("*").alias("m"))
+    groups = own.groupBy("_key").agg(F.max("page_id").alias("response_id"), F.sum("m").alias("n"), (F.max("m") > 1).alias("repeated"))
     # Only copied payloads need a partner; their list is slim.
     copied = stage(groups.filter("n > 1"), "warc-copies")
-    return attach(keyed, copied, "_key", "n", ["response_id"], F.concat(F.lit("page"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))).drop("_key")
+    marked = suspected(keyed, copied, "_key", "_copied")
+    found = attach(
+        marked.filter("_copied"), copied, "_key", "n", ["response_id", "repeated"], F.concat(F.lit("page"), F.coalesce(F.col("page_id").cast("string"), F.monotonically_increasing_id().cast("string")))
+    )
+    single = marked.filter(~F.col("_copied")).withColumns({"response_id": F.lit(None).cast("long"), "repeated": F.lit(False)})
+    return single.unionByName(found).select("page_id", "url", "payload", "response_id", F.coalesce("repeated", F.lit(False)).alias("repeated"))
 
 
 def sample_payloads(pages: DataFrame) -> list[bytes]:
@@ -139,7 +151,7 @@ def sample_payloads(pages: DataFrame) -> list[bytes]:
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Write every page to archives below ``folder`` (a URI); returns the manifest: archive, records, bytes."""
+    """Write every page to archives below ``folder`` (a URI); returns the manifest: archive, records, bytes, and the offset of each record."""
     dictionary = build_dictionary(sample_payloads(pages))
     shared = pages.sparkSession.sparkContext.broadcast(dictionary)
 
@@ -150,28 +162,32 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         system.create_dir(root, recursive=True)
         raw = shared.value
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw), write_checksum=True)
-        out, name, records, size, done = None, "", 0, 0, []
+        out, name, size, offsets, done = None, "", 0, [], []
         for batch in batches:
-            for page_id, url, payload, response in zip(_ids(batch["page_id"]), batch["url"], batch["payload"], _ids(batch["response_id"])):
+            for page_id, url, payload, response, repeated in zip(_ids(batch["page_id"]), batch["url"], batch["payload"], _ids(batch["response_id"]), batch["repeated"].tolist()):
                 if out is None:
-                    name, records, size = f"part-{uuid4().hex}.warc.zst", 0, 0
-                    out = system.open_output_stream(f"{root}/{name}")
+                    name, size, offsets = f"part-{uuid4().hex}.warc.zst", 0, []
+                    # The frames are the compression: the stream must not add one by the file's name.
+                    out = system.open_output_stream(f"{root}/{name}", compression=None)
                     if raw:
-                        out.write(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
+                        head = struct.pack("<II", SKIPPABLE, len(raw)) + raw
+                        out.write(head)
+                        size = len(head)
                 revisit = response is not None and response != page_id
-                frame = compressor.compress(record(page_id, url, bytes(payload), response, revisit))
+                frame = compressor.compress(record(page_id, url, bytes(payload), response, revisit, repeated))
                 out.write(frame)
-                records, size = records + 1, size + len(frame)
+                offsets.append(size)
+                size += len(frame)
                 if size >= ARCHIVE_BYTES:
                     out.close()
-                    done.append((name, records, size))
+                    done.append((name, len(offsets), size, offsets))
                     out = None
         if out is not None:
             out.close()
-            done.append((name, records, size))
-        yield pd.DataFrame(done, columns=["archive", "records", "bytes"])
+            done.append((name, len(offsets), size, offsets))
+        yield pd.DataFrame(done, columns=["archive", "records", "bytes", "offsets"])
 
-    return stage(plan_records(pages).select("page_id", "url", "payload", "response_id").mapInPandas(write, MANIFEST), "warc-manifest")
+    return stage(plan_records(pages).mapInPandas(write, MANIFEST), "warc-manifest")
 
 
 def _ids(series: pd.Series) -> list:
@@ -215,7 +231,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name in batch["archive"]:
                 rows, held = [], 0
-                with system.open_input_stream(f"{root}/{name}") as stream:
+                with system.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for raw in read_frames(stream):
                         rows.append(parse(raw))
                         held += len(raw)
@@ -225,11 +241,32 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield _frame(rows)
 
-    # A manifest is a row per archive: an archive per task.
-    spread = manifest.repartition(max(1, min(manifest.count(), 100_000)), "archive")
+    # A manifest is a row per archive: an archive per task, by ranges (by hash several would meet).
+    spread = manifest.select("archive").repartitionByRange(max(1, min(manifest.count(), 100_000)), "archive")
     return spread.mapInPandas(read, RECORDS)
 
 
+def read_record(folder: str, archive: str, offset: int) -> tuple:
+    """One record, read from its own place; of the rest of the archive only the dictionary is looked at."""
+    import zstandard
+
+    system, root = _open(folder)
+    with system.open_input_file(f"{root}/{archive}") as file:
+        head = file.read(8)
+        dictionary = None
+        if len(head) == 8 and struct.unpack("<II", head)[0] == SKIPPABLE:
+            dictionary = _dictionary(file.read(struct.unpack("<II", head)[1]))
+        file.seek(offset)
+        context = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
+        frame, parts = context.decompressobj(), []
+        while not frame.eof:
+            block = file.read(READ_BYTES // 16)
+            if not block:
+                raise ValueError("an archive ends within a record")
+            parts.append(frame.decompress(block))
+    return parse(b"".join(parts))
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["page_id", "uri", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
     return out.assign(page_id=out["page_id"].astype("Int64"), refers_to=out["refers_to"].astype("Int64"))
@@ -240,7 +277,8 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     Null html is an empty payload, null or empty url is ``about:blank``.  A page without an id never is the
     response of copies that have one; if none has, all are responses, as are repeated rows with
-    the largest id.  An empty table gives no archives and no rows; other columns are ignored.
+    the largest id.  A record is held whole in memory, so a payload may be as long as a cell.  An empty table gives no
+    archives and no rows; other columns are ignored.
     """
     folder = folder or scratch_path(pages.sparkSession, "warc")
     back = read_archives(write_archives(pages, folder), folder)
@@ -249,3 +287,18 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
+
+
+#: The digest's base32 is made of its 160 bits, five at a time.
+ORACLE = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS h,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages
+), b AS (
+  SELECT *, array_to_string([format('{:04b}', CAST('0x' || h[i] AS INTEGER)) for i in range(1, 41)], '') AS bits FROM p
+)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
+       array_to_string(['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST('0b' || bits[5 * i + 1:5 * i + 5] AS INTEGER)] for i in range(32)], '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM b
+"""

@@ -24,10 +24,27 @@ def test_attach_serves_heavy_and_light_keys(spark):
     assert len(found) == 5000 and all(r.top == tops.get(r.k) for r in found)
 
 
-def test_word_cache_is_bounded():
+def test_word_cache_is_bounded_in_bytes():
     made = []
-    cache = WordCache(lambda word: made.append(word) or len(word), room=10)
+    cache = WordCache(lambda word: made.append(word) or b"x" * len(word), room=3000)
     for i in range(100):
-        assert cache[b"w%d" % i] == len(b"w%d" % i) and cache[b"often"] == 5
-        assert len(cache) <= 10 and len(cache.older) <= 10
+        assert cache[b"w%d" % i] == b"x" * len(b"w%d" % i) and cache[b"often"] == b"xxxxx"
+        assert cache.held <= 3000 + 700 and len(cache) <= 20 and len(cache.older) <= 20
     assert made.count(b"often") == 1
+    blob = b"b" * 1_000_000
+    assert cache[blob] == b"x" * 1_000_000 and blob not in cache and blob not in cache.older
+
+
+def test_word_cache_memory():
+    """A million short words and a thousand of a megabyte stay under 60 MB in a cache of 20."""
+    import tracemalloc
+
+    tracemalloc.start()
+    cache = WordCache(lambda word: word[::-1], room=20 << 20)
+    for i in range(1_000_000):
+        cache[b"word-%d" % i]
+    for i in range(1000):
+        cache[b"%d" % i * 200_000]
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 60 << 20

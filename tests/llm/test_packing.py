@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -53,6 +54,30 @@ def test_words_equal_the_tokenizer():
         assert [*found, 1] == ids(text)
 
 
+def of_words(known, text: str) -> list[int]:
+    return np.frombuffer(b"".join(map(known.__getitem__, text.encode().split())), "<u4").tolist()
+
+
+def test_every_letter_before_every_mark():
+    """All letters of Unicode, at the end of a word and as the whole of it."""
+    known = P.word_ids(P.vocabulary_path())
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    for mark in P.MARKS:
+        words = [x + mark for x in letters] + ["a" + x + mark for x in letters]
+        for word, encoded in zip(words, TOKENIZER.encode_batch(words, add_special_tokens=False)):
+            assert np.frombuffer(known[word.encode()], "<u4").tolist() == encoded.ids, word
+
+
+def test_random_texts_equal_the_tokenizer():
+    rng = random.Random(9)
+    known = P.word_ids(P.vocabulary_path())
+    odd = "İıſKÅẞßǅﬁéÉ\u0301\u0307\u0958\u09dc\u0a33ñÑüÜαΑςΣдДאب中文字\u1100\u1161ｱﾊﾟ²½0129"
+    pieces = [*odd, *P.MARKS, *"abcxyzABCXYZ'-_/()%", "'s", "'LL", "...", " ", " ", " ", "\n", "\u00a0", "the", "TARİHİ", "ALİ"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))) for _ in range(50_000)]
+    for text, encoded in zip(texts, TOKENIZER.encode_batch(texts, add_special_tokens=False)):
+        assert of_words(known, text) == encoded.ids, text
+
+
 def test_query(spark, small):
     check(P.op2_packing(spark, "/root/testdata/sf0.001").collect(), [(r.doc_id, r.text) for r in small.collect()])
 

@@ -6,6 +6,7 @@ import struct
 import pytest
 
 from keysift.llm import warc as W
+from tests.compare import connect
 from tests.llm import samples
 
 PAGES = "page_id long, url string, html string"
@@ -49,8 +50,14 @@ def test_query(spark):
     assert samples.rows(W.op6_warc(spark, "/root/testdata/sf0.001")) == brute(rows)
 
 
+def test_query_against_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert samples.rows(W.op6_warc(spark, sf), *columns) == sorted(connect(sf).execute(W.ORACLE).fetchall(), key=repr)
+
+
 def test_archives_hold_what_was_written(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(W, "ARCHIVE_BYTES", 10_000)
+    monkeypatch.setattr(W, "ARCHIVE_BYTES", 40_000)
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     folder = f"file://{tmp_path}/archives"
     manifest = W.write_archives(pages.coalesce(2), folder)
@@ -58,14 +65,34 @@ def test_archives_hold_what_was_written(spark, tmp_path, monkeypatch):
     texts = {r.page_id: r for r in pages.collect()}
     for r in W.read_archives(manifest, folder).collect():
         assert bytes(r.payload).decode() == texts[r.page_id].html and r.uri == texts[r.page_id].url
-    one = next((tmp_path / "archives").iterdir()).read_bytes()
-    magic, size = struct.unpack("<II", one[:8])
-    assert magic == W.SKIPPABLE and one[8:12] == struct.pack("<I", 0xEC30A437)
     import zstandard
 
-    plain = sum(len(zstandard.compress(r.html.encode())) for r in texts.values())
-    whole = sum((tmp_path / "archives" / r.archive).stat().st_size - 8 - size for r in manifest.collect())
-    assert whole < plain
+    packed, seen = 0, set()
+    for r in manifest.collect():
+        raw = (tmp_path / "archives" / r.archive).read_bytes()
+        magic, size = struct.unpack("<II", raw[:8])
+        # The skippable frame leads, and holds a dictionary.
+        assert magic == 0x184D2A5D and raw[8:12] == struct.pack("<I", 0xEC30A437) and len(raw) == r.bytes
+        assert r.offsets[0] == 8 + size and r.records == len(r.offsets)
+        plain = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + size]))
+        for at, end in zip(r.offsets, [*r.offsets[1:], r.bytes]):
+            # Each record is one frame: a plain reader opens it without the others.
+            assert raw[at : at + 4] == struct.pack("<I", zstandard.MAGIC_NUMBER)
+            one = W.parse(plain.decompress(raw[at:end]))
+            assert one == W.read_record(folder, r.archive, at) and one[-1].decode() == texts[one[0]].html
+            seen.add(one[0])
+        packed += r.bytes - 8 - size
+    assert seen == set(texts) and packed < sum(len(zstandard.compress(r.html.encode())) for r in texts.values())
+
+
+def test_record_ids_are_unique(spark, tmp_path):
+    folder = f"file://{tmp_path}/archives"
+    W.write_archives(spark.createDataFrame([*ROWS, *ROWS, (9, "u", "<p>same</p>")], PAGES), folder)
+    ids = []
+    for file in (tmp_path / "archives").iterdir():
+        with file.open("rb") as stream:
+            ids += [raw.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for raw in W.read_frames(stream)]
+    assert len(ids) == len(set(ids)) == 2 * len(ROWS) + 1
 
 
 def test_a_changed_payload_is_noticed():
