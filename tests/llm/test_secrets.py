@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from keysift.llm import secrets as S
 from tests.llm import samples
 
@@ -41,14 +43,84 @@ def test_awkward_rows(spark, awkward, nothing, wide, small):
     assert S.find_secrets(nothing).count() == 0
 
 
-def test_models_tell_random_from_ordinary(spark, small):
-    model = S.train(S.training_samples(small))
+#: Held out: none of these is a sample, and most are of no kind that samples have.
+ORDINARY = """
+theQuickBrownFoxJumpedOver
+configuration_parameter_value
+internationalizationSupport
+some-long-hyphenated-file-name
+12345678901234567890
+2024-01-15-2024-02-20
+--------------------
+____________________
+////////////////////
+++++++++++++++++++++
+/usr/local/lib/python3/site-packages
+MAX_CONNECTION_POOL_SIZE_BYTES
+AbstractSingletonProxyFactoryBean
+getElementsByClassNameAndTag
+com/example/android/application/MainActivity
+application_default_credentials_json
+org-springframework-boot-starter-web
+test_should_return_empty_list_when_input_is_null
+DEFAULT_MAXIMUM_RETRY_ATTEMPTS
+20240115123045000000
+2023/12/31/23/59/59/000
+1700000000000-1700000999999
+src/main/java/org/apache/spark/sql/catalyst
+node_modules/react-dom/index
+handleSubmitButtonClickEvent
+user_profile_image_thumbnail_url
+libcrypto-openssl-development-headers
+Donaudampfschifffahrtsgesellschaft
+constitutionnellement-indispensable
+desafortunadamente_importante
+README-for-new-contributors
+ISO8859-1_to_utf8_converter
+backup_2024_01_15_final_v2
+HTTP_STATUS_INTERNAL_SERVER_ERROR
+kubernetes-cluster-autoscaler-deployment
+wp-content/uploads/2023/08/image
+onPreferenceChangeListener
+Supercalifragilisticexpialidocious
+the_lazy_dog_jumps_over_the_fence
+00000000000000000000
+31415926535897932384626433
+line-height-and-font-weight-bold
+ThisIsAVeryLongClassNameForTesting
+/home/alice/projects/website/static/css
+etc/nginx/sites-available/default
+""".split()
+
+LETTERS = S.ALPHABET[:62]
+
+
+def random_strings(rng, alphabet, n=200) -> list[str]:
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 65))) for _ in range(n)]
+
+
+def dashed_hex(rng, n=200) -> list[str]:
+    sizes = lambda: rng.choice(([8, 4, 4, 4, 12], [rng.randrange(4, 9) for _ in range(5)]))
+    return ["-".join("".join(rng.choice("0123456789abcdef") for _ in range(k)) for k in sizes()) for _ in range(n)]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_models_tell_random_from_ordinary(spark, sf):
+    model = S.train(S.training_samples(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")))
     rng = random.Random(3)
-    random_ones = ["".join(rng.choice(S.ALPHABET[:62]) for _ in range(32)) for _ in range(200)]
-    ordinary = ["configuration_parameter_value", "internationalizationSupport", "theQuickBrownFoxJumpedOver", "some-long-hyphenated-file-name"]
-    found = {r.doc_id: r.spans for r in S.find_secrets(spark.createDataFrame(list(enumerate(random_ones + ordinary)), "doc_id long, text string"), model).collect()}
-    assert sum("random" in found[i] for i in range(200)) > 195
-    assert not any("random" in found[200 + i] for i in range(len(ordinary)))
+    kinds = {
+        "mixed": random_strings(rng, LETTERS),
+        "urlsafe": random_strings(rng, LETTERS + "-_"),
+        "base64": random_strings(rng, LETTERS + "+/"),
+        "upper": random_strings(rng, LETTERS[:26] + "0123456789"),
+        "dashed": dashed_hex(rng),
+    }
+    tokens = [(k, t) for k, own in kinds.items() for t in own] + [("ordinary", t) for t in ORDINARY]
+    table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(tokens)], "doc_id long, text string")
+    found = {r.doc_id: "random" in r.spans for r in S.find_secrets(table, model).collect()}
+    for kind in kinds:
+        assert sum(found[i] for i, (k, _) in enumerate(tokens) if k == kind) >= 0.95 * len(kinds[kind]), kind
+    assert [t for i, (k, t) in enumerate(tokens) if k == "ordinary" and found[i]] == [] and len(ORDINARY) >= 30
 
 
 def test_query(spark):
