@@ -21,12 +21,12 @@ WINDOW = 256
 VECTOR = 8
 FILTERS = 12
 WIDTHS = (2, 3, 4)
-#: Training takes at most so many rows in all, of a language about so many, and so many windows of a text.
+#: Training takes about so many rows of a language, and of many languages about so many in all, though never fewer than
+#: LEAST_ROWS of each; whole texts, as long as a language's have at most so many windows (a row that would exceed that is left out whole).
+SAMPLE_PER_LANGUAGE = 250
 SAMPLE_ROWS = 4000
-SAMPLE_PER_LANGUAGE = 500
-SAMPLE_WINDOWS = 3
-#: At most so many languages are learned, the most frequent ones.
-LANGUAGES = 200
+LEAST_ROWS = 20
+SAMPLE_WINDOWS = 4000
 EPOCHS = 6
 BATCH = 64
 SEED = 11
@@ -126,41 +126,40 @@ def fit(docs: DataFrame) -> tuple[list[str], dict[str, bytes]] | None:
     known = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").alias("_lang"), text_of().alias("text")).filter(
         F.col("_lang").isNotNull() & F.col("_id").isNotNull() & ~held_out("_id") & F.col("text").rlike("\\p{L}")
     )
-    counts = known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
+    # Every language is learned; their list is part of the model.
+    counts = known.groupBy("_lang").count().collect()
     if not counts:
         return None
     names = sorted(r["_lang"] for r in counts)
-    share = docs.sparkSession.createDataFrame([(r["_lang"], min(1.0, SAMPLE_PER_LANGUAGE / r["count"])) for r in counts], "_lang string, _share double")
-    # A fixed share of each language by id hash, then a bound on the whole; ids only are sorted.
-    chosen = known.select("_id", "_lang").join(F.broadcast(share), "_lang").filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < F.col("_share") * (1 << 20))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS).select("_id").distinct()
-    sampled = known.join(F.broadcast(chosen), "_id")
+    quota = max(LEAST_ROWS, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // len(names)))
+    share = docs.sparkSession.createDataFrame([(r["_lang"], min(1.0, quota / r["count"])) for r in counts], "_lang string, _share double")
+    # A fixed share of each language by id hash: no sorting, and no language crowds another out.
+    sampled = known.join(F.broadcast(share), "_lang").filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = {name: i for i, name in enumerate(names)}
+        x, y = [], []
+        room, last = dict.fromkeys(names, SAMPLE_WINDOWS), None
         for batch in batches:
-            rows = []
             for doc_id, lang, text in zip(batch["_id"].tolist(), batch["_lang"], batch["text"]):
                 own = windows_of(text.encode())
-                at = np.unique(np.linspace(0, len(own) - 1, SAMPLE_WINDOWS).astype(int))
-                rows += [(doc_id, lang, int(i), own[i].tobytes()) for i in at]
-            yield pd.DataFrame(rows, columns=["_id", "_lang", "_at", "bytes"])
-
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*batches]) if (batches := list(batches)) else None
-        if rows is None or rows.empty:
+                if (doc_id, lang) != last and len(own) <= room[lang]:
+                    x.append(own)
+                    y.append(np.full(len(own), at[lang]))
+                    room[lang] -= len(own)
+                last = (doc_id, lang)
+        if not x:
             return
-        rows = rows.sort_values(["_id", "_at", "_lang", "bytes"])
-        at = {name: i for i, name in enumerate(names)}
-        rows = rows[rows["_lang"].isin(at)]
         rng = np.random.default_rng(SEED)
         network = ByteNetwork(len(names), rng)
-        x = np.frombuffer(b"".join(rows["bytes"]), np.uint8).reshape(-1, WINDOW)
-        network.train(x, rows["_lang"].map(at).to_numpy(np.int64), rng)
+        network.train(np.concatenate(x), np.concatenate(y), rng)
         yield pd.DataFrame([{k: v.tobytes() for k, v in network.weights.items()}])
 
     empty = ByteNetwork(len(names)).weights
     schema = ", ".join(f"`{k}` binary" for k in empty)
-    model = sampled.mapInPandas(cut, "_id long, _lang string, _at long, bytes binary").repartition(1).mapInPandas(learn, schema).first()
+    # The order decides the result, so it is fixed.
+    dealt = sampled.select("_id", "_lang", "text").repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", "_lang", "text")
+    model = dealt.mapInPandas(learn, schema).first()
     return (names, model.asDict()) if model else None
 
 
@@ -190,13 +189,9 @@ def predicted(docs: DataFrame, model: tuple[list[str], dict] | None, column: str
             best = table_.argmax(1)
             yield pd.DataFrame({"lang": [names[i] for i in best], "score": np.clip(table_[np.arange(len(texts)), best], 0, 1).astype("float64")})
 
-    found = predict(text_of())
+    # One column at a time is added, so the caller's own names stay.
     letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
-    return (
-        docs.withColumn("_network", found)
-        .withColumn(column, F.when(letters, F.col("_network")).otherwise(F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))))
-        .drop("_network")
-    )
+    return docs.withColumn(column, F.when(letters, predict(text_of())).otherwise(F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))))
 
 
 def text_means(network: ByteNetwork, group: list[np.ndarray]) -> list[np.ndarray]:

@@ -24,10 +24,12 @@ BUCKETS = 1 << 17
 DIMENSIONS = 12
 #: Character n-grams of these lengths, within a word marked by < and >.
 GRAMS = (3, 4, 5)
-#: Training takes at most so many labelled rows of either class (those with the smallest id hash),
-#: and of a text at most so many words: a window at a place given by the id hash.
-SAMPLE_ROWS = 1500
-SAMPLE_WORDS = 400
+#: Training takes at most so many labelled rows of either class (those with the smallest id hash), whole texts, and of
+#: these as many as have so many characters together: a row that would exceed that is left out whole.
+SAMPLE_ROWS = 1000
+SAMPLE_CHARS = 32 << 20
+#: Words of more bytes are hashed a part at a time.
+LONG_WORD = 4096
 EPOCHS = 4
 RATE = 0.5
 SEED = 7
@@ -37,11 +39,25 @@ def word_buckets(word: bytes, buckets: int = BUCKETS) -> np.ndarray:
     """Hash buckets of a word and its n-grams."""
     from xxhash import xxh32_intdigest
 
-    marked = b"<" + word[:256] + b">"
+    marked = b"<" + word + b">"
     parts = [word] + [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
     return np.array([xxh32_intdigest(p) % buckets for p in parts], dtype=np.int64)
 
 
+def word_mean(word: bytes, values: np.ndarray) -> float:
+    """Mean value of the buckets of a word and its n-grams, of which a long one never has all in memory."""
+    if len(word) <= LONG_WORD:
+        return float(values[word_buckets(word, len(values))].mean())
+    from xxhash import xxh32_intdigest
+
+    marked = b"<" + word + b">"
+    total, n = float(values[xxh32_intdigest(word) % len(values)]), 1
+    for at in range(0, len(marked), LONG_WORD):
+        codes = [xxh32_intdigest(marked[i : i + k]) % len(values) for k in GRAMS for i in range(at, min(at + LONG_WORD, len(marked) - k + 1))]
+        total, n = total + float(values[codes].sum()), n + len(codes)
+    return total / n
+
+
 def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
     """Score per bucket and bias: the log odds of class 1 of a document are bias + mean of its words' scores."""
     if len(set(labels.tolist())) < 2:
@@ -80,7 +96,7 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS) -> tuple
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Bounded labelled sample: ``rows`` ids of each class outside the held-out fold, with a window of the text.
+    """Bounded labelled sample: ``rows`` ids of each class outside the held-out fold, with their whole texts.
 
     Labels without an id or a quality are left out; where a document has several, the mean decides.
     """
@@ -97,38 +113,34 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     return plain.join(F.broadcast(chosen), "_id").select("_id", "_label", "text")
 
 
-def _window(words: list[str], doc_id: int, longest: int) -> list[str]:
-    if len(words) <= longest:
-        return words
-    at = doc_id * 2654435761 % (len(words) - longest + 1)
-    return words[at : at + longest]
-
-
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
     """Train in one task on the bounded sample; only the model comes to the driver."""
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = batch["_id"].tolist()
-            cut = [" ".join(_window(t.split(), i, SAMPLE_WORDS)) for i, t in zip(ids, batch["text"])]
-            yield pd.DataFrame({"_id": ids, "_label": batch["_label"], "text": cut})
-
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_rows = pd.concat([*batches, pd.DataFrame({"_id": [], "_label": [], "text": []})])
-        # Repeated rows add nothing; the order decides the result, so it is fixed.
-        all_rows = all_rows.sort_values(["_id", "text"]).drop_duplicates("_id").head(2 * rows)
-        scores, bias = train(all_rows["text"].tolist(), all_rows["_label"].to_numpy(np.int64))
+        texts: list[str] = []
+        marks: list[int] = []
+        last, room = None, {0: SAMPLE_CHARS, 1: SAMPLE_CHARS}
+        for batch in batches:
+            for doc_id, label, text in zip(batch["_id"].tolist(), batch["_label"].tolist(), batch["text"]):
+                # Repeated rows add nothing; a text that doesn't fit is left out whole.
+                if doc_id != last and len(text) <= room[label]:
+                    texts.append(text)
+                    marks.append(label)
+                    room[label] -= len(text)
+                last = doc_id
+        scores, bias = train(texts, np.array(marks, np.int64))
         yield pd.DataFrame({"scores": [scores.tobytes()], "bias": [bias]})
 
-    chosen = sample(docs, labels, rows).mapInPandas(windows, "_id long, _label int, text string")
-    model = chosen.repartition(1).mapInPandas(learn, "scores binary, bias double").first()
+    # The order decides the result, so it is fixed.
+    chosen = sample(docs, labels, rows).repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", "text")
+    model = chosen.mapInPandas(learn, "scores binary, bias double").first()
     return (np.frombuffer(model["scores"], np.float32), model["bias"]) if model else (np.zeros(BUCKETS, np.float32), 0.0)
 
 
 @lru_cache(maxsize=1)  # a worker keeps the words of one model
 def _word_scores(scores: bytes) -> WordCache:
     values = np.frombuffer(scores, np.float32)
-    return WordCache(lambda word: float(values[word_buckets(word, len(values))].mean()))
+    return WordCache(lambda word: word_mean(word, values))
 
 
 def score_texts(texts: list[str], scores: bytes, bias: float) -> list[float]:
@@ -172,8 +184,9 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with a score of at least 0.5, columns unchanged."""
-    return scored(docs, fit(docs, labels), "_quality_score").filter("_quality_score >= 0.5").drop("_quality_score")
+    """The documents with a score of at least 0.5, columns unchanged, whatever they are called."""
+    packed = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return scored(packed, fit(docs, labels)).filter("score >= 0.5").select("_row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

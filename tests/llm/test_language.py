@@ -58,3 +58,41 @@ def test_held_out_accuracy(spark):
     found = L.op5_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
     unseen = found.filter("held_out")
     assert unseen.filter("lang_pred = lang").count() / unseen.count() > 0.97
+
+
+def test_query_against_the_convolution_written_out(spark, small):
+    """Filters over byte vectors, maximum, softmax, mean over windows: from the weights alone."""
+    sf = "/root/testdata/sf0.001"
+    names, raw = L.fit(small)
+    shapes = {k: v.shape for k, v in L.ByteNetwork(len(names)).weights.items()}
+    p = {k: np.frombuffer(raw[k], np.float32).reshape(shapes[k]).astype(np.float64) for k in shapes}
+    texts = {r.doc_id: r.text for r in small.collect()}
+    for row in L.op5_language(spark, sf).collect():
+        text = texts[row.doc_id]
+        if not text or not any(c.isalpha() for c in text):
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+            continue
+        x = text.encode()
+        x += b" " * (-len(x) % L.WINDOW)
+        total = np.zeros(len(names))
+        for at in range(0, len(x), L.WINDOW):
+            vectors = p["bytes"][list(x[at : at + L.WINDOW])]
+            hidden = [max(0.0, max(float((vectors[i : i + w].reshape(-1) * p[f"conv{w}"][:, f]).sum()) for i in range(0, L.WINDOW - w + 1)) + p[f"bias{w}"][f]) for w in L.WIDTHS for f in range(L.FILTERS)] if len(x) < 600 else None
+            if hidden is None:
+                hidden = np.concatenate([np.maximum((np.stack([vectors[i : i + w].reshape(-1) for i in range(L.WINDOW - w + 1)]) @ p[f"conv{w}"]).max(0) + p[f"bias{w}"], 0) for w in L.WIDTHS])
+            raw_out = np.asarray(hidden) @ p["out"] + p["bias"]
+            soft = np.exp(raw_out - raw_out.max())
+            total += soft / soft.sum()
+        mean = total / (len(x) // L.WINDOW)
+        assert row.lang_pred == names[int(mean.argmax())] and abs(row.score - mean.max()) < 1e-4
+
+
+def test_every_language_is_learned(spark):
+    """Rare languages beside a frequent one, more of them than any list of the most frequent."""
+    rows = [(i, f"lang{i % 30} " + chr(0x4E00 + i % 30) * 200, f"l{i % 30:02d}") for i in range(30 * 8)] + [(1000 + i, "common words of a frequent language " * 5, "zz") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, _ = L.fit(docs)
+    assert len(names) == 31
+    found = L.languages(docs).join(docs, "doc_id")
+    assert found.filter("lang_pred = lang").count() > 0.9 * found.count()
+    assert found.filter("lang != 'zz' and lang_pred = lang").count() > 0.5 * 240
