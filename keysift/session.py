@@ -43,11 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     path = f"{shared_dir(spark).rstrip('/')}/keysift/{name}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
-_STAGED: list[str] = []
+#: Paths handed out, by application.
+_STAGED: dict[str, list[str]] = {}
 
 
 def stage(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
@@ -60,15 +61,17 @@ def stage(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame
 
 
 def delete_paths(spark: SparkSession, paths: Iterable[str]) -> None:
+    paths = list(paths)
+    own = _STAGED.get(spark.sparkContext.applicationId, [])
+    own[:] = [path for path in own if path not in paths]
     for path in paths:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def release_scratch(spark: SparkSession) -> None:
-    """Delete every path :func:`scratch_path` has handed out, once no result needs them any more."""
-    delete_paths(spark, _STAGED)
-    _STAGED.clear()
+    """Delete every path :func:`scratch_path` has handed out to this application, once no result needs them any more."""
+    delete_paths(spark, _STAGED.pop(spark.sparkContext.applicationId, []))
 
 
 def spread(df, *keys: str, small: int = 64 << 20):
