@@ -79,20 +79,6 @@ def fingerprints(docs: DataFrame, words: int = WORDS, column: str = "fp") -> Dat
     return docs.withColumn(column, simhash(text_of()))
 
 
-def similarity_sketches(docs: DataFrame, words: int, column: str) -> DataFrame:
-    """``docs`` with a struct (w1, w2): 128 more SimHash bits, of shingles of ``words`` words."""
-
-    @F.pandas_udf("w1 long, w2 long")
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            first = shingle_hashes(text, words)
-            rows.append((_signed(majority(first)), _signed(majority(_mixed(first)))))
-        return pd.DataFrame(rows, columns=["w1", "w2"]).astype("int64")
-
-    return docs.withColumn(column, sketch(text_of()))
-
-
 def bits_for(similarity: float, bits: int) -> int:
     """SimHash bits in which two shingle sets of a Jaccard similarity differ on average, rounded up,
     plus one standard deviation: sets of similarity J have the cosine 2J / (1 + J)."""
@@ -208,7 +194,7 @@ def _lookups(nodes: DataFrame, parts: list[tuple[int, list[int], int]]) -> DataF
     return nodes.select(F.explode(F.concat(*probes)).alias("p"), *nodes.columns).select("p.key", "p.own", *nodes.columns)
 
 
-def _tiled(records: DataFrame) -> DataFrame:
+def _tiled(records: DataFrame, spread_by: str = "fp") -> DataFrame:
     """Records with a unit column: buckets of over TILE records become units of two tiles each.
 
     Every pair of records of a bucket meets in a unit.  The list of such buckets is short:
@@ -217,7 +203,7 @@ def _tiled(records: DataFrame) -> DataFrame:
     sizes = stage(records.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TILE), "large-buckets")
     bound = max(TILE, (sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]) // 200_000)
     large = sizes.filter(F.col("n") > bound).select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    tile = F.pmod(F.xxhash64(spread_by), F.col("tiles")).cast("int")
     joined = records.join(F.broadcast(large), "key", "left").withColumn("tile", F.coalesce(tile, F.lit(0)))
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles"), F.lit(1)) - 1))
     spread = joined.select("*", other.alias("other"))
@@ -340,31 +326,137 @@ def _component_ids(groups: DataFrame, found: DataFrame) -> DataFrame:
     return stage(out.select("fp", "n", "component_id"), "fingerprint-components")
 
 
-#: The near-duplicate stage: candidates by fingerprints of three-word shingles within so many bits,
-#: linked if their five-word shingles are similar by at least so much.
-STAGE_BITS = 10
+# ------------------------------------------------------------------ the near-duplicate stage
+
+#: Documents are near copies if their five-word shingles are similar (Jaccard) by at least so much.
 STAGE_WORDS = 5
 STAGE_SIMILARITY = 0.8
+#: Beside the fingerprints' look-ups, candidates share one of BANDS bands of ROWS minimum hashes: of pairs of similarity 0.8,
+#: 1 - (1 - 0.8 ** 4) ** 10 = 0.995 do.  A byte of each of HASHES minima is the sketch that decides.
+HASHES, BANDS, ROWS = 256, 10, 4
+#: Standard deviations of the sketch's estimate allowed below the similarity, so that few pairs of just that similarity are missed.
+SLACK = 1.65
+
+
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(8)
+    return rng.integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, HASHES, np.uint64)
+
+
+def minima(hashes: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The least value of each of HASHES functions over the shingles, as unsigned 32 bits."""
+    out = np.full(HASHES, 0xFFFFFFFF, np.uint64)
+    for at in range(0, len(hashes), 256):
+        values = hashes[at : at + 256, None] * factors[0] + factors[1]
+        np.minimum(out, (values >> np.uint64(32)).min(0), out=out)
+    return out
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band."""
+    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        keys = _mixed(keys ^ rows[:, k])
+    return keys
+
+
+def stage_sketches(docs: DataFrame, words: int = STAGE_WORDS, column: str = "sketch") -> DataFrame:
+    """``docs`` with a struct of the SimHash words w1 and w2, the band keys, and the sketch of a text's shingles."""
+
+    @F.pandas_udf("w1 long, w2 long, bands array<long>, bytes binary")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        factors, rows = _multipliers(), []
+        for text in texts:
+            own = shingle_hashes(text, words)
+            least = minima(own, factors)
+            rows.append((_signed(majority(own)), _signed(majority(_mixed(own))), band_keys(least).view(np.int64), least.astype(np.uint8).tobytes()))
+        return pd.DataFrame(rows, columns=["w1", "w2", "bands", "bytes"])
+
+    return docs.withColumn(column, sketch(text_of()))
+
+
+def bytes_alike(similarity: float) -> int:
+    """Sketch bytes that agree for sets of a Jaccard similarity, less SLACK standard deviations."""
+    p = similarity + (1 - similarity) / 256
+    return math.ceil(HASHES * p - SLACK * math.sqrt(HASHES * p * (1 - p)))
+
+
+def similar_forest(sketches: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sketches (rows) of which at least ``least`` bytes agree.
+
+    Breadth first: each row reached is held against the rows not reached yet, so a group of near copies of one document
+    takes a comparison for each of them, not for each pair.
+    """
+    rest, out = np.arange(len(sketches)), []
+    while len(rest) > 1:
+        todo, rest = [int(rest[0])], rest[1:]
+        while todo and len(rest):
+            one = todo.pop()
+            close = np.concatenate([(sketches[rest[at : at + 4096]] == sketches[one]).sum(1) >= least for at in range(0, len(rest), 4096)])
+            found = rest[close].tolist()
+            out += [(one, x) for x in found]
+            todo += found
+            rest = rest[~close]
+    return out
+
+
+def band_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Edges a, b between similar nodes that share a band; ``nodes`` (staged, distinct) has id, bands and bytes.
+
+    Only keys that several nodes share go on, and only their nodes' sketches move.  A bucket passes on a spanning forest;
+    one of over TILE nodes is compared tile by tile, in many tasks.
+    """
+    keys = nodes.select("id", F.explode("bands").alias("key"))
+    shared = stage(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-bands")
+    met = attach(keys, shared, "key", "n", ["n"], F.xxhash64("id", "key")).filter(F.col("n").isNotNull()).select("key", "id")
+    records = _tiled(stage(met, "band-records"), "id").join(nodes.select("id", "bytes"), "id")
+    dealt = records.select("unit", "id", "bytes").repartition(partitions(nodes.sparkSession), "unit").sortWithinPartitions("unit")
+    least = bytes_alike(similarity)
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def found(rows: pd.DataFrame) -> pd.DataFrame:
+            unit, ids = rows["unit"].to_numpy(), rows["id"].to_numpy()
+            sketches = np.frombuffer(b"".join(rows["bytes"]), np.uint8).reshape(-1, HASHES)
+            cuts = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(unit)]]).tolist()
+            pairs = [(a + i, a + j) for a, b in zip(cuts, cuts[1:]) for i, j in similar_forest(sketches[a:b], least)]
+            at = np.array(pairs, np.int64).reshape(-1, 2)
+            return pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]}).drop_duplicates()
+
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            # The last unit may go on in the next batch.
+            last = int(np.searchsorted(rows["unit"].to_numpy(), rows["unit"].iat[-1], side="left")) if len(rows) else 0
+            if last:
+                yield found(rows.iloc[:last])
+            held = rows.iloc[last:]
+        if held is not None and len(held):
+            yield found(held)
+
+    return dealt.mapInPandas(verify, "a long, b long")
 
 
-def drop_near(docs: DataFrame, max_bits: int = STAGE_BITS, words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+def drop_near(docs: DataFrame, max_bits: int = MAX_BITS, words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """One document of each near-duplicate group, columns unchanged.
 
-    Groups are the components of links between documents whose three-word fingerprints differ in
-    at most ``max_bits`` bits and whose 128-bit sketches of five-word shingles are as close as
-    those of sets of Jaccard similarity ``similarity`` (one standard deviation allowed).  The row
-    with the smallest doc_id stays (null ids last); rows equal in id, fingerprint and sketch count as one.
+    Groups are the components of two kinds of links: fingerprints of three-word shingles that differ in at most ``max_bits``
+    bits, whose 128 SimHash bits of five-word shingles are as close as those of sets of Jaccard similarity ``similarity``
+    (one standard deviation allowed); and documents that share a band of minimum hashes of five-word shingles, whose 256-byte
+    sketches agree as those of such sets (SLACK standard deviations allowed).  Look-ups and buckets grow with
+    the documents, not with their pairs.  The row with the smallest doc_id stays (null ids last); rows equal in id,
+    fingerprint and sketch count as one.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.struct(*columns).alias("_row"))
-    sketched = similarity_sketches(fingerprints(packed.select("doc_id", "text")), words, "_w")
-    sketched = sketched.select("doc_id", "fp", "_w.w1", "_w.w2", F.xxhash64(text_of()).alias("content"))
-    rows = stage(sketched, "sketches")
-    node = F.xxhash64("fp", "w1", "w2")
+    sketched = stage_sketches(fingerprints(packed.select("doc_id", "text")), words)
+    sketched = sketched.select("doc_id", "fp", "sketch.w1", "sketch.w2", "sketch.bands", "sketch.bytes", F.xxhash64(text_of()).alias("content"))
+    rows = stage(sketched.withColumn("id", F.xxhash64("fp", "w1", "w2", "bytes")), "sketches")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("content").alias("content"))
-    groups = rows.groupBy(node.alias("id"), "fp", "w1", "w2").agg(F.min(rank).alias("least"))
+    groups = rows.groupBy("id").agg(F.min(rank).alias("least"), *[F.first(c).alias(c) for c in ("fp", "w1", "w2", "bands", "bytes")])
     groups = stage(groups, "distinct-sketches")
-    found = components(links(groups, max_bits, bits_for(similarity, 128)))
+    found = components(links(groups, max_bits, bits_for(similarity, 128)).unionByName(band_links(groups, similarity)))
     named = groups.join(found, groups["id"] == found["node"], "left").select(F.coalesce("root", "id").alias("root"), "least")
     mark = lambda doc_id, content: F.concat_ws("-", F.coalesce(doc_id.cast("string"), F.lit("none")), F.hex(content))
     kept = named.groupBy("root").agg(F.min("least").alias("least")).select(mark(F.col("least.doc_id"), F.col("least.content")).alias("_mark"))

@@ -129,3 +129,61 @@ def test_forest_of_a_bucket():
     frame = pd.DataFrame({"unit": [1] * 5, "key": [1] * 5, "own": [True, True, True, False, True], "fp": [0, 1, 3, 7, 3 << 60]})
     columns = {c: frame[c].to_numpy() for c in frame}
     assert S.bucket_links(columns, 1, 0).tolist() == [[1, 0], [2, 0], [3, 0]]
+
+
+def edited(rng: random.Random, words: list[str], similarity: float) -> list[str]:
+    """A copy with words replaced until the five-word shingles are no more similar than that."""
+    own = list(words)
+    while jaccard(words, own) > similarity:
+        own[rng.randrange(len(own))] = f"e{rng.randrange(10**9)}"
+    return own
+
+
+def jaccard(a: list[str], b: list[str]) -> float:
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("length", [60, 200, 600])
+def test_stage_recall_near_the_threshold(spark, length):
+    rng = random.Random(length)
+    rows, truth = [], []
+    for i in range(400):
+        words = samples.prose(rng, length, 50_000).split()
+        copy = edited(rng, words, 0.8 + 0.05 * rng.random() + 1.5 / length)
+        truth.append(jaccard(words, copy))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    kept = {r.doc_id for r in S.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    wanted = [2 * i + 1 for i, t in enumerate(truth) if t >= 0.8]
+    assert len(wanted) > 250 and sum(t < 0.86 for t in truth) > 250
+    assert all(2 * i in kept for i in range(400))
+    assert sum(i not in kept for i in wanted) >= 0.95 * len(wanted)
+
+
+def test_stage_keeps_what_is_not_similar(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        words = samples.prose(rng, 200, 50_000).split()
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited(rng, words, 0.65)))]
+    assert S.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).count() >= 597
+
+
+@pytest.mark.parametrize("tile", [4096, 5])
+def test_band_links_connect_similar_sketches(spark, monkeypatch, tile):
+    """Chains of near copies in one bucket, whole and in tiles, against all pairs of sketches."""
+    monkeypatch.setattr(S, "TILE", tile)
+    rng = np.random.default_rng(5)
+    least = S.bytes_alike(0.8)
+    sketches = []
+    for _ in range(6):
+        one = rng.integers(0, 256, S.HASHES).astype(np.uint8)
+        for _ in range(8):
+            sketches.append(one)
+            one = one.copy()
+            one[rng.choice(S.HASHES, 40, replace=False)] += 1
+    nodes = S.stage(spark.createDataFrame([(i, [7, i], bytearray(x.tobytes())) for i, x in enumerate(sketches)], "id long, bands array<long>, bytes binary"), "nodes")
+    found = {r.node: r.root for r in components(S.band_links(nodes, 0.8)).collect()}
+    roots = groups(range(len(sketches)), lambda a, b: (sketches[a] == sketches[b]).sum() >= least)
+    ours = [found.get(i, i) for i in range(len(sketches))]
+    assert [ours.index(x) for x in ours] == [roots.index(x) for x in roots] and len(set(ours)) == 6
