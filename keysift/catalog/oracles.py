@@ -274,9 +274,13 @@ ORACLES: dict[str, str] = {
         "SELECT app_key, file_path, strlen(text) AS n_bytes, substr(sha256(text), 1, 32) AS fingerprint FROM files", **_CORPUS
     ),
     "s2_corpus_folder": """SELECT lang || ' x' AS app_key, CASE doc_id % 3 WHEN 0 THEN 'apps' WHEN 1 THEN '_next' ELSE 'res' END AS folder,
- CASE WHEN doc_id % 3 = 1 THEN -1 ELSE count(*) END AS n FROM documents GROUP BY lang, doc_id % 3""",
+ doc_id || ' ' || length(text) AS value FROM documents""",
     "s3_scannable_files": """SELECT source AS app_key, 'src/a.b/' || doc_id || '.txt' AS file_path, length(text) AS n_chars
  FROM documents WHERE lang NOT IN ('fr', 'de', 'es')""",
+    "s3_ignored_files": """SELECT source || '/' || lang || '/' || folder || '/' || doc_id || ending AS file_path FROM (
+ SELECT doc_id, source, lang, ['build', 'src/tmp', 'keep', 'src'][doc_id % 4 + 1] AS folder, ['.log', '.txt', '.xml'][doc_id % 3 + 1] AS ending FROM documents)
+ WHERE NOT (lang IN ('fr', 'de') AND folder = 'build') AND NOT (lang = 'es' AND folder = 'src/tmp') AND NOT (lang = 'de' AND folder = 'keep' AND ending = '.xml')
+ AND NOT (lang <> 'de' AND ending = '.log' AND doc_id % 10 <> 5)""",
     "s8_search_output": _with(
         "SELECT app_key, file_path, line_no, line FROM lines WHERE contains(line, ',')", **_CORPUS
     ),
@@ -402,6 +406,11 @@ ORACLES: dict[str, str] = {
         + ") AS rule(pack, ordinal, name) LEFT JOIN (SELECT pack, ordinal, count(*) AS n FROM findings GROUP BY ALL) USING (pack, ordinal)",
         **_SCAN,
     ),
+    "a6_count_with_subtotals": _with(
+        """SELECT pack, Type, CAST(grouping_id(pack, Type) AS INTEGER) AS level, count(*) AS n_findings, count(DISTINCT app_key) AS n_apps
+ FROM findings GROUP BY ROLLUP (pack, Type)""",
+        **_SCAN,
+    ),
     "u1_union_of_packs": _with("SELECT app_key, pack, count(*) AS n_findings FROM findings GROUP BY app_key, pack", **_SCAN),
     "k1_store_round_trip": _with(
         """SELECT CAST(b AS BIGINT) AS batch_id, app_key, APKHash, APKVersion, n_findings
@@ -411,6 +420,12 @@ ORACLES: dict[str, str] = {
     "s6_store_findings": _with(
         "SELECT app_key, Type, LineNo, FileLocation, SecretType, SecretString FROM secrets", **_FOUND
     ),
+    "s6_retro_scan": _with(
+        f"""SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY app_key, SecretString ORDER BY pack, ordinal, FileLocation, LineNo) AS place
+ FROM findings WHERE pack <> {_q(_RULES[0].pack)}) AS late WHERE place = 1 AND NOT EXISTS
+ (SELECT 1 FROM findings AS old WHERE old.pack = {_q(_RULES[0].pack)} AND old.app_key = late.app_key AND old.SecretString = late.SecretString)""",
+        **_SCAN,
+    ),
     "w3_last_report": _with(
         """SELECT CAST(0 AS BIGINT) AS batch_id, app_key, APKHash, n_findings FROM reports ORDER BY app_key DESC LIMIT 1""",
         **_REPORT_CTES,

@@ -11,7 +11,7 @@ from keysift.catalog import inputs
 from keysift.functions import text as fx
 from keysift.model import PACKAGE_STRINGS
 from keysift.operators.attachments import flatten_files, requested_files, ticket_requests
-from keysift.operators.dedupe import count_by_app, count_by_rule, count_by_type, distinct_secrets
+from keysift.operators.dedupe import count_by_app, count_by_rule, count_by_type, count_with_subtotals, distinct_secrets
 from keysift.operators.duplicates import first_stored, known_content, new_content
 from keysift.operators.features import feature_table
 from keysift.operators.messages import chat_messages, chat_notifications, ticket_messages, ticket_notifications
@@ -29,9 +29,12 @@ from keysift.operators.reports import (
 from keysift.operators.scan import regex_join, scan
 from keysift.operators.versions import compare_versions
 from keysift.plans.batch import duplicate_replies, scan_batch
+from keysift.plans.retro import new_secrets, rescan
 from keysift.session import scratch_path, stage
 from keysift.sinks.documents import named_documents, read_documents, whole_documents, write_reports
-from keysift.sources.corpus import lines, load_corpus, parse_search_output, scannable, unlisted_files
+from keysift.sources.corpus import lines, load_corpus, parse_search_output, scannable
+from keysift.sources.ignore import ignore_rules, not_ignored
+from keysift.sources.pieces import append_pieces
 from keysift.sources.rules import Rule, load_rules, read_packs
 from keysift.sources.store import METADATA, PACKAGE, append_store, last_report, load_store
 from keysift.streaming.arrivals import arriving_files, report_stream, scan_stream
@@ -95,7 +98,7 @@ def s2_corpus_files(spark, sf):
 
 @query
 def s2_corpus_folder(spark, sf):
-    """The documents as files of a folder tree and back: what the source lists, and the names it cannot."""
+    """The documents as files of a folder tree and back, one of its folders with a name that starts with ``_``."""
     root = f"{scratch_path(spark, 'corpus')}/apps"
     lines_ = inputs.table(spark, sf, "documents").select(
         F.concat("lang", F.lit(" x")).alias("app"),
@@ -107,10 +110,7 @@ def s2_corpus_folder(spark, sf):
         lines_.where((F.col("app") == app) & (F.col("folder") == folder)).select("value").write.text(f"{root}/{app}/{folder}")
     listed = load_corpus(spark, root).where(~F.endswith("file_path", F.lit("_SUCCESS")))
     each = listed.select("app_key", F.element_at(F.split("file_path", "/"), 2).alias("folder"), F.explode(F.split("text", "\n")).alias("value"))
-    seen = each.where("value != ''").groupBy("app_key", "folder").agg(F.count(F.lit(1)).alias("n"))
-    missed = unlisted_files(spark, root).where(~F.endswith("file_path", F.lit("_SUCCESS")))
-    named = missed.select(F.element_at(F.split("file_path", "/"), 1).alias("app_key"), F.element_at(F.split("file_path", "/"), 2).alias("folder")).distinct()
-    return seen.unionByName(named.withColumn("n", F.lit(-1).cast("long")))
+    return each.where("value != ''").select("app_key", "folder", "value")
 
 
 @query
@@ -125,6 +125,22 @@ def s3_scannable_files(spark, sf):
     return scannable(files).select("app_key", "file_path", F.length("text").cast("long").alias("n_chars"))
 
 
+#: Ignore files of a source's folder and of one below it.
+IGNORED = {"": "# logs, but for some\n*.log\n!*5.log\n/fr/build/\nes/**/tmp\n", "de/": "!*.log\nkeep/*.xml\nbuild/\n"}
+
+
+@query
+def s3_ignored_files(spark, sf):
+    """The documents as files of a tree with ignore files in two folders of every source: what is left."""
+    n, docs = F.col("doc_id"), inputs.table(spark, sf, "documents")
+    folder = F.element_at(F.array(*map(F.lit, ("build", "src/tmp", "keep", "src"))), (n % 4 + 1).cast("int"))
+    ending = F.element_at(F.array(*map(F.lit, (".log", ".txt", ".xml"))), (n % 3 + 1).cast("int"))
+    paths = docs.select(F.concat(F.concat_ws("/", "source", "lang", folder, n.cast("string")), ending).alias("file_path"))
+    texts = F.explode(F.array(*[F.struct(F.lit(f"{k}.ignore").alias("name"), F.lit(v).alias("text")) for k, v in IGNORED.items()]))
+    files = docs.select("source").distinct().select("source", texts.alias("f")).select(F.concat_ws("/", "source", "f.name").alias("file_path"), "f.text")
+    return not_ignored(paths, ignore_rules(files))
+
+
 @query
 def s8_search_output(spark, sf):
     number = F.when(F.contains("line", F.lit(",")), F.col("line_no").cast("string")).otherwise(" 7")
@@ -468,6 +484,11 @@ def a6_count_by_rule(spark, sf):
     return count_by_rule(scan(inputs.corpus(spark, sf), _rules()), load_rules(spark).select("pack", "ordinal", "name"))
 
 
+@query
+def a6_count_with_subtotals(spark, sf):
+    return count_with_subtotals(scan(inputs.corpus(spark, sf), _rules()))
+
+
 @query
 def u1_union_of_packs(spark, sf):
     files = inputs.corpus(spark, sf)
@@ -586,6 +607,21 @@ def x2_feature_table(spark, sf):
     return feature_table(_stored(spark, sf, part_size=7), _rules())
 
 
+@query
+def s6_retro_scan(spark, sf):
+    """Reports of the first pack are stored and their files indexed, in two batches; then the second pack comes."""
+    files, index, store = inputs.corpus(spark, sf), scratch_path(spark, "pieces"), scratch_path(spark, "store")
+    packs = sorted({r.pack for r in _rules()})
+    first, second = ([r for r in _rules() if r.pack == pack] for pack in packs)
+    for batch_id in range(2):
+        own = files.where(F.col("file_path").cast("long") % 2 == batch_id)
+        append_pieces(own, index, batch_id)
+        found = stage(distinct_secrets(scan(own, first, first_rule_only=True)), "findings")
+        facts, metadata = package_facts(inputs.badging(spark, sf)), parse_metadata(inputs.metadata_documents(spark, sf))
+        append_store(build_reports(_source_apps(spark, sf), facts, metadata, found), store, batch_id)
+    return new_secrets(rescan(files, second, index, first_rule_only=True), load_store(spark, store))
+
+
 # Streaming -------------------------------------------------------------------------------
 
 

@@ -40,3 +40,15 @@ def count_by_rule(findings: DataFrame, rules: DataFrame) -> DataFrame:
     return rules.join(counts, ["pack", "ordinal"], "left").select(
         "pack", "ordinal", "name", F.coalesce("n", F.lit(0)).alias("n_findings")
     )
+
+
+def count_with_subtotals(findings: DataFrame) -> DataFrame:
+    """``(pack, Type, level, n_findings, n_apps)``: by pack and type, by pack, and in all.
+
+    ``level`` is the grouping id: 0 for a type of a pack, 1 for a pack, 3 for everything; what is not grouped by is null.
+    Findings are first counted by app, so that subtotals expand one row for each app and type.
+    """
+    by_app = findings.groupBy("pack", "Type", "app_key").agg(F.count(F.lit(1)).alias("n"))
+    return by_app.rollup("pack", "Type").agg(
+        F.grouping_id().cast("int").alias("level"), F.sum("n").alias("n_findings"), F.count_distinct("app_key").alias("n_apps")
+    )

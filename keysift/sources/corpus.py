@@ -2,51 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _qualified(spark: SparkSession, path: str) -> str:
-    """The folder as the file source writes it in front of its paths."""
-    if set(path) & set("*?[{"):
-        raise ValueError("a corpus is one folder, not a pattern")
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
+from keysift.sources.files import list_files, read_files
+from keysift.sources.ignore import IGNORE_FILES, load_ignore_rules, not_ignored
 
 
-def unlisted_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(file_path)`` of the files :func:`load_corpus` cannot see: a name on their path starts with ``_``.
-
-    Hidden paths (``.``) are not scanned anyway and are left out.  The driver walks the folder's names.
-    """
-    root = _qualified(spark, path)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    walk = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True)
-    found = []
-    while walk.hasNext():
-        name = walk.next().getPath().toString()[len(root) + 1 :]
-        parts = name.split("/")
-        if any(p.startswith("_") for p in parts) and not any(p.startswith(".") for p in parts):
-            found.append((name,))
-    return spark.createDataFrame(found, "file_path string")
-
-
-def load_corpus(spark: SparkSession, path: str, app_depth: int = 1) -> DataFrame:
-    """All files below ``path``: ``files(app_key, file_path, text)``.
+def load_corpus(spark: SparkSession, path: str, app_depth: int = 1, ignore: Sequence[str] = IGNORE_FILES) -> DataFrame:
+    """The files below ``path`` that a search reads: ``files(app_key, file_path, text)``.
 
     ``path`` is one folder, no pattern.  The first ``app_depth`` folders below it name the
-    app.  Files with NUL bytes are kept here; :func:`scannable` removes them.  Spark's file sources list
-    no names that start with ``.`` or ``_``: see :func:`unlisted_files`, and bring such files as a table.
+    app.  Hidden paths are left out, as are those that ignore files of the names ``ignore`` list (none: nothing is ignored); names are
+    filtered before any file is read.  Files with NUL bytes are kept here; :func:`scannable` removes them.
     """
-    root = _qualified(spark, path)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    relative = F.substring("path", len(root) + 2, 1 << 30)
-    parts = F.split(relative, "/", -1)
-    return raw.select(
-        F.array_join(F.slice(parts, 1, app_depth), "/").alias("app_key"),
-        relative.alias("file_path"),
-        F.col("content").cast("string").alias("text"),
-    )
+    listing = list_files(spark, path, app_depth)
+    if ignore:
+        listing = not_ignored(listing, load_ignore_rules(spark, path, ignore))
+    return read_files(listing, path)
 
 
 def scannable(files: DataFrame) -> DataFrame:
