@@ -471,6 +471,24 @@ ORACLES: dict[str, str] = {
     ),
     "k6_ticket_notifications": _with("SELECT 'SEC-' || app_key AS ticket_id, seq, body FROM messages", **_TICKET),
     "t1_incremental_scan": _with("SELECT * FROM findings", **_SCAN),
+    "t3_uploads_over_batches": _with(
+        f"""SELECT app_key, file AS FileName, coalesce(n, 0) AS n_findings FROM uploads LEFT JOIN
+ (SELECT app_key, count(DISTINCT SecretString) AS n FROM findings GROUP BY app_key) USING (app_key)""",
+        docs=_DOCS,
+        starts="""SELECT source, doc_id // 20 % 2 AS half, source || '@' || strftime(make_timestamp(1000000 * (1600000000 + min(doc_id % 50 * 60) + any_value(doc_id // 20 % 2) * 43200)), '%Y-%m-%dT%H:%M:%S.%g') AS app_key
+ FROM docs GROUP BY source, doc_id // 20 % 2""",
+        uploads="SELECT app_key, source || '.apk' AS file FROM starts",
+        files="SELECT starts.app_key, CAST(doc_id AS VARCHAR) AS file_path, text FROM docs JOIN starts ON starts.source = docs.source AND half = doc_id // 20 % 2",
+        lines=_lines(),
+        findings=_findings([r for r in _RULES if r.pack == _RULES[0].pack]),
+    ),
+    "t2_rejection_within_horizon": _with(
+        """SELECT APKHash, day FROM walk WHERE day IS NOT NULL""",
+        docs=_DOCS,
+        days="SELECT DISTINCT APKHash, doc_id % 6 AS day FROM docs",
+        walk="""SELECT APKHash, min(day) AS day FROM days GROUP BY APKHash
+ UNION ALL SELECT w.APKHash, (SELECT min(d.day) FROM days d WHERE d.APKHash = w.APKHash AND d.day > w.day + 3) FROM walk w WHERE w.day IS NOT NULL""",
+    ),
     "t2_stream_reports": _with(
         f"""SELECT first.app_key, first.app_key || '.apk' AS FileName, APKHash, coalesce(n_findings, 0) AS n_findings,
  coalesce(PackageName, '') AS PackageName, coalesce(fileName, '') AS metadata_file FROM

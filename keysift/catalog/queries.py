@@ -38,6 +38,7 @@ from keysift.sources.pieces import append_pieces
 from keysift.sources.rules import Rule, load_rules, read_packs
 from keysift.sources.store import METADATA, PACKAGE, append_store, last_report, load_store
 from keysift.streaming.arrivals import arriving_files, report_stream, scan_stream
+from keysift.streaming.uploads import unseen_within, upload_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -653,6 +654,42 @@ def t1_incremental_scan(spark, sf):
     return spark.read.parquet(path)
 
 
+def _timed_arrivals(spark: SparkSession, sf: str, parts: int, arrived) -> tuple[DataFrame, DataFrame]:
+    """The documents as files in order of ``doc_id % parts``, one a trigger, then a row of a far later time; as a stream and as a table."""
+    folder = scratch_path(spark, "arrivals")
+    docs = inputs.with_planted_line(inputs.table(spark, sf, "documents")).withColumn("arrived", arrived)
+    rows = docs.select(F.col("source").alias("app_key"), F.concat("source", F.lit(".apk")).alias("FileName"), F.col("doc_id").cast("string").alias("file_path"), "text", "raw", "arrived")
+    late = spark.createDataFrame([("later", "later.apk", "0", "", "")], "app_key string, FileName string, file_path string, text string, raw string")
+    for i in range(parts):
+        rows.where(F.col("file_path").cast("long") % parts == i).coalesce(1).write.mode("append").parquet(folder)
+    late.withColumn("arrived", F.timestamp_micros(F.lit(4_000_000_000_000_000))).write.mode("append").parquet(folder)
+    schema = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    return arriving_files(spark, folder, schema, per_batch=1), spark.read.parquet(folder)
+
+
+@query
+def t3_uploads_over_batches(spark, sf):
+    """Each source uploads half of its documents in the morning and half in the evening; either comes in three micro-batches."""
+    path = scratch_path(spark, "store")
+    minute = F.lit(1_600_000_000) + F.col("doc_id") % 50 * 60 + F.floor(F.col("doc_id") / 20) % 2 * 43_200
+    stream, table = _timed_arrivals(spark, sf, 3, F.timestamp_seconds(minute))
+    rules = [r for r in _rules() if r.pack == "broad.yml"]
+    _drain(upload_stream(stream, lambda: table, rules, path, scratch_path(spark, "checkpoint"), gap="2 hours", delay="2 days"))
+    return load_store(spark, path).select("app_key", "FileName", "n_findings")
+
+
+@query
+def t2_rejection_within_horizon(spark, sf):
+    """Documents of six days, a micro-batch each, copies rejected for a day: what is reported again."""
+    path, checkpoint = scratch_path(spark, "unseen"), scratch_path(spark, "checkpoint")
+    stream, _ = _timed_arrivals(spark, sf, 6, F.timestamp_seconds(F.lit(1_600_000_000) + F.col("doc_id") % 6 * 86_400))
+    unseen = unseen_within(stream.withColumn("APKHash", fx.fingerprint(F.col("raw"))), "1 day").select("APKHash", "arrived")
+    _drain(unseen.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint))
+    found = spark.read.schema(unseen.schema).parquet(path)
+    day = ((F.unix_timestamp("arrived") - 1_600_000_000) / 86_400).cast("long")
+    return found.where(day < 6).select("APKHash", day.alias("day"))
+
+
 @query
 def t2_stream_reports(spark, sf):
     """Three micro-batches, then a run from the same checkpoint: one report per content, the first to arrive."""

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from keysift.functions.text import fingerprint
 from keysift.operators.scan import scan
 from keysift.plans.batch import scan_batch
+from keysift.session import delete_paths, stage
 from keysift.sources.rules import Rule
 
 
@@ -62,18 +63,22 @@ def report_stream(
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        if "file_path" in batch.columns:
-            each = F.struct("file_path", fingerprint(F.col("text")).alias("hash"))
-            listed = F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda f: F.concat(f["file_path"], F.lit("\0"), f["hash"])), "\n")
-            submissions = batch.groupBy("app_key", "FileName").agg(fingerprint(listed).alias("APKHash"))
-            files = batch.select("app_key", "file_path", "text")
+        # The texts are read twice, to be hashed and to be scanned; all else comes from the hashes.
+        staged: list[str] = []
+        several = "file_path" in batch.columns
+        path = [F.col("file_path")] if several else []
+        slim = stage(batch.select("app_key", "FileName", *path, fingerprint(F.col("text")).alias("hash")), "arrivals", staged)
+        if several:
+            listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_path", "hash"))), lambda f: F.concat(f["file_path"], F.lit("\0"), f["hash"])), "\n")
+            submissions = slim.groupBy("app_key", "FileName").agg(fingerprint(listed).alias("APKHash"))
         else:
-            submissions = batch.select("app_key", "FileName", fingerprint(F.col("text")).alias("APKHash"))
-            files = batch.select("app_key", F.col("FileName").alias("file_path"), "text")
-        keys = batch.select("app_key").distinct()
-        nothing = batch.select("app_key", F.lit(None).cast("string").alias("text")).where(F.lit(False))
+            submissions = slim.select("app_key", "FileName", F.col("hash").alias("APKHash"))
+        files = batch.select("app_key", F.col("file_path" if several else "FileName").alias("file_path"), "text")
+        keys = slim.select("app_key").distinct()
+        nothing = slim.select("app_key", F.lit(None).cast("string").alias("text")).where(F.lit(False))
         own = nothing if badging is None else badging.join(keys, "app_key", "left_semi")
         json = nothing.withColumnRenamed("text", "json") if documents is None else documents.join(keys, "app_key", "left_semi")
         scan_batch(submissions, files, own, json, rules, store_path, batch_id).release()
+        delete_paths(batch.sparkSession, staged)
 
     return arrivals.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
