@@ -457,6 +457,20 @@ ORACLES: dict[str, str] = {
  Type || ':' || substr(SecretString, 1, 1) AS secret FROM secrets""",
         versions="""SELECT version, package, lag(version) OVER (PARTITION BY package ORDER BY version) AS before FROM (
  SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS version, 'pkg' || (CAST(substr(source, 4) AS BIGINT) % 4) AS package FROM documents)""",
+    ),
+    "x1_secret_runs": _with(
+        """SELECT package AS PackageName, secret AS SecretString, CAST(row_number() OVER w AS INTEGER) AS run, CAST(first AS VARCHAR) AS first_version,
+ CAST(last AS VARCHAR) AS last_version, n AS n_versions, row_number() OVER w > 1 AS returned, last < newest AS gone
+ FROM (SELECT package, secret, min(version) AS first, max(version) AS last, count(*) AS n, any_value(newest) AS newest FROM
+  (SELECT *, sum(CASE WHEN earlier THEN 0 ELSE 1 END) OVER (PARTITION BY package, secret ORDER BY version) AS island FROM
+   (SELECT f.*, v.newest, coalesce(lag(f.version) OVER (PARTITION BY f.package, f.secret ORDER BY f.version) = v.before, false) AS earlier
+    FROM found f JOIN versions v USING (version))) GROUP BY package, secret, island)
+ WINDOW w AS (PARTITION BY package, secret ORDER BY first)""",
+        **_FOUND,
+        found="""SELECT DISTINCT CAST(substr(app_key, 4) AS BIGINT) AS version, 'pkg' || (CAST(substr(app_key, 4) AS BIGINT) % 4) AS package,
+ SecretString AS secret FROM secrets""",
+        versions="""SELECT version, lag(version) OVER (PARTITION BY version % 4 ORDER BY version) AS before, max(version) OVER (PARTITION BY version % 4) AS newest FROM (
+ SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS version FROM documents)""",
     ),
     "x2_feature_table": _with(
         _features(),

@@ -27,7 +27,7 @@ from keysift.operators.reports import (
     report_documents,
 )
 from keysift.operators.scan import regex_join, scan
-from keysift.operators.versions import compare_versions
+from keysift.operators.versions import compare_versions, secret_runs
 from keysift.plans.batch import duplicate_replies, scan_batch
 from keysift.plans.retro import new_secrets, rescan
 from keysift.session import scratch_path, stage
@@ -603,6 +603,14 @@ def x1_version_comparison(spark, sf):
     return compare_versions(reports.withColumn("Findings", shared))
 
 
+@query
+def x1_secret_runs(spark, sf):
+    """The sources as versions of four packages, with the secrets their documents hold."""
+    number = F.regexp_extract("app_key", "[0-9]+", 0).cast("long")
+    package = F.struct(F.concat(F.lit("pkg"), number % 4).alias("PackageName"), number.cast("string").alias("VersionCode"))
+    return secret_runs(_stored(spark, sf, part_size=7).withColumn("PackageDataModel", package))
+
+
 @query
 def x2_feature_table(spark, sf):
     return feature_table(_stored(spark, sf, part_size=7), _rules())

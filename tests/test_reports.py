@@ -246,3 +246,19 @@ def test_findings_json_round_trip(spark):
     row = text.select("Findings", parse_findings(F.col("j")).alias("back")).first()
     assert row.Findings == row.back
     assert text.first().j.startswith('[{"Type":"type 0","LineNo":0,"FileLocation":"file é0",')
+
+
+def test_secret_runs(spark):
+    from keysift.operators.versions import secret_runs
+
+    held = {"1": "ab", "2": "a", "10": "abc", "11": "c", "x": "b"}
+    rows = [(("p", v), [(s,) for s in own]) for v, own in held.items()] + [(("p", "10"), [("a",)]), (("q", "1"), None)]
+    kind = "PackageDataModel struct<PackageName:string,VersionCode:string>, Findings array<struct<SecretString:string>>"
+    found = secret_runs(spark.createDataFrame(rows, kind))
+    # x is no number and comes first; then 1, 2, 10, 11.
+    assert sorted(map(tuple, found.collect())) == [
+        ("p", "a", 1, "1", "10", 3, False, True),
+        ("p", "b", 1, "x", "1", 2, False, True),
+        ("p", "b", 2, "10", "10", 1, True, True),
+        ("p", "c", 1, "10", "11", 2, False, False),
+    ]
