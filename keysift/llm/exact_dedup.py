@@ -5,7 +5,7 @@ into a radix trie and passes on one record per distinct text; owners of a (lengt
 hash) partition merge the records of all tasks in a trie of their own, whose terminal nodes
 hold the row that stays.  A trie over its byte budget gives off its largest subtree: on the
 map side into the shuffle, whose owners merge it again; owners read their records
-in (length, hash) order and give off each finished subtree, so they hold one at a time.
+in (length, hash) order, so between two of these all subtrees are finished and may go into the result.
 """
 
 from __future__ import annotations
@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from keysift.llm.common import attach, partitions, stage, suspected, table, text_of
 
-#: Bytes of text a map-side trie holds before it gives off a subtree.
-TRIE_BYTES = 32 << 20
+#: Bytes a trie holds, nodes included, before it gives off a subtree; in a map task, and at an owner.
+TRIE_BYTES = 64 << 20
+OWNER_BYTES = 32 << 20
+#: Bytes of a node besides its edge: the object, its dictionary of children, its terminal.
+NODE_BYTES = 400
 
 RECORD = "length long, hash long, content binary, chars long, id long, n_best long, n long"
 
@@ -55,7 +58,7 @@ class RadixTrie:
             child = node.children.get(key[at])
             if child is None:
                 node.children[key[at]] = Node(key[at:], terminal)
-                self.held += len(key) - at
+                self.held += len(key) - at + NODE_BYTES
                 return
             edge = child.edge
             if key.startswith(edge, at):
@@ -70,6 +73,7 @@ class RadixTrie:
                 else:
                     high = middle - 1
             upper = Node(edge[:low])
+            self.held += NODE_BYTES
             child.edge = edge[low:]
             upper.children[child.edge[0]] = child
             node.children[key[at]] = upper
@@ -86,7 +90,7 @@ class RadixTrie:
 
     def spill(self) -> Iterator[tuple[bytes, tuple]]:
         """Take off the largest subtree below the root and give its entries."""
-        sizes = {first: sum(len(n.edge) for n in self.nodes(child)) for first, child in self.root.children.items()}
+        sizes = {first: sum(len(n.edge) + NODE_BYTES for n in self.nodes(child)) for first, child in self.root.children.items()}
         first = max(sizes, key=sizes.get)
         child = self.root.children.pop(first)
         self.held -= sizes[first]
@@ -146,11 +150,11 @@ GROUP = "text_sha256 string, chars long, id long, n_best long, n long"
 GROUP_COLUMNS = ["text_sha256", "chars", "id", "n_best", "n"]
 
 
-def owner_tries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Merge the records of a partition, which come in (length, hash) order.
+def owner_tries(batches: Iterator[pd.DataFrame], budget: int = OWNER_BYTES) -> Iterator[pd.DataFrame]:
+    """Merge the records of a partition, which come in (length, hash) order, in one trie.
 
-    All texts of one (length, hash) make a subtree; when the next one begins, it
-    is complete and leaves memory.
+    The trie owns a range of (length, hash).  When the next one of these begins, all its texts are complete, and
+    subtrees leave memory until it is within its budget.
     """
     from hashlib import sha256
 
@@ -162,8 +166,9 @@ def owner_tries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 *columns, _ids(batch["id"]), batch["n_best"].tolist(), batch["n"].tolist()
             ):
                 if (length, code) != current:
-                    yield from ((sha256(key).hexdigest(), *t) for key, t in trie.items())
-                    trie, current = RadixTrie(), (length, code)
+                    current = (length, code)
+                    while trie.held > budget:
+                        yield from ((sha256(key).hexdigest(), *t) for key, t in trie.spill())
                 trie.insert(bytes(content), (chars, doc_id, best, n))
         yield from ((sha256(key).hexdigest(), *t) for key, t in trie.items())
 

@@ -76,3 +76,32 @@ def test_oracle(spark):
 def test_needs_text(spark):
     with pytest.raises(ValueError):
         X.drop_exact(spark.createDataFrame([(1,)], "doc_id long"))
+
+
+@pytest.mark.parametrize("budget", [1, 3000, 1 << 30])
+def test_owners_merge_within_any_budget(budget):
+    rng = random.Random(2)
+    keys = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 9))) for _ in range(800)]
+    batch = pd.DataFrame({"content": keys, "chars": 1, "id": pd.array(range(800), "Int64")})
+    records = pd.concat(X.local_tries(iter([batch]), budget=2000)).sort_values(["length", "hash"], kind="stable")
+    cuts = [records.iloc[:100], records.iloc[100:350], records.iloc[350:]]
+    merged = pd.concat(X.owner_tries(iter(cuts), budget))
+    assert len(merged) == len(set(keys)) and merged["n"].sum() == 800 and set(merged["id"]) == {keys.index(k) for k in keys}
+
+
+def test_memory_of_tries():
+    """A million short texts and a thousand of a megabyte: a trie, with its nodes, stays near its budget of 16 MB."""
+    import tracemalloc
+
+    def batches():
+        for at in range(0, 1_000_000, 5000):
+            yield pd.DataFrame({"content": [b"k%015d" % (i * 7919 % 10**9) for i in range(at, at + 5000)], "chars": 16, "id": pd.array(range(at, at + 5000), "Int64")})
+        for i in range(1000):
+            yield pd.DataFrame({"content": [b"%07d" % i * 150_000], "chars": 1_050_000, "id": pd.array([i], "Int64")})
+
+    tracemalloc.start()
+    n = sum(len(frame) for frame in X.local_tries(batches(), budget=16 << 20))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # Besides the trie: a subtree on its way out and frames of some 4 MB.
+    assert n == 1_001_000 and peak < 80 << 20
