@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Every run of SEED_WORDS words of a test item is a possible seed.  One pass over the corpus counts the
-documents of each; an item keeps its rarer ones.  A second pass finds the kept seeds in
+Every run of SEED_WORDS words of a test item is a possible seed; of an item of fewer than SHORT words, every word.  One pass
+over the corpus counts the documents of each; an item keeps its rarer ones.  A second pass finds the kept seeds in
 the documents, and around them aligns the item's words with the document's:
 a local alignment score close to the item's own is a copy, edited or paraphrased
 in places.  Documents stay where they are; only hits are passed on.
@@ -9,24 +9,27 @@ in places.  Documents stay where they are; only hits are passed on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.llm.common import table, text_of
+from keysift.llm.common import stage, suspected, table, text_of
 
 SEED_WORDS = 3
 #: Share of an item's seeds that are kept, rarest first (all that tie with the last one kept).
-RARE_SHARE = 0.75
+RARE_SHARE = 0.9
+#: Edits leave too few whole runs of shorter items.  Of these a copy has at least the threshold's share of words, so it has
+#: one of the others' number and one more: that many, the rarest, are seeds, and none is missed.
+SHORT = 12
 #: A passage is a copy if its alignment score is at least so much of the item's alignment with itself.
 THRESHOLD = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Seeds of at most so many items are handed to the tasks at a time (some 100 bytes each seed);
-#: a larger benchmark is searched in blocks of items, all of them.
-BLOCK_ITEMS = 20_000
+#: Items of so many words in all are handed to the tasks at a time (some 50 bytes a word); a larger benchmark is searched in
+#: blocks, each in two passes over the corpus and gone before the next one comes.
+BLOCK_WORDS = 1_000_000
 MATCHES = "doc_id long, item_id long, score double, first_word long, last_word long"
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -83,14 +86,19 @@ def gram_codes(codes: np.ndarray, n: int = SEED_WORDS) -> np.ndarray:
     return out
 
 
+def seed_words(words: np.ndarray) -> int:
+    """Words in a seed of an item."""
+    return 1 if len(words) < SHORT else SEED_WORDS
+
+
 class Seeds:
     """Items of a block: word codes, and the seeds that lead to them."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], rare: dict[int, np.ndarray] | None = None) -> None:
+    def __init__(self, items: list[tuple[int, np.ndarray]], rare: list[np.ndarray] | None = None) -> None:
         self.items = items
         codes, owners, places = [], [], []
         for k, (_, words) in enumerate(items):
-            grams = gram_codes(words)
+            grams = gram_codes(words, seed_words(words))
             at = np.arange(len(grams)) if rare is None else rare[k]
             codes.append(grams[at])
             owners.append(np.full(len(at), k))
@@ -103,13 +111,12 @@ class Seeds:
         self.distinct = np.unique(self.codes)
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.distinct >> np.uint64(44)).astype(np.int64)] = True
-        # An item of fewer words has its whole word sequence as its seed.
-        self.short = sorted({len(w) for _, w in items if 0 < len(w) < SEED_WORDS})
+        self.sizes = sorted({seed_words(w) for _, w in items})
 
     def grams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of a document that are seeds, and their places."""
         found, at = [], []
-        for n in (*self.short, SEED_WORDS):
+        for n in self.sizes:
             if len(words) < n:
                 continue
             codes = gram_codes(words, n)
@@ -160,7 +167,8 @@ def matches_in(words: np.ndarray, seeds: Seeds, threshold: float) -> list[tuple[
     out = []
     for k in np.unique(owner):
         own = seeds.items[k][1]
-        margin = len(own) // 2 + 2
+        # A copy has no more inserted words than its score allows, so it begins and ends at most so far from where it would.
+        margin = int(np.ceil(2 * (1 - threshold) * len(own))) + 1
         # Windows around where the item would begin; those that overlap become one.
         begins = np.unique(begin[owner == k])
         breaks = np.flatnonzero(np.diff(begins) > margin) + 1
@@ -184,18 +192,20 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
     """The test items in blocks of bounded size; a null or wordless text has no copies and is left out."""
     # The corpus is what grows; the benchmark comes to the driver a partition at a time.
     block: list[tuple[int, np.ndarray]] = []
+    held = 0
     for row in items.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).toLocalIterator():
         words = word_codes(row["text"])
         if len(words):
             block.append((row["item_id"], words))
-        if len(block) >= BLOCK_ITEMS:
+            held += len(words)
+        if held >= BLOCK_WORDS:
             yield block
-            block = []
+            block, held = [], 0
     if block:
         yield block
 
 
-def rare_seeds(docs: DataFrame, items: list[tuple[int, np.ndarray]], share: float = RARE_SHARE) -> dict[int, np.ndarray]:
+def rare_seeds(docs: DataFrame, items: list[tuple[int, np.ndarray]], share: float = RARE_SHARE, threshold: float = THRESHOLD) -> list[np.ndarray]:
     """Places of the seeds each item keeps, by the number of documents (all of them) that have each."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -210,19 +220,42 @@ def rare_seeds(docs: DataFrame, items: list[tuple[int, np.ndarray]], share: floa
         yield pd.DataFrame({"code": seeds.distinct[seen].view(np.int64), "n": totals[seen]})
 
     counts = docs.select(text_of().alias("text")).mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    known = {r["code"]: r["n"] for r in counts.toLocalIterator()}  # at most one for each seed of the block
-    out = {}
-    for k, (_, words) in enumerate(items):
-        own = np.array([known.get(int(c), 0) for c in gram_codes(words).view(np.int64)])
-        last = np.sort(own)[int(np.ceil(share * len(own))) - 1]
-        out[k] = np.flatnonzero(own <= last)
+    found = counts.toPandas()  # at most a row for each seed of the block
+    shared.destroy()
+    order = np.argsort(found["code"].to_numpy(np.int64).view(np.uint64))
+    codes, n = found["code"].to_numpy(np.int64).view(np.uint64)[order], found["n"].to_numpy(np.int64)[order]
+    out = []
+    for _, words in items:
+        grams = gram_codes(words, seed_words(words))
+        own = np.zeros(len(grams), np.int64)
+        if len(codes):
+            at = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
+            own = np.where(codes[at] == grams, n[at], 0)
+        if len(words) < SHORT:
+            kept = len(words) - int(np.ceil(threshold * len(words) - 1e-9)) + 1
+            out.append(np.sort(np.argsort(own, kind="stable")[:kept]))
+        else:
+            last = np.sort(own)[int(np.ceil(share * len(own))) - 1]
+            out.append(np.flatnonzero(own <= last))
     return out
 
 
-def _searchers(docs: DataFrame, items: DataFrame) -> list:
-    out = []
-    for block in _blocks(items):
-        out.append(docs.sparkSession.sparkContext.broadcast((block, rare_seeds(docs, block))))
+def _by_block(docs: DataFrame, items: DataFrame, threshold: float, search: Callable[[object], DataFrame], name: str) -> list[DataFrame]:
+    """``search(shared items and seeds)`` for each block.
+
+    Of several blocks each result is written before the next block comes, so one block at a time is held, by the driver and the tasks.
+    """
+    blocks = _blocks(items)
+    block, out = next(blocks, None), []
+    while block is not None:
+        then = next(blocks, None)
+        shared = docs.sparkSession.sparkContext.broadcast((block, rare_seeds(docs, block, threshold=threshold)))
+        found = search(shared)
+        if then is not None or out:
+            found = stage(found, name)
+            shared.destroy()
+        out.append(found)
+        block = then
     return out
 
 
@@ -235,10 +268,9 @@ def find_copies(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     other columns are ignored.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    out = plain.sparkSession.createDataFrame([], MATCHES)
-    for shared in _searchers(docs, items):
 
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    def search(shared) -> DataFrame:
+        def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             block, rare = shared.value
             seeds = Seeds(block, rare)
             for batch in batches:
@@ -250,16 +282,35 @@ def find_copies(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
                 found = pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "last_word"])
                 yield found.assign(doc_id=found["doc_id"].astype("Int64"), item_id=found["item_id"].astype("Int64"))
 
-        out = out.unionByName(plain.mapInPandas(search, MATCHES))
+        return plain.mapInPandas(aligned, MATCHES)
+
+    out = plain.sparkSession.createDataFrame([], MATCHES)
+    for found in _by_block(plain, items, threshold, search, "copies"):
+        out = out.unionByName(found)
     return out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without a copy of a test item, columns unchanged."""
-    kept = docs
-    for shared in _searchers(docs, items):
-        kept = kept.filter(~_copied(shared, threshold)(text_of()))
-    return kept
+    """The documents without a copy of a test item, columns unchanged.
+
+    One block of items is a filter, and nothing moves.  Of several blocks each gives the hashes of the texts with a copy; then only
+    documents that a bitmap takes for such are shuffled.
+    """
+    blocks = _blocks(items)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast((first, rare_seeds(docs, first, threshold=threshold)))
+        return docs.filter(~_copied(shared, threshold)(text_of()))
+    packed = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    mark = F.sha2(text_of().cast("binary"), 256)
+    gone = None
+    for found in _by_block(docs, items, threshold, lambda shared: packed.filter(_copied(shared, threshold)(text_of())).select(mark.alias("_mark")).distinct(), "contaminated"):
+        gone = found if gone is None else gone.unionByName(found)
+    marked = suspected(packed.withColumn("_mark", mark), gone, "_mark", "_hit")
+    rest = marked.filter("_hit").join(gone.distinct(), "_mark", "left_anti")
+    return marked.filter(~F.col("_hit")).select("_row.*").unionByName(rest.select("_row.*"))
 
 
 def _copied(shared, threshold: float):

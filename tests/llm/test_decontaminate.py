@@ -66,9 +66,40 @@ def test_planted_copies(spark, nothing):
 
 def test_blocks_of_items_change_nothing(spark, monkeypatch):
     docs, items, _ = planted(spark)
-    whole = samples.rows(D.find_copies(docs, items))
-    monkeypatch.setattr(D, "BLOCK_ITEMS", 2)
+    whole, kept = samples.rows(D.find_copies(docs, items)), samples.rows(D.drop_contaminated(docs, items))
+    monkeypatch.setattr(D, "BLOCK_WORDS", 45)
+    assert len(list(D._blocks(items))) == 3
     assert samples.rows(D.find_copies(docs, items)) == whole
+    assert samples.rows(D.drop_contaminated(docs, items)) == kept
+
+
+def edited(rng: random.Random, words: list[str], edits: int) -> list[str]:
+    own = list(words)
+    for _ in range(edits):
+        i = rng.randrange(len(own))
+        kind = rng.randrange(3)
+        own[i : i + (kind != 0)] = [] if kind == 2 and len(own) > 1 else [f"e{rng.randrange(10**6)}"]
+    return own
+
+
+@pytest.mark.parametrize(("length", "least"), [(2, 1.0), (3, 1.0), (5, 1.0), (8, 1.0), (11, 1.0), (12, 0.97), (20, 0.97), (50, 0.99)])
+def test_recall_of_seeds_by_length(spark, length, least):
+    """Edited copies that alignment alone takes for such, down to the threshold: the share that seeds lead to."""
+    rng = random.Random(length)
+    items, docs, wanted = [], [], set()
+    for i in range(250):
+        own = samples.prose(rng, length, 400).split()
+        copy = edited(rng, own, rng.randrange(1, max(2, length * 2 // 5)))
+        text = samples.prose(rng, 30, 400).split()
+        text[15:15] = copy
+        items.append((i, " ".join(own)))
+        docs.append((i, " ".join(text)))
+        a, b = D.word_codes(items[i][1]), D.word_codes(docs[i][1])
+        if D.align(a, b)[0] >= D.THRESHOLD * D.MATCH * length:
+            wanted.add(i)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id for r in D.find_copies(table, spark.createDataFrame(items, "item_id long, text string")).collect() if r.doc_id == r.item_id}
+    assert found <= wanted and len(found) >= least * len(wanted) and len(wanted) > 30
 
 
 def test_query_against_every_item_in_every_window(spark):
