@@ -10,6 +10,7 @@ template index has the size of the template list, so the join is map-side: no sh
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,73 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 #: What parts words, once A-Z are in lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Templates of at most BLOCK_WORDS / 2 words, (label, words).  A list of the caller's own may take its place.
+# Texts of licenses and notices.
+TEXTS = (
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+        "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+        following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+        CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+        OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+        above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+        WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY
+        SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions
+        in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+        EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+        AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+        OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising
+        from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter
+        it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim
+        that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but
+        is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This
+        notice may not be removed or altered from any source distribution.""",
+    ),
+    (
+        "apache",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a
+        copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed
+        under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License.""",
+    ),
+    (
+        "gpl",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free
+        Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be
+        useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
+        License for more details. You should have received a copy of the GNU General Public License along with this program.""",
+    ),
+    (
+        "public-domain",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute
+        this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions
+        that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We
+        make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt
+        act of relinquishment in perpetuity of all present and future rights to this software under copyright law.""",
+    ),
+)
+
+#: Templates, (label, text), of any length.  A list of the caller's own may take its place.
 TEMPLATES = (
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy"),
@@ -40,10 +107,12 @@ TEMPLATES = (
     ("mpl", "subject to the terms of the mozilla public license"),
     ("public-domain", "this is free and unencumbered software released into the public domain"),
     ("reserved", "copyright all rights reserved"),
+    *TEXTS,
 )
 #: Share of a template's distinct words a block must hold.
 THRESHOLD = 0.9
-#: A block is a window of so many words; windows begin every half of that.
+#: A block is a window of so many words; windows begin every half of that.  A longer template has blocks of the least doubling
+#: of it whose half holds the template, so every run of as many words lies within a block.
 BLOCK_WORDS = 40
 
 
@@ -68,11 +137,26 @@ def frequencies(tokenised: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r["word"]: r["count"] for r in own.groupBy("word").count().collect()}
 
 
+def template_words(text: str) -> list[str]:
+    """The words of a template, as those of a text."""
+    lower = text.translate({c: c + 32 for c in range(65, 91)})
+    return re.sub(BETWEEN, " ", lower).split(" ") if re.sub(BETWEEN, "", lower) else []
+
+
+def block_words(text: str) -> int:
+    """Words in the blocks that a template is held against."""
+    n, size = len([w for w in template_words(text) if w]), BLOCK_WORDS
+    while size < 2 * n:
+        size *= 2
+    return size
+
+
 class Index:
-    """Templates under a global word order: words are numbered from 1, the rarest first."""
+    """Templates of one block size under a global word order: words are numbered from 1, the rarest first."""
 
-    def __init__(self, templates, counts: dict[str, int], threshold: float) -> None:
-        sets = [(label, sorted(set(text.split()))) for label, text in templates]
+    def __init__(self, templates, counts: dict[str, int], threshold: float, size: int = BLOCK_WORDS) -> None:
+        self.size = size
+        sets = [(label, sorted({w for w in template_words(text) if w})) for label, text in templates]
         self.order = sorted({w for _, s in sets for w in s}, key=lambda w: (counts.get(w, 0), w))
         at = {w: i for i, w in enumerate(self.order, 1)}
         self.rows = []
@@ -84,20 +168,22 @@ class Index:
 
     def column(self) -> Column:
         """Array of (label, ranks, need, prefix), a constant."""
-        rows = [
-            f"named_struct('label', '{label}', 'ranks', array({','.join(map(str, ranks))}), 'need', {need}, 'prefix', array({','.join(map(str, prefix))}))"
-            for label, ranks, need, prefix in self.rows
-        ]
-        return F.expr(f"array({', '.join(rows)})")
+        numbers = lambda values: F.array(*map(F.lit, values))
+        return F.array(
+            *[
+                F.struct(F.lit(label).alias("label"), numbers(ranks).alias("ranks"), F.lit(need).alias("need"), numbers(prefix).alias("prefix"))
+                for label, ranks, need, prefix in self.rows
+            ]
+        )
 
 
 def _matches(own: Column, index: Index) -> Column:
     """Array of (label, containment) of the templates that some block of a document's words meets."""
-    half = BLOCK_WORDS // 2
+    half = index.size // 2
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(own) - 1), F.lit(half))
 
     def block(start: Column) -> Column:
-        common = F.array_intersect(F.slice(own, start + 1, BLOCK_WORDS), strings(index.order))
+        common = F.array_intersect(F.slice(own, start + 1, index.size), strings(index.order))
         ranks = F.sort_array(F.transform(common, lambda w: F.array_position(strings(index.order), w).cast("int")))
 
         def joined(have: Column) -> Column:
@@ -144,12 +230,13 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     Null text counts as empty: no words, no labels.  A null doc_id stays null, repeated rows get a
     row each, an empty table gives no rows, other columns are ignored.  Texts are looked at whole.
     """
-    if max((len(t.split()) for _, t in templates), default=0) > BLOCK_WORDS // 2:
-        raise ValueError(f"a template has over {BLOCK_WORDS // 2} words")
-    vocabulary = sorted({w for t in (*PHRASES, *(t for _, t in templates)) for w in t.split()})
+    # A template without a word is met by nothing.
+    templates = [(label, text) for label, text in templates if template_words(text)]
+    vocabulary = sorted({w for p in PHRASES for w in p.split()} | {w for _, text in templates for w in template_words(text) if w})
     tokenised = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(text_of()).alias("words"))
     counts = frequencies(tokenised, vocabulary)
-    index = Index(templates, counts, threshold)
+    sizes = sorted({block_words(text) for _, text in templates})
+    indexes = [Index([t for t in templates if block_words(t[1]) == size], counts, threshold, size) for size in sizes]
     own = F.col("words")
     triggers = sorted({min(p.split(), key=lambda w: (counts.get(w, 0), w)) for p in PHRASES})
     nothing = F.array().cast("array<struct<place:bigint,label:string>>")
@@ -159,7 +246,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
         F.size(own).cast("long").alias("n_words"),
         # Every phrase has one of its rarest words, every match a prefix word; most documents have neither.
         F.when(F.arrays_overlap(own, strings(triggers)), _places(own)).otherwise(nothing).alias("base"),
-        (F.when(F.arrays_overlap(own, strings(index.prefix_words)), _matches(own, index)).otherwise(no_match) if index.rows else no_match).alias("found"),
+        F.concat(no_match, *[F.when(F.arrays_overlap(own, strings(index.prefix_words)), _matches(own, index)).otherwise(no_match) for index in indexes]).alias("found"),
     )
     labels = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return found.select(

@@ -1,7 +1,6 @@
+import random
 import re
 
-import pytest
-
 from keysift.llm import licenses as L
 from tests.llm import samples
 
@@ -21,21 +20,23 @@ def base(text) -> tuple:
     return (len(own), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))
 
 
-def labels(text, threshold=L.THRESHOLD) -> tuple:
-    """Every template against every window, without any filter."""
+def labels(text, threshold=L.THRESHOLD, templates=L.TEMPLATES) -> tuple:
+    """Every template against every window of its size, without any filter."""
     own, found, best = words(text), set(), 0.0
-    for start in range(0, max(1, len(own)), L.BLOCK_WORDS // 2):
-        block = set(own[start : start + L.BLOCK_WORDS])
-        for label, template in L.TEMPLATES:
-            need = set(template.split())
-            if len(block & need) >= threshold * len(need) - 1e-9:
+    for label, template in templates:
+        need, size = set(words(template)), 40
+        while size < 2 * len(words(template)):
+            size *= 2
+        for start in range(0, max(1, len(own)), size // 2):
+            block = set(own[start : start + size])
+            if need and len(block & need) >= threshold * len(need) - 1e-9:
                 found.add(label)
                 best = max(best, len(block & need) / len(need))
     return ",".join(sorted(found | set(filter(None, base(text)[4].split(","))))), best
 
 
-def expected(rows) -> list[tuple]:
-    return sorted(((d, *base(t), labels(t)[0], labels(t)[1]) for d, t in rows), key=repr)
+def expected(rows, templates=L.TEMPLATES) -> list[tuple]:
+    return sorted(((d, *base(t), *labels(t, templates=templates)) for d, t in rows), key=repr)
 
 
 NOTICES = [
@@ -70,7 +71,33 @@ def test_native(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
 
 
-def test_long_templates_are_refused(awkward):
-    with pytest.raises(ValueError):
-        L.scan_licenses(awkward, (("x", "w " * 30),))
+def edited(rng, text: str, share: float) -> str:
+    own = text.split()
+    for _ in range(int(share * len(own))):
+        own[rng.randrange(len(own))] = f"other{rng.randrange(10**6)}"
+    return " ".join(own)
+
+
+def test_whole_license_texts(spark):
+    """Texts of 80 to 250 words, whole, edited and cut, anywhere in a document."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        label, text = L.TEXTS[i % len(L.TEXTS)]
+        body = [lambda: text, lambda: edited(rng, text, 0.04), lambda: edited(rng, text, 0.5), lambda: " ".join(text.split()[: len(text.split()) // 2])][i % 4]()
+        rows.append((i, " ".join([*samples.prose(rng, rng.randrange(300)).split(), body, *samples.prose(rng, rng.randrange(300)).split()])))
+    found = samples.rows(L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found == expected(rows)
+    by = {r[0]: r for r in found}
+    for i in range(120):
+        if i % 4 < 2:
+            assert L.TEXTS[i % len(L.TEXTS)][0] in by[i][6].split(",") and by[i][7] >= L.THRESHOLD
+    assert {L.block_words(t) for _, t in L.TEXTS} == {320, 640}
+
+
+def test_templates_of_the_caller(spark, awkward):
+    templates = (("it's \\ \"x\"", "a row without an id, of some words in all"), ("long", "w " * 30 + "row without id words"), ("none", " ... "), ("empty", ""))
+    rows = [r[:2] for r in samples.AWKWARD]
+    found = samples.rows(L.scan_licenses(awkward, templates))
+    assert found == expected(rows, templates) and any("it's" in r[6] for r in found)
     assert L.scan_licenses(awkward, ()).count() == len(samples.AWKWARD)
