@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bits of a filter over keys: 16 MiB on every executor, whatever the number of keys.
@@ -29,3 +31,14 @@ def without_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     marked = mark_likely(rows, keys, key, "_likely")
     rest = marked.where("_likely").join(keys.select(key).distinct(), key, "left_anti")
     return marked.where("NOT _likely").select(*rows.columns).unionByName(rest.select(*rows.columns))
+
+
+def any_of(column: str, values: Iterable[str]) -> Column:
+    """Whether a column has one of some values, as equalities joined pairwise.
+
+    Unlike a list, which a file scan takes by its bounds alone, they are held against the statistics of every page.
+    """
+    terms = [F.col(column) == F.lit(v) for v in values] or [F.lit(False)]
+    while len(terms) > 1:
+        terms = [a | b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2 :]
+    return terms[0]

@@ -23,7 +23,7 @@ from keysift.operators.reports import PART_SIZE, build_reports
 from keysift.operators.scan import scan
 from keysift.session import delete_paths, stage
 from keysift.sources.rules import Rule
-from keysift.sources.store import append_store, load_index, load_store
+from keysift.sources.store import append_store, batch_index, load_index, load_store
 
 # Bits of the filter over app keys: 16 MiB on every executor, whatever the number of keys.
 FILTER_BITS = 1 << 27
@@ -99,7 +99,7 @@ def scan_batch(
     apps = submissions.join(fresh, "app_key", "left_semi")
     reports = build_reports(apps, package_facts(badging), parse_metadata(documents), found, part_size)
     append_store(reports, store_path, batch_id)
-    known = known_content(submissions, load_index(spark, store_path, submissions, before=batch_id + 1))
+    known = known_content(submissions, earlier.unionByName(batch_index(spark, store_path, batch_id)))
     replies = known.where((F.col("reply_app") != F.col("app_key")) | (F.col("reply_batch") != batch_id))
     return BatchResult(load_store(spark, store_path).where(F.col("batch_id") == batch_id), replies, tuple(staged))
 

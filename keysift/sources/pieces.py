@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysift.model import require
-from keysift.operators.likely import mark_likely
-from keysift.operators.scan import WORD, folded, sql_string
+from keysift.operators.likely import any_of, mark_likely
+from keysift.operators.scan import WORD, folded
 from keysift.sources.rules import Matcher, Rule, matchers
 
 PIECE = 3
@@ -55,14 +55,6 @@ def append_pieces(files: DataFrame, path: str, batch_id: int) -> None:
     written.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{_counts(path)}/chunk={batch_id}")
 
 
-def _any_of(column: str, values: Iterable[str]) -> str:
-    """Equalities, joined pairwise: unlike one long list they are held against the statistics of every page."""
-    terms = [f"{column} = {sql_string(v)}" for v in values]
-    while len(terms) > 1:
-        terms = [f"({' OR '.join(terms[i : i + 2])})" for i in range(0, len(terms), 2)]
-    return terms[0]
-
-
 def needed_pieces(matcher: Matcher) -> list[list[set[str]]]:
     """What a file must hold to match: of each group, all pieces of one word; no groups if nothing is known."""
     if matcher.guard is None:
@@ -83,7 +75,7 @@ def candidate_files(spark: SparkSession, rules: DataFrame | Iterable[Rule], path
     wanted = sorted({p for _, groups in closed for group in groups for word in group for p in word})
     if not wanted:
         return spark.createDataFrame([], "file long"), rules_of, open_rules
-    counts = spark.read.schema(COUNTS).parquet(f"{_counts(path)}/*").where(_any_of("piece", wanted)).groupBy("piece").agg(F.sum("n").alias("n"))
+    counts = spark.read.schema(COUNTS).parquet(f"{_counts(path)}/*").where(any_of("piece", wanted)).groupBy("piece").agg(F.sum("n").alias("n"))
     known = {r["piece"]: r["n"] for r in counts.collect()}  # at most as many as the rules' literals have
     rarest = lambda word: sorted(word, key=lambda p: (known.get(p, 0), p))[:RAREST]
     chosen = [[[rarest(word) for word in group] for group in groups] for _, groups in closed]
@@ -94,7 +86,7 @@ def candidate_files(spark: SparkSession, rules: DataFrame | Iterable[Rule], path
     at = {p: i for i, p in enumerate(used)}
     words = range(-(-len(used) // WORD))
     place = spark.createDataFrame([(p, i // WORD, 1 << (i % WORD)) for p, i in at.items()], "piece string, word int, bit long")
-    postings = spark.read.schema(POSTINGS).parquet(f"{path.rstrip('/')}/*").where(_any_of("piece", used))
+    postings = spark.read.schema(POSTINGS).parquet(f"{path.rstrip('/')}/*").where(any_of("piece", used))
     bits = postings.join(F.broadcast(place), "piece")  # one row per piece of the rules
     masks = bits.groupBy("file").agg(*[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0))).alias(f"mask{w}") for w in words])
 

@@ -1,14 +1,15 @@
 """The findings store: a folder of Parquet files, one sub-folder per batch.
 
 Writing a batch again replaces exactly that batch, so a repeated write after a
-failure leaves one copy.  Beside it stands an index of known content: fingerprint, batch and app,
-by batch and by one of PREFIXES parts of the fingerprints, so that a batch looks only at the parts
-its own fingerprints fall into, and never at the reports.
+failure leaves one copy.  Beside it stands an index of known content: fingerprint, batch and app, sorted by
+fingerprint, with small pages and Bloom filters, so that a batch of few contents reads the pages these fall into, and
+never the reports.  A batch's index is written after its reports: after a failure in between its contents count as
+new until the batch is repeated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +21,7 @@ from keysift.model import (
     PACKAGE_LISTS,
     PACKAGE_STRINGS,
 )
+from keysift.operators.likely import any_of
 
 
 def _ddl(fields) -> str:
@@ -42,9 +44,15 @@ REPORT = (
 )
 
 
-#: Parts of the index.
-PREFIXES = 64
 INDEX = "APKHash string, app_key string, batch_id bigint"
+#: Contents that are looked up page by page; a batch of more reads the index as a whole.
+PROBES = 1000
+#: Rows of a page of the index, and how Parquet finds pages without a content.
+PAGES = {
+    "parquet.page.row.count.limit": "100",
+    "parquet.bloom.filter.enabled#APKHash": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
 
 
 def append_store(reports: DataFrame, path: str, batch_id: int) -> None:
@@ -60,31 +68,34 @@ def _index(path: str) -> str:
     return f"{path.rstrip('/')}-index"
 
 
-def _prefix() -> Column:
-    return F.pmod(F.xxhash64("APKHash"), F.lit(PREFIXES)).cast("int")
-
-
 def _write_index(keys: DataFrame, target: str) -> None:
-    # One file per part; a part of a very large batch is cut where its file gets long.
-    placed = keys.withColumn("prefix", _prefix()).repartition("prefix")
-    placed.write.mode("overwrite").option("maxRecordsPerFile", 5_000_000).partitionBy("prefix").parquet(target)
+    # Sorted by ranges; adaptive execution joins the ranges of a small batch to one file.
+    placed = keys.repartitionByRange("APKHash").sortWithinPartitions("APKHash")
+    placed.write.mode("overwrite").options(**PAGES).option("maxRecordsPerFile", 20_000_000).parquet(target)
 
 
 def load_index(spark: SparkSession, path: str, contents: DataFrame | None = None, before: int | None = None) -> DataFrame:
     """``(APKHash, app_key, batch_id)`` of stored content, of batches below ``before``.
 
-    With ``contents(APKHash)`` only the parts of the index are listed and read that these fall into.
+    With ``contents(APKHash)``, of which there are few, only the pages are read that these may be on.
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_index(path))
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], INDEX)
-    index = spark.read.schema(T._parse_datatype_string(f"{INDEX}, chunk string, prefix int")).option("basePath", _index(path)).parquet(_index(path))
+    index = spark.read.schema(T._parse_datatype_string(f"{INDEX}, chunk string")).option("basePath", _index(path)).parquet(_index(path))
     if contents is not None:
-        parts = [r[0] for r in contents.select(_prefix()).distinct().collect()]  # at most PREFIXES numbers
-        index = index.where(F.col("prefix").isin(parts))
+        few = [r[0] for r in contents.select("APKHash").distinct().limit(PROBES + 1).collect()]
+        if len(few) <= PROBES:
+            # The list decides each row that is read; the equalities decide which pages are.
+            index = index.where(F.col("APKHash").isin(few)).where(any_of("APKHash", few))
     return (index if before is None else index.where(F.col("batch_id") < before)).select("APKHash", "app_key", "batch_id")
 
 
+def batch_index(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """The index of one batch, as :func:`append_store` has written it."""
+    return spark.read.schema(INDEX).parquet(f"{_index(path)}/chunk={batch_id}")
+
+
 def compact_index(spark: SparkSession, path: str, before: int) -> None:
     """Join the index of all batches below ``before`` into one chunk: fewer, larger files.
 
