@@ -439,6 +439,9 @@ ORACLES: dict[str, str] = {
     "k3_findings_documents": _with(
         "SELECT FileName || '_Secrets_' || APKVersion || '.json' AS document, SecretModel AS body FROM reports", **_REPORT_CTES
     ),
+    "k3_exported_files": _with(
+        "SELECT FileName || '_Secrets_' || APKVersion || '.json' AS document, SecretModel AS body FROM reports", **_REPORT_CTES
+    ),
     "k4_dual_write": _with(
         """SELECT folder, CAST(b AS BIGINT) AS batch_id, APKHash, 'app.apk_' || kind || APKVersion || '.json' AS document, SecretModel,
  CASE WHEN kind = '' THEN PackageName END AS PackageName

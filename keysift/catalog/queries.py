@@ -32,7 +32,9 @@ from keysift.plans.batch import duplicate_replies, scan_batch
 from keysift.plans.retro import new_secrets, rescan
 from keysift.session import scratch_path, stage
 from keysift.sinks.documents import named_documents, read_documents, whole_documents, write_reports
+from keysift.sinks.files import export_documents
 from keysift.sources.corpus import lines, load_corpus, parse_search_output, scannable
+from keysift.sources.files import list_files, read_files
 from keysift.sources.ignore import ignore_rules, not_ignored
 from keysift.sources.pieces import append_pieces
 from keysift.sources.rules import Rule, load_rules, read_packs
@@ -552,6 +554,18 @@ def k3_findings_documents(spark, sf):
     return docs.where(F.contains("document", F.lit("_Secrets_"))).select("document", "body")
 
 
+@query
+def k3_exported_files(spark, sf):
+    """The findings documents as files, one each, written twice and read back; reports in several parts."""
+    folder = scratch_path(spark, "export")
+    documents = stage(named_documents(_reports(spark, sf, part_size=7)), "documents")
+    for _ in range(2):
+        export_documents(documents, 0, folder)
+    files = read_files(list_files(spark, folder, app_depth=2), folder)
+    named = files.select(F.element_at(F.split("file_path", "/"), -1).alias("document"), F.col("text").alias("body"))
+    return named.where(F.contains("document", F.lit("_Secrets_")))
+
+
 @query
 def k4_dual_write(spark, sf):
     """Two batches in two folders; all apps have one file name, and the second batch is written twice."""

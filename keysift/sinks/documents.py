@@ -1,4 +1,4 @@
-"""Report documents: rows by batch, and named files for export."""
+"""Report documents: rows by batch (named files: see :mod:`keysift.sinks.files`)."""
 
 from __future__ import annotations
 
@@ -58,12 +58,6 @@ def whole_documents(documents: DataFrame) -> DataFrame:
     return one.unionByName(several)
 
 
-def export_documents(documents: DataFrame, batch_id: int, folder: str) -> None:
-    """One file per document, in a folder of its hash and name below the batch: for people, not for many apps."""
-    whole = whole_documents(documents).select("APKHash", "document", "body")
-    whole.write.mode("overwrite").partitionBy("APKHash", "document").text(f"{folder.rstrip('/')}/batch_id={batch_id}")
-
-
 def write_reports(reports: DataFrame, batch_id: int, results: str, backup: str) -> None:
     """Full reports and findings to the results and the backup folder."""
     write_documents(named_documents(reports), batch_id, backup, results)

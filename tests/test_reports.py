@@ -9,7 +9,8 @@ from keysift.operators import messages as m
 from keysift.operators.metadata import flat_metadata, parse_metadata
 from keysift.operators.package import package_facts
 from keysift.operators.reports import build_reports, collect_findings, findings_json, parse_findings, report_documents
-from keysift.sinks.documents import export_documents, named_documents, read_documents, whole_documents, write_reports
+from keysift.sinks.documents import named_documents, read_documents, whole_documents, write_reports
+from keysift.sinks.files import export_documents, file_name
 
 BADGING = """package: name='com.ex.app' versionCode='7' versionName='1.2' compileSdkVersion='33' compileSdkVersionCodename='13'
 sdkVersion:'21'
@@ -209,8 +210,49 @@ def test_documents(spark, tmp_path):
         assert sorted((r.batch_id, r.document) for r in written) == [(b, n) for b in (0, 1) for n in names]
         assert all(json.loads(r.body) == body for r in written if r.document == names[0])
     export_documents(named_documents(reports(spark, {"a": 2}, part_size=1)), 0, str(tmp_path / "files"))
-    part = next((tmp_path / "files" / "batch_id=0" / "APKHash=ha" / "document=a.apk_1.2.json").glob("part-*"))
-    assert json.loads(part.read_text()) == body
+    assert json.loads((tmp_path / "files" / "batch_id=0" / "ha" / "a.apk_1.2.json").read_text()) == body
+
+
+def test_exported_documents_are_whole_or_absent(spark, tmp_path):
+    folder = tmp_path / "out"
+    names = ["plain.json", "a/b%.json", "..", "", "é 日.json"]
+    rows = [(f"h{i % 3}", f"{names[i % 5]}{'' if i % 5 > 1 and i < 5 else i}", part, f"<{i}.{part}>") for i in range(60) for part in range(1 + i % 4)]
+    documents = spark.createDataFrame(rows, "APKHash string, document string, part int, body string")
+    for _ in range(2):  # written again, a batch replaces itself
+        export_documents(documents, 3, str(folder))
+    found = {tuple(p.relative_to(folder).parts): p.read_text() for p in folder.rglob("*") if p.is_file()}
+    wanted = {}
+    for key, name, part, body in sorted(rows):
+        place = ("batch_id=3", key, file_name(name))
+        wanted[place] = wanted.get(place, "") + body
+    assert found == wanted and len(found) == 60 and ("batch_id=3", "h2", "%2E%2E") in found
+    # A task that fails after it has written files leaves none, and the batch that was there stays.
+    broken = documents.withColumn("body", F.when(F.col("document") == "plain.json50", F.raise_error(F.lit("no body"))).otherwise(F.lit("new")))
+    for batch_id in (3, 4):
+        with pytest.raises(Exception, match="no body"):
+            export_documents(broken, batch_id, str(folder))
+    assert {tuple(p.relative_to(folder).parts): p.read_text() for p in folder.rglob("*") if p.is_file()} == wanted
+    assert [p.name for p in folder.iterdir()] == ["batch_id=3"]
+    export_documents(documents.limit(0), 5, str(folder))
+    assert list((folder / "batch_id=5").iterdir()) == []
+
+
+def test_a_failing_writer_cleans_up(tmp_path):
+    import pyarrow as pa
+
+    from keysift.sinks.files import DocumentFilesWriter
+
+    writer = DocumentFilesWriter(str(tmp_path / "batch_id=0"))
+
+    def batches():
+        yield pa.RecordBatch.from_pydict({"APKHash": ["h", "h"], "document": ["a", "b"], "body": ["1", "2"]})
+        raise OSError("lost")
+
+    with pytest.raises(OSError, match="lost"):
+        writer.write(batches())
+    assert not [p for p in tmp_path.rglob(".attempt-*")]
+    writer.abort([None])
+    assert list(tmp_path.iterdir()) == []
 
 
 def test_documents_of_equal_name_stay_apart(spark, tmp_path):
