@@ -4,8 +4,8 @@ Entries are packed greedily in report order: a message is closed when the next
 entry would take it over the byte limit; an entry above the limit stands alone.
 A report in one row is packed in that row.  A report of several parts is packed
 part by part at the same time: a part's effect on the message being filled is a
-short table (see :func:`_part_table`), the tables of an app are chained, and then
-every part knows where it starts.  The messages are the same as from one fold.
+short table (see :func:`_part_table`), the tables of an app are composed and chained level by level (see
+:func:`_part_starts`), and then every part knows where it starts.  The messages are the same as from one fold.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from keysift.model import require
 from keysift.operators.duplicates import skew_join
+from keysift.session import stage
 
 # Limits in bytes, the rule under each block, and the texts of the headers and entries below.
 CHAT_LIMIT = 4000
@@ -22,6 +23,9 @@ TICKET_LIMIT = 32767
 RULE = "----------------\n"
 NO_SECRETS = "** No secrets found **"
 
+#: Tables of parts that meet in one row.
+FAN = 64
+
 
 def _text(*parts) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts))
@@ -138,32 +142,79 @@ def _part_table(sizes: Column, limit: int) -> list[Column]:
     return [sums.alias("upto"), F.transform(few, rest).alias("rest"), total.alias("total")]
 
 
-def _chain(tables: Column, head_size: Column, limit: int) -> Column:
-    """Walk an app's part tables in order: where each part starts."""
+def _chain(tables: Column, size: Column, message: Column, limit: int) -> Column:
+    """Walk tables in order: where each block starts, from the open bytes and the message number before the first."""
     state = F.struct(
-        head_size.cast("long").alias("size"),
-        F.lit(0).cast("long").alias("message"),
-        F.array().cast("array<struct<part:int,start:bigint,first:bigint>>").alias("starts"),
+        size.cast("long").alias("size"),
+        message.cast("long").alias("message"),
+        F.array().cast("array<struct<block:bigint,start:bigint,first:bigint>>").alias("starts"),
     )
 
     def step(acc: Column, table: Column) -> Column:
         starts = F.concat(
             acc["starts"],
-            F.array(F.struct(table["part"].alias("part"), acc["size"].alias("start"), acc["message"].alias("first"))),
+            F.array(F.struct(table["block"].alias("block"), acc["size"].alias("start"), acc["message"].alias("first"))),
         )
-        # Sums grow, so the sums that fit count the entries before the break.
-        k = F.size(F.filter(table["upto"], lambda u: acc["size"] + u <= limit))
-        after = F.get(table["rest"], k)
-        fits = acc["size"] + table["total"] <= limit
+        after = _after(table, acc["size"], limit)
         return F.struct(
-            F.when(fits, acc["size"] + table["total"]).otherwise(after["left"]).alias("size"),
-            F.when(fits, acc["message"]).otherwise(acc["message"] + after["closed"]).alias("message"),
-            starts.alias("starts"),
+            after["left"].alias("size"), (acc["message"] + after["closed"]).alias("message"), starts.alias("starts")
         )
 
     return F.aggregate(tables, state, step, lambda acc: acc["starts"])
 
 
+def _after(table: Column, size: Column, limit: int) -> Column:
+    """Open bytes after a block that starts with ``size`` open ones, and the messages closed in it."""
+    # Sums grow, so the sums that fit count the entries before the break.
+    k = F.size(F.filter(table["upto"], lambda u: size + u <= limit))
+    through = F.struct((size + table["total"]).alias("left"), F.lit(0).cast("long").alias("closed"))
+    return F.when(size + table["total"] <= limit, through).otherwise(F.get(table["rest"], k))
+
+
+def _composed(one: Column, other: Column, limit: int) -> Column:
+    """The table of two blocks in a row; it is no longer than what starts within ``limit`` bytes."""
+    later = F.transform(other["upto"], lambda u: u + one["total"])
+    upto = F.when(one["total"] > limit, one["upto"]).otherwise(F.concat(one["upto"], later))
+    kept = F.slice(upto, F.lit(1), F.size(F.filter(upto, lambda u: u <= limit)) + 1)
+
+    def onward(r: Column) -> Column:
+        after = _after(other, r["left"], limit)
+        return F.struct(after["left"].alias("left"), (r["closed"] + after["closed"]).alias("closed"))
+
+    rest = F.concat(F.transform(one["rest"], onward), other["rest"])
+    return F.struct(kept.alias("upto"), F.slice(rest, F.lit(1), F.size(kept)).alias("rest"), (one["total"] + other["total"]).alias("total"))
+
+
+def _part_starts(tables: DataFrame, keys: list[str], parts: int, limit: int) -> DataFrame:
+    """``(keys, part, start, first)``: the open bytes and the message number before each part of a report.
+
+    Tables of FAN neighbours are composed to one, level by level, until an app has FAN at most; then the starts go down the
+    levels again.  No row holds more than FAN tables, however many parts an app has.
+    """
+    level = tables.select(*keys, F.col("part").cast("long").alias("block"), "upto", "rest", "total")
+    levels, blocks = [level], parts
+    gathered = lambda: F.array_sort(F.collect_list(F.struct("block", "upto", "rest", "total")))
+    while blocks > FAN:
+        parent = F.floor(F.col("block") / FAN).alias("parent")
+        groups = levels[-1].groupBy(*keys, parent).agg(gathered().alias("own"))
+        bare = lambda t: F.struct(t["upto"].alias("upto"), t["rest"].alias("rest"), t["total"].alias("total"))
+        whole = F.aggregate(
+            F.slice("own", F.lit(2), F.size("own")), bare(F.col("own")[0]), lambda acc, t: _composed(acc, t, limit)
+        )
+        level = groups.select(*keys, F.col("parent").alias("block"), whole.alias("t")).select(*keys, "block", "t.*")
+        levels.append(stage(level, "part-tables"))
+        blocks = -(-blocks // FAN)
+    heads = tables.groupBy(*keys).agg(F.max("head_size").alias("size"))
+    starts = heads.select(*keys, F.lit(0).cast("long").alias("parent"), F.col("size").cast("long").alias("start"), F.lit(0).cast("long").alias("first"))
+    for k, level in enumerate(reversed(levels)):
+        parent = F.floor(F.col("block") / FAN) if k else F.lit(0).cast("long")
+        groups = level.groupBy(*keys, parent.alias("parent")).agg(gathered().alias("own"))
+        placed = groups.join(starts, [*keys, "parent"])
+        inner = placed.select(*keys, F.inline(_chain(F.col("own"), F.col("start"), F.col("first"), limit)))
+        starts = inner.withColumnRenamed("block", "parent")
+    return starts.withColumnRenamed("parent", "part")
+
+
 def pack_reports(reports: DataFrame, header: Column, entry, limit: int) -> DataFrame:
     """Messages of reports: the key columns, ``seq`` from 0 and ``body``.
 
@@ -189,15 +240,10 @@ def pack_reports(reports: DataFrame, header: Column, entry, limit: int) -> DataF
         F.transform("entries", lambda e: F.octet_length(e)).alias("sizes"),
     )
     tables = sizes.select(*keys, "part", "head_size", *_part_table(F.col("sizes"), limit))
-    # One small row per part meets in an app's group, no entries.
-    starts = tables.groupBy(*keys).agg(
-        F.min("part").alias("first_part"),
-        _chain(
-            F.array_sort(F.collect_list(F.struct("part", "upto", "rest", "total"))), F.max("head_size"), limit
-        ).alias("starts"),
-    )
-    starts = starts.select(*keys, "first_part", F.inline("starts"))
-    head = F.when(F.col("part") == F.col("first_part"), F.col("head")).otherwise("")
+    most = several.agg(F.coalesce(F.max("part") + 1, F.lit(0)).alias("n")).first()["n"]
+    starts = _part_starts(tables, keys, most, limit)
+    # Parts are numbered from 0; the first one opens with the header.
+    head = F.when(F.col("part") == 0, F.col("head")).otherwise("")
     pieces = several.join(starts, [*keys, "part"]).select(
         *keys, "part", "first", F.posexplode(pack(F.col("entries"), limit, head, F.col("start"))).alias("pos", "piece")
     )

@@ -126,20 +126,22 @@ def test_packing_is_greedy_for_any_part_size(spark, part_size, limit):
         assert packed[app] == list(enumerate(greedy(parts, limit))), app
 
 
-def test_chained_part_tables_against_a_plain_fold(spark):
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_part_starts_against_a_plain_fold(spark, monkeypatch, fan):
+    """Tables composed over several levels, down to two a row."""
+    monkeypatch.setattr(m, "FAN", fan)
     rng = random.Random(2)
     limit, rows = 30, []
-    for app in range(150):
-        for part in sorted(rng.sample(range(12), rng.randint(1, 6))):
-            sizes = [rng.randint(1, 50 if rng.random() < 0.2 else 12) for _ in range(rng.randint(1, 30))]
+    for app in range(120):
+        for part in sorted(rng.sample(range(20), rng.randint(1, 20))):
+            sizes = [rng.randint(1, 50 if rng.random() < 0.2 else 12) for _ in range(rng.choice((1, 1, 2, 30)))]
             rows.append((app, part, sizes, 3 + app % 40))
     frame = spark.createDataFrame(rows, "app int, part int, sizes array<int>, head int")
-    tables = frame.select("app", "part", "head", *m._part_table(F.col("sizes"), limit))
-    chained = tables.groupBy("app").agg(
-        m._chain(F.array_sort(F.collect_list(F.struct("part", "upto", "rest", "total"))), F.max("head"), limit).alias("s")
-    )
-    got = {r.app: [tuple(x) for x in r.s] for r in chained.collect()}
-    for app in range(150):
+    tables = frame.select("app", "part", F.col("head").alias("head_size"), *m._part_table(F.col("sizes"), limit))
+    got = {}
+    for r in m._part_starts(tables, ["app"], 20, limit).orderBy("part").collect():
+        got.setdefault(r.app, []).append((r.part, r.start, r["first"]))
+    for app in range(120):
         size, message, expected = 3 + app % 40, 0, []
         for _, part, sizes, _ in (r for r in rows if r[0] == app):
             expected.append((part, size, message))
@@ -151,6 +153,15 @@ def test_chained_part_tables_against_a_plain_fold(spark):
         assert got[app] == expected, app
 
 
+@pytest.mark.parametrize("limit", [90, 4000])
+def test_packing_over_levels(spark, monkeypatch, limit):
+    monkeypatch.setattr(m, "FAN", 3)
+    counts = {"one": 1, "many": 230, "more": 301}
+    whole, cut = reports(spark, counts), reports(spark, counts, 7)
+    rows = lambda r: sorted(map(tuple, m.pack_reports(r, m.chat_header(), m.chat_entry, limit).collect()))
+    assert rows(whole) == rows(cut)
+
+
 def test_exact_limit_and_oversize(spark):
     head, entry = "h" * 10, "é" * 5  # 10 bytes each
     frame = spark.createDataFrame([([entry] * 3, head)], "e array<string>, h string")
