@@ -42,7 +42,8 @@ def collect_findings(findings: DataFrame, part_size: int = PART_SIZE) -> DataFra
     """Distinct findings to ``(app_key, part, parts, n_findings, Findings)``; pass findings read from a table."""
     counts = findings.groupBy("app_key").agg(F.count(F.lit(1)).alias("n_findings"))
     large = stage(counts.where(F.col("n_findings") > part_size), "large-apps")
-    if large.count() <= SMALL_LIST:
+    n_large = large.count()
+    if n_large <= SMALL_LIST:
         large = F.broadcast(large)
     ordered = F.struct(*FINDING_ORDER, F.struct(*FINDING_FIELDS).alias("finding"))
 
@@ -59,8 +60,10 @@ def collect_findings(findings: DataFrame, part_size: int = PART_SIZE) -> DataFra
             F.transform("sorted", lambda x: x["finding"]).alias("Findings"),
         )
 
-    small = findings.join(large, "app_key", "left_anti")
-    one = small.withColumns({"part": F.lit(0), "large_n": F.lit(None).cast("long")})
+    in_one = {"part": F.lit(0), "large_n": F.lit(None).cast("long")}
+    if not n_large:
+        return collected(findings.withColumns(in_one))
+    one = findings.join(large, "app_key", "left_anti").withColumns(in_one)
     several = numbered(findings.join(large, "app_key", "left_semi")).join(large.withColumnRenamed("n_findings", "large_n"), "app_key")
     several = several.withColumn("part", F.floor(F.col("place") / part_size).cast("int")).drop("place")
     return collected(one).unionByName(collected(several))
