@@ -51,8 +51,8 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, columns: lis
     has.  A key with more than ``max(1000, total / HEAVY_KEYS)`` rows is heavy: there are
     at most HEAVY_KEYS of those, so they are broadcast and their rows stay
     where they are.  The rest is joined by shuffle; rows already served take the
-    key ``own`` (spread, unique text) there, so that they meet nothing.
-    ``key`` is a non-null string or binary column.
+    key ``own`` (spread, unique; a number of the row where it is null) there, so that they meet nothing.
+    ``key`` is a non-null string, binary or long column.
     """
     total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
     bound = max(1000, total // HEAVY_KEYS)
@@ -61,9 +61,10 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, columns: lis
     light = groups.filter(F.col(size) <= bound).select(F.col(key).alias("_light_key"), *[F.col(c).alias(f"_light_{c}") for c in columns])
     served = F.col("_heavy_key").isNotNull()
     kind = dict(rows.dtypes)[key]
+    apart = F.coalesce(own.cast(kind), F.monotonically_increasing_id().cast("string" if kind == "binary" else kind).cast(kind))
     out = (
         rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy_key"), "left")
-        .withColumn("_at", F.when(served, own.cast(kind)).otherwise(F.col(key)))
+        .withColumn("_at", F.when(served, apart).otherwise(F.col(key)))
         .join(light, F.col("_at") == F.col("_light_key"), "left")
     )
     return out.select(

@@ -229,7 +229,7 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     copied = groups.filter(F.col("n") > 1).select("text_sha256", "id", "best_chars", "n_best", "n")
     marked = suspected(rows, copied, "text_sha256", "_copied")
     joined = attach(
-        marked.filter("_copied").drop("_copied"), copied, "text_sha256", "n", ["id", "best_chars", "n_best", "n"], F.coalesce(F.col("doc_id"), F.lit(-1))
+        marked.filter("_copied").drop("_copied"), copied, "text_sha256", "n", ["id", "best_chars", "n_best", "n"], F.col("doc_id")
     )
     single = F.col("n").isNull()
     # Rows that tie are equal in id and text; ``tie`` is their text, and each other row has its own.
