@@ -263,3 +263,43 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def oracle(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
+    """The same in SQL: every template against every window of its size, without any filter."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    values = []
+    for label, text in templates:
+        own = [w for w in template_words(text) if w]
+        words = ", ".join(quoted(w) for w in sorted(set(own)))
+        values.append(f"({quoted(label)}, [{words}], {block_words(text)}, {max(1, math.ceil(threshold * len(set(own)) - 1e-9))})")
+    places = []
+    for phrase, label in PHRASES.items():
+        same = " AND ".join(f"words[i + {k}] = {quoted(w)}" for k, w in enumerate(phrase.split()))
+        places.append(f"SELECT doc_id, i - 1 AS place, {quoted(label)} AS label FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w) WHERE {same}")
+    return f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+), base AS ({" UNION ALL ".join(places)}),
+templates(label, own, size, need) AS (VALUES {", ".join(values)}),
+blocks AS (
+  SELECT doc_id, size, list_distinct(words[start + 1:start + size]) AS block FROM
+  (SELECT doc_id, words, size, unnest(range(0, greatest(1, len(words)), size // 2)) AS start FROM w, (SELECT DISTINCT size FROM templates))
+), found AS (
+  SELECT doc_id, label, max(share) AS share FROM
+  (SELECT doc_id, label, len(list_intersect(block, own)) AS common, need, len(list_intersect(block, own)) / len(own) AS share FROM blocks JOIN templates USING (size))
+  WHERE common >= need GROUP BY doc_id, label
+), counted AS (
+  SELECT doc_id, count(*) AS n, min(place) AS first, max(place) AS last, list(DISTINCT label) AS labels FROM base GROUP BY doc_id
+), met AS (SELECT doc_id, list(label) AS labels, max(share) AS score FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(first AS BIGINT) AS first_word, CAST(last AS BIGINT) AS last_word,
+       coalesce(array_to_string(list_sort(counted.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(counted.labels, []), coalesce(met.labels, [])))), ','), '') AS labels,
+       coalesce(score, 0.0) AS score
+FROM w LEFT JOIN counted USING (doc_id) LEFT JOIN met USING (doc_id)
+"""
+
+
+#: Equal to op7_licenses for tables without repeated ids.
+ORACLE = oracle()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keysift.llm import exact_dedup, fill_middle, spelling, warc
+from keysift.llm import exact_dedup, fill_middle, licenses, spelling, warc
 from keysift.llm.decontaminate import op10_decontamination
 from keysift.llm.exact_dedup import op3_exact_dedup
 from keysift.llm.fill_middle import op12_fill_middle
@@ -43,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op7_licenses": licenses.ORACLE,
     "op12_fill_middle": fill_middle.ORACLE,
     "op13_spelling_variants": spelling.ORACLE,
 }

@@ -2,6 +2,7 @@ import random
 import re
 
 from keysift.llm import licenses as L
+from tests.compare import connect
 from tests.llm import samples
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -66,6 +67,11 @@ def test_query_against_all_blocks_and_templates(spark):
     assert found == expected(rows) and sum(1 for r in found if r[6]) > 20
 
 
+def test_query_against_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    assert samples.rows(L.op7_licenses(spark, sf)) == sorted(connect(sf).execute(L.ORACLE).fetchall(), key=repr)
+
+
 def test_native(spark):
     plan = L.op7_licenses(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
