@@ -27,6 +27,8 @@ SAMPLE_PER_LANGUAGE = 250
 SAMPLE_ROWS = 4000
 LEAST_ROWS = 20
 SAMPLE_WINDOWS = 4000
+#: Of many languages together they have about so many.
+ALL_WINDOWS = 200_000
 EPOCHS = 6
 BATCH = 64
 SEED = 11
@@ -139,7 +141,7 @@ def fit(docs: DataFrame) -> tuple[list[str], dict[str, bytes]] | None:
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = {name: i for i, name in enumerate(names)}
         x, y = [], []
-        room, last = dict.fromkeys(names, SAMPLE_WINDOWS), None
+        room, last = dict.fromkeys(names, max(LEAST_ROWS, min(SAMPLE_WINDOWS, ALL_WINDOWS // len(names)))), None
         for batch in batches:
             for doc_id, lang, text in zip(batch["_id"].tolist(), batch["_lang"], batch["text"]):
                 own = windows_of(text.encode())

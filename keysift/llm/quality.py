@@ -27,7 +27,7 @@ GRAMS = (3, 4, 5)
 #: Training takes at most so many labelled rows of either class (those with the smallest id hash), whole texts, and of
 #: these as many as have so many characters together: a row that would exceed that is left out whole.
 SAMPLE_ROWS = 1000
-SAMPLE_CHARS = 32 << 20
+SAMPLE_CHARS = 8 << 20
 #: Words of more bytes are hashed a part at a time.
 LONG_WORD = 4096
 EPOCHS = 4
@@ -73,7 +73,7 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS) -> tuple
             own = known[word]
             for i in own.tolist():
                 ids[i] = ids.get(i, 0.0) + 1 / (len(own) * len(words))
-        documents.append((np.fromiter(ids, np.int64, len(ids)), np.fromiter(ids.values(), np.float32, len(ids))))
+        documents.append((np.fromiter(ids, np.int32, len(ids)), np.fromiter(ids.values(), np.float32, len(ids))))
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (buckets, DIMENSIONS)).astype(np.float32)
     output, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
     weight = len(labels) / (2 * np.bincount(labels, minlength=2))

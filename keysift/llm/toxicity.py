@@ -30,7 +30,7 @@ FEATURES = 2 + len(HEADS) + len(TAILS)
 #: Training takes at most so many labelled rows of each class (those with the smallest id hash), whole texts, and
 #: stops at so many characters of either class; a row that would exceed that is left out whole.
 SAMPLE_ROWS = {1: 1500, 0: 3000}
-SAMPLE_CHARS = 48 << 20
+SAMPLE_CHARS = 16 << 20
 #: A word or a beginning marks toxic words if documents of the sample have it so many times as often among toxic ones, and with
 #: such a likelihood ratio (G statistic), and so many toxic ones have it.
 LIFT, EVIDENCE, LEAST_DOCUMENTS = 4.0, 20.0, 4
@@ -76,6 +76,7 @@ class Words:
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
         self.made: list = []
+        self.packed: list[np.ndarray] = []
         self.held = 0
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -87,9 +88,23 @@ class Words:
                 n = self.numbers[word] = len(self.numbers)
                 self.made.append(self.make(word))
                 self.held += len(word) + 250
+                if len(self.made) >= 20_000:
+                    self.pack()
             out[i] = n
         return np.array(out, np.int32)
 
+    def pack(self) -> None:
+        """What was made, as arrays, which are smaller."""
+        if self.made:
+            self.packed.append(np.array(self.made, np.int32))
+            self.made = []
+
+    def taken(self) -> np.ndarray:
+        """All that was made since the last time, in the order of the numbers."""
+        self.pack()
+        out, self.packed = self.packed, []
+        return np.concatenate(out) if out else np.zeros((0, FEATURES), np.int32)
+
 
 # ------------------------------------------------------------------ the chain
 
@@ -208,7 +223,7 @@ def marked_words(documents: list[np.ndarray], names: list[str], labels: np.ndarr
 
     Documents that share their least run of three words count once: a group of near copies is no evidence.
     """
-    parts_of = Words(lambda part: None)
+    parts_of = Words(lambda part: 0)
     parts = np.array([parts_of.of(word_parts(name)) for name in names], np.int32).reshape(-1, 1 + len(MARK_HEADS))
     codes = np.array([hash_of(name) for name in names], np.uint64)
     groups: dict[tuple[int, int], list[int]] = {}
@@ -292,7 +307,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float | None = None) -> F
         return field
     known = Words(word_features)
     documents = [known.of(WORD.findall(t)) for t in texts]
-    features = np.array(known.made, np.int32).reshape(-1, FEATURES)
+    features = known.taken()
     marked = marked_words(documents, list(known.numbers), labels)
     del known
     # Pieces of at most ``batch`` words: whole documents, or parts of a long one. Each is a chain of its own in training.
@@ -376,9 +391,9 @@ class Scorer:
             yield from self.group(group)
 
     def group(self, group: list[tuple[str, np.ndarray]]) -> Iterator[tuple[float, list[tuple[int, int, float]]]]:
-        if self.known.made:  # of new words, only the values stay
-            self.values = np.concatenate([self.values, self.field.values(np.array(self.known.made, np.int32))], axis=1)
-            self.known.made = []
+        new = self.known.taken()  # of new words, only the values stay
+        if len(new):
+            self.values = np.concatenate([self.values, self.field.values(new)], axis=1)
         sizes = np.array([len(own) for _, own in group], np.int64)
         words, first = np.concatenate([own for _, own in group]), begins(sizes)
         p, _ = marginals(self.field.odds(self.values, words, first), first, self.field.start, self.field.move)
