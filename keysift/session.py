@@ -74,6 +74,14 @@ def release_scratch(spark: SparkSession) -> None:
     delete_paths(spark, _STAGED.pop(spark.sparkContext.applicationId, []))
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The size of a table as its plan estimates it."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no estimate available
+        return None
+
+
 def spread(df, *keys: str, small: int = 64 << 20):
     """Repartition an input that is too small to occupy the cores by itself.
 
@@ -82,8 +90,7 @@ def spread(df, *keys: str, small: int = 64 << 20):
     ``small`` bytes per core is moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no estimate available: leave the splits as they are
+    size = estimated_bytes(df)
+    if size is None:  # leave the splits as they are
         return df
     return df.repartition(cores, *keys) if size < small * cores else df
