@@ -69,7 +69,7 @@ def badging(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 3 == 0, F.lit("alt-native-code: 'x86' 'x86_64'\n")).otherwise("native-code: 'arm64-v8a'\n"),
         F.when(n % 11 == 0, _cat("uses-package: name='org.", dotted, "' a='", n, "' b='2' c='31'\n")).otherwise(""),
     )
-    return table(spark, sf_dir, "part").select(_cat("src", n).alias("app_key"), text.alias("text"))
+    return spread(table(spark, sf_dir, "part")).select(_cat("src", n).alias("app_key"), text.alias("text"))
 
 
 def metadata_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def metadata_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         ', "pngDrawables": "many"}, "fileDigest": {"x": "y"}}',
     )
     json = F.when(n % 10 == 9, F.lit('{"fileName": "cut')).when(n % 10 == 8, F.lit("{}")).otherwise(whole)
-    return table(spark, sf_dir, "supplier").select(_cat("src", n).alias("app_key"), json.alias("json"))
+    return spread(table(spark, sf_dir, "supplier")).select(_cat("src", n).alias("app_key"), json.alias("json"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
