@@ -8,8 +8,10 @@ its pages; beside it stand the number of files of each piece, from which the rar
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from keysift.sources.rules import Matcher, Rule, matchers
 PIECE = 3
 #: Pieces looked up for a literal: its rarest ones.
 RAREST = 3
+#: Texts whose pieces are sorted at a time: so many rows, and bytes, at most; a longer text is taken in stretches.
+ROWS, BYTES = 1000, 1 << 20
 POSTINGS = "piece string, file long"
 COUNTS = "piece string, n long"
 
@@ -36,9 +40,55 @@ def file_pieces(files: DataFrame) -> DataFrame:
     A file has the empty piece besides, so that all indexed files are listed.
     """
     require(files, "app_key", "file_path", "text")
-    runs = F.regexp_extract_all(F.expr(folded("text")), F.lit(r"(?=([\x20-\x7e]{%d}))" % PIECE), F.lit(1))
-    own = F.array_append(F.array_distinct(F.coalesce(runs, F.array().cast("array<string>"))), F.lit(""))
-    return files.select(file_code().alias("file"), F.explode(own).alias("piece")).select("piece", "file")
+    return files.select(file_code().alias("file"), F.expr(f"coalesce({folded('text')}, '')").alias("text")).mapInArrow(_postings, POSTINGS)
+
+
+def _codes(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where three printable bytes in a row start, none across an end, and a number of 21 bits for each three.
+
+    The bytes of other letters than ASCII are not printable.
+    """
+    good = (text >= 0x20) & (text <= 0x7E)
+    starts = good[:-2] & good[1:-1] & good[2:]
+    across = np.concatenate([ends - 2, ends - 1])
+    starts[across[(across >= 0) & (across < len(starts))]] = False
+    at = np.flatnonzero(starts)
+    wide = text.astype(np.int32)
+    return at, wide[at] << 14 | wide[at + 1] << 7 | wide[at + 2]
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`file_pieces` from ``(file, folded text)``."""
+    for batch in batches:
+        files, column = batch.column(0).to_numpy(), batch.column(1).cast(pa.large_string())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        start = 0
+        while start < len(files):
+            # As many rows as fit, one at least.
+            end = int(np.searchsorted(offsets, offsets[start] + BYTES, "right")) - 1
+            end = max(start + 1, min(end, start + ROWS, len(files)))
+            text, own = data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
+            if len(text) > BYTES:
+                seen = np.zeros(1 << 21, bool)
+                for k in range(0, len(text), BYTES):
+                    seen[_codes(text[k : k + BYTES + PIECE - 1], own[:0])[1]] = True
+                keys = np.flatnonzero(seen)
+            else:
+                at, codes = _codes(text, own[1:])
+                keys = np.repeat(np.arange(end - start, dtype=np.int32), np.diff(own))[at] << 21 | codes
+                keys.sort()
+                keys = keys[np.diff(keys, prepend=-1) != 0]
+            yield _frame(keys & (1 << 21) - 1, files[start:end][keys >> 21], files[start:end])
+            start = end
+
+
+def _frame(codes: np.ndarray, holders: np.ndarray, files: np.ndarray) -> pa.RecordBatch:
+    """Pieces and their files, then the empty piece of each file."""
+    letters = np.stack([codes >> 14, codes >> 7 & 127, codes & 127], axis=1).astype(np.uint8)
+    offsets = np.concatenate([np.arange(len(codes) + 1) * PIECE, np.full(len(files), len(codes) * PIECE)]).astype(np.int32)
+    pieces = pa.StringArray.from_buffers(len(codes) + len(files), pa.py_buffer(offsets), pa.py_buffer(letters.tobytes()))
+    return pa.RecordBatch.from_arrays([pieces, pa.array(np.concatenate([holders, files]))], ["piece", "file"])
 
 
 def _counts(path: str) -> str:
@@ -48,9 +98,12 @@ def _counts(path: str) -> str:
 def append_pieces(files: DataFrame, path: str, batch_id: int) -> None:
     """Index the files of a batch; writing a batch again replaces it."""
     target = f"{path.rstrip('/')}/chunk={batch_id}"
-    # By ranges of piece and file: a piece that all files have fills many tasks.
-    placed = file_pieces(files).repartitionByRange("piece", "file").sortWithinPartitions("piece", "file")
-    placed.write.mode("overwrite").option("maxRecordsPerFile", 50_000_000).parquet(target)
+    # By ranges of piece and file: a piece that all files have fills many tasks.  In these, by one number in the order of
+    # pieces, which is sorted without comparisons.
+    letters = [F.ascii(F.substring("piece", i + 1, 1)) for i in range(PIECE)]
+    coded = file_pieces(files).withColumn("code", (letters[0] * 16384 + letters[1] * 128 + letters[2]).cast("long"))
+    placed = coded.repartitionByRange("code", "file").sortWithinPartitions("code")
+    placed.select("piece", "file").write.mode("overwrite").option("maxRecordsPerFile", 50_000_000).parquet(target)
     written = files.sparkSession.read.schema(POSTINGS).parquet(target)
     written.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{_counts(path)}/chunk={batch_id}")
 

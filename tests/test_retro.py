@@ -2,11 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from keysift.plans.retro import new_secrets, rescan, rescan_folder
 from keysift.operators.scan import scan
+from keysift.sources import pieces
 from keysift.sources.pieces import append_pieces, candidate_files, file_code, file_pieces, indexed_files, needed_pieces
 from keysift.sources.rules import Rule, matchers, read_packs
 
@@ -84,6 +86,25 @@ def test_pieces_of_texts(spark):
     assert found == {("abc",), ("bcd",), ("abs",), ("bs ",), ("",)}
 
 
+def test_pieces_equal_a_plain_loop(spark, monkeypatch):
+    """Texts of odd letters, empty and short ones, one of several stretches; repeated files; blocks of few rows and bytes."""
+    rng = random.Random(3)
+    letters = [*"abcXYZ019 ~\x1f\x7f\t\n\0éſİ中😀"]
+    texts = [None, "", "a", "ab", "abc", *("".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(3000))]
+    texts.append("".join(rng.choices(letters, weights=[30] * 11 + [1] * 10, k=1_400_000)))
+    files = spark.createDataFrame([(f"app{i % 3}", f"f{i // 2}", t) for i, t in enumerate(texts)], FILES)
+    lowered = files.select(file_code(), F.expr("coalesce(replace(lower(text), 'ſ', 's'), '')")).collect()
+    printable = lambda s: all(" " <= c <= "~" for c in s)
+    wanted = sorted((p, f) for f, t in lowered for p in {"", *(t[i : i + 3] for i in range(len(t) - 2) if printable(t[i : i + 3]))})
+    assert sorted(map(tuple, file_pieces(files).collect())) == wanted
+    small = [r for r in lowered if len(r[1]) < 100]
+    monkeypatch.setattr(pieces, "ROWS", 7)
+    monkeypatch.setattr(pieces, "BYTES", 40)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in small], pa.int64()), pa.array([r[1] for r in small])], ["file", "text"])
+    found = [t for b in pieces._postings([batch.slice(3)]) for t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert sorted(found) == sorted((p, f) for f, t in small[3:] for p in {"", *(t[i : i + 3] for i in range(len(t) - 2) if printable(t[i : i + 3]))})
+
+
 def test_needed_pieces(spark):
     by_name = {m.rules[0].name: needed_pieces(m) for m in matchers(spark, [*RULES, OPEN])}
     assert by_name["Exact"] == [[{"zeb", "ebr", "bra", "ra_"}]] and by_name["Open"] == []
